@@ -291,6 +291,12 @@ class ChunkIds:
         return ta.ragged_gather(self.ids, self.offsets[self.which], counts), ends[self.bounds]
 
 
+def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Appends ``end_id`` to every document of joined ids."""
+    n = len(offsets) - 1
+    return np.insert(ids, offsets[1:], end_id), offsets + np.arange(n + 1)
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> SegmentTreeBpe:
     """The encoder of a file, read once in a worker."""

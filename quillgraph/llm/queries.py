@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, packing, token_store
 
 #: The public tokenizer file of the token queries; its place is looked up where it is read.
 TOKENIZER = "word_bpe_49k.json"
@@ -31,9 +31,22 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), bpe.public_path(TOKENIZER), capacity=2048, end_id=0)
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    manifest = token_store.write_store(docs, bpe.public_path(TOKENIZER), end_id=1)
+    stored = token_store.read_store(manifest, docs.schema["doc_id"].dataType.simpleString())
+    return stored.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_token_store": op9_token_store,
 }
 
 ORACLES: dict[str, str] = {
