@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, token_store
+from . import bpe, exact_dedup, language_id, packing, quality, token_store
+from .language_id import fold
 
 #: The public tokenizer file of the token queries; its place is looked up where it is read.
 TOKENIZER = "word_bpe_49k.json"
@@ -17,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(fold(docs["doc_id"], 4) != 2))
+    return language_id.predict(docs, model).withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(fold(labels["doc_id"], 5) != 0))
+    return quality.predict(docs, model, threshold=0.3).withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -43,6 +56,8 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_quality": op2_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op8_best_fit_packing": op8_best_fit_packing,
