@@ -89,7 +89,47 @@ def split_pieces(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, solid[last] + 1
 
 
-class SegmentTreeBpe:
+class ChunkCoder:
+    """Encodes texts chunk by chunk, a chunk being a run of non-blank bytes."""
+
+    tokens: list[str]
+
+    def __init__(self) -> None:
+        self._forget()
+
+    def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks without blank bytes, joined, and the number of ids of each chunk."""
+        raise NotImplementedError
+
+    def chunks_of(self, piece: ta.TextSlice) -> ChunkIds:
+        """Ids of a slice's chunks; each distinct chunk is encoded when it is first met.
+
+        At most ``_KNOWN`` chunks are remembered; then memory starts anew.
+        """
+        starts, ends, docs = ta.words(piece)
+        hashes, first, which = np.unique(ta.hash_spans(piece.data, starts, ends), return_index=True, return_inverse=True)
+        if len(self._known) > _KNOWN:
+            self._forget()
+        at = np.searchsorted(self._known, hashes)
+        new = np.ones(len(hashes), dtype=bool)
+        inside = at < len(self._known)
+        new[inside] = self._known[at[inside]] != hashes[inside]
+        fresh = first[new]
+        raw = piece.data.tobytes()
+        ids, counts = self.encode_chunks([raw[i:j] for i, j in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)])
+        self._offsets = np.insert(self._offsets, at[new], len(self._ids) + np.cumsum(counts) - counts)
+        self._counts = np.insert(self._counts, at[new], counts)
+        self._known = np.insert(self._known, at[new], hashes[new])
+        self._ids = np.concatenate([self._ids, ids])
+        at = np.searchsorted(self._known, hashes)
+        return ChunkIds(self._ids, self._offsets[at], self._counts[at], which, ta.group_starts(docs, len(piece)))
+
+    def _forget(self) -> None:
+        self._known, self._ids = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self._offsets, self._counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+class SegmentTreeBpe(ChunkCoder):
     """Encoder and decoder of a vocabulary file with lower-cased words and word ends."""
 
     def __init__(self, path: str):
@@ -112,7 +152,7 @@ class SegmentTreeBpe:
         self._pair_rank = order.astype(np.int64)
         self._merged = np.array([vocab[a + b] for a, b in merges], dtype=np.int32)
         self._none = len(merges)
-        self._forget()
+        super().__init__()
 
     # -- words -------------------------------------------------------------------------
 
@@ -246,33 +286,6 @@ class SegmentTreeBpe:
         lists = [odd[i] if i in odd else x.tolist() for i, x in enumerate(np.split(ids, np.cumsum(counts)[:-1]))]
         return np.array([t for x in lists for t in x], dtype=np.int32), np.array([len(x) for x in lists], dtype=np.int64)
 
-    def chunks_of(self, piece: ta.TextSlice) -> ChunkIds:
-        """Ids of a slice's chunks; each distinct chunk is encoded when it is first met.
-
-        At most ``_KNOWN`` chunks are remembered; then memory starts anew.
-        """
-        starts, ends, docs = ta.words(piece)
-        hashes, first, which = np.unique(ta.hash_spans(piece.data, starts, ends), return_index=True, return_inverse=True)
-        if len(self._known) > _KNOWN:
-            self._forget()
-        at = np.searchsorted(self._known, hashes)
-        new = np.ones(len(hashes), dtype=bool)
-        inside = at < len(self._known)
-        new[inside] = self._known[at[inside]] != hashes[inside]
-        fresh = first[new]
-        raw = piece.data.tobytes()
-        ids, counts = self.encode_chunks([raw[i:j] for i, j in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)])
-        self._offsets = np.insert(self._offsets, at[new], len(self._ids) + np.cumsum(counts) - counts)
-        self._counts = np.insert(self._counts, at[new], counts)
-        self._known = np.insert(self._known, at[new], hashes[new])
-        self._ids = np.concatenate([self._ids, ids])
-        at = np.searchsorted(self._known, hashes)
-        return ChunkIds(self._ids, self._offsets[at], self._counts[at], which, ta.group_starts(docs, len(piece)))
-
-    def _forget(self) -> None:
-        self._known, self._ids = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self._offsets, self._counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
     def decode(self, ids: list[int]) -> str:
         """The tokens' strings joined by blanks, as the public file's decoder gives them."""
         return " ".join(self.tokens[i] for i in ids)
@@ -291,6 +304,46 @@ class ChunkIds:
         return ta.ragged_gather(self.ids, self.offsets[self.which], counts), ends[self.bounds]
 
 
+class LibraryBpe(ChunkCoder):
+    """The tokenizers library as the coder of each distinct chunk.
+
+    Chunks go to the library some at a time, between marks: a NUL between blanks is a
+    token of its own.  Chunks that hold a NUL themselves are encoded alone.
+    """
+
+    _TOGETHER = 64
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self._library = Tokenizer.from_file(path)
+        self._library.no_truncation()
+        self._library.no_padding()
+        size = self._library.get_vocab_size(with_added_tokens=True)
+        self.tokens = [self._library.id_to_token(i) or "" for i in range(size)]
+        (self._mark,) = self._library.encode("\0", add_special_tokens=False).ids
+        super().__init__()
+
+    def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if not chunks:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        odd = [i for i, c in enumerate(chunks) if b"\0" in c]
+        alone = {i: self._library.encode(chunks[i].decode("utf-8", "replace"), add_special_tokens=False).ids for i in odd}
+        texts = [(b"" if i in alone else c).decode("utf-8", "replace") for i, c in enumerate(chunks)]
+        joined = [" \0 ".join(texts[i : i + self._TOGETHER]) + " \0" for i in range(0, len(texts), self._TOGETHER)]
+        coded = self._library.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.fromiter((t for e in coded for t in e.ids), dtype=np.int32)
+        marks = np.flatnonzero(ids == self._mark)
+        counts = np.diff(marks, prepend=-1) - 1
+        ids = np.delete(ids, marks)
+        if alone:
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for i, x in alone.items():
+                parts[i], counts[i] = np.array(x, dtype=np.int32), len(x)
+            ids = np.concatenate(parts)
+        return ids, counts
+
+
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Appends ``end_id`` to every document of joined ids."""
     n = len(offsets) - 1
@@ -298,9 +351,9 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndar
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> SegmentTreeBpe:
-    """The encoder of a file, read once in a worker."""
-    return SegmentTreeBpe(path)
+def load(path: str, library: bool = False) -> ChunkCoder:
+    """The coder of a file, read once in a worker."""
+    return LibraryBpe(path) if library else SegmentTreeBpe(path)
 
 
 def token_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

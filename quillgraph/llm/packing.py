@@ -36,7 +36,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe.load(path)
+        coder = bpe.load(path, library=True)
         for batch in batches:
             for piece in ta.slices(batch.column(1)):
                 ids, offsets = bpe.with_end(*coder.chunks_of(piece).documents(), end_id)

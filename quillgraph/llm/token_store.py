@@ -139,7 +139,7 @@ class ShardReader:
 
 
 def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int) -> dict[str, Any] | None:
-    coder = bpe.load(path)
+    coder = bpe.load(path, library=True)
     kind = "<u2" if len(coder.tokens) <= 1 << 16 else "<u4"
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
