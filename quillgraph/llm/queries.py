@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, packing, quality, token_store
+from . import bpe, exact_dedup, language_id, packing, pivot_search, quality, token_store
 from .language_id import fold
 
 #: The public tokenizer file of the token queries; its place is looked up where it is read.
@@ -30,6 +30,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs, model, threshold=0.3).withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
 
 
+def op3_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return pivot_search.top_k(vectors, F.pmod(vectors["vec_id"], F.lit(100)) == 0, k=10)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
+    "op3_pivot_search": op3_pivot_search,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op8_best_fit_packing": op8_best_fit_packing,
@@ -65,6 +71,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_pivot_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+                   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p)
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10""",
     "op4_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
              g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
