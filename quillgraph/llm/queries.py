@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, packing, pivot_search, quality, token_store
+from . import bpe, context_mixing, exact_dedup, language_id, packing, pivot_search, quality, token_store
 from .language_id import fold
 
 #: The public tokenizer file of the token queries; its place is looked up where it is read.
@@ -49,6 +49,11 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return context_mixing.score_corpus(docs, fold(docs["doc_id"], 10) != 0).withColumn("held_out", fold(F.col("doc_id"), 10) == 0)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), bpe.public_path(TOKENIZER), capacity=2048, end_id=0)
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pivot_search": op3_pivot_search,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
+    "op7_context_mixing": op7_context_mixing,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_store": op9_token_store,
 }
