@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, context_mixing, exact_dedup, language_id, packing, pivot_search, quality, token_store
+from . import bpe, context_mixing, exact_dedup, language_id, packing, pivot_search, quality, token_store, trie_join
 from .language_id import fold
 
 #: The public tokenizer file of the token queries; its place is looked up where it is read.
@@ -65,6 +65,10 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_join.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_context_mixing": op7_context_mixing,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_store": op9_token_store,
+    "op10_trie_join": op10_trie_join,
 }
 
 ORACLES: dict[str, str] = {
