@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, context_mixing, exact_dedup, language_id, packing, pivot_search, quality, token_store, trie_join
+from . import bpe, context_mixing, exact_dedup, language_id, packing, pivot_search, quality, surrogates, token_store, trie_join
 from .language_id import fold
 
 #: The public tokenizer file of the token queries; its place is looked up where it is read.
 TOKENIZER = "word_bpe_49k.json"
+#: The key of the surrogate query; a deployment has a secret one.
+SURROGATE_KEY = "surrogate-key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY).select("doc_id", "text", "n_entities")
+
+
 def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.public_path(TOKENIZER))
     return coded.select(
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_pivot_search": op3_pivot_search,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_surrogates": op5_surrogates,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op7_context_mixing": op7_context_mixing,
     "op8_best_fit_packing": op8_best_fit_packing,
