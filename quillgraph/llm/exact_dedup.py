@@ -55,13 +55,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of: Callable[[Column], Column] = content_hash) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Of rows with an equal normalised text, one with the smallest id stays (any one of
-    rows that repeat that id, and any one of rows whose ids are all null).
+    Of rows with an equal normalised text, one with the smallest id stays (null ids lose
+    to others; of rows that repeat that id, or have null ids only, the one whose columns
+    have the least hash).  Null and empty texts are one group.
+
+    Plan: one aggregation, in which a task sends one row of each of its texts; the text
+    goes along a second time only where normalising changed it.
     """
-    keep = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha")).distinct()
-    keyed = docs.withColumn("__sha", F.sha2(normalised(docs[text_col]), 256))
-    stay = keyed.join(keep, F.col("__sha").eqNullSafe(F.col("__keep_sha")) & docs[id_col].eqNullSafe(F.col("__keep_id")), "left_semi")
-    return stay.dropDuplicates([id_col, "__sha"]).drop("__sha")
+    norm = normalised(docs[text_col])
+    others = [c for c in docs.columns if c != text_col]
+    kept = F.struct(F.when(~norm.eqNullSafe(docs[text_col]), F.struct(docs[text_col].alias("text"))).alias("differs"), *[docs[c].alias(f"c{i}") for i, c in enumerate(others)])
+    order = F.struct(docs[id_col].isNull(), docs[id_col], F.xxhash64(*[docs[c] for c in docs.columns]))
+    rows = docs.select(norm.alias("norm"), hash_of(norm).alias("hash"), kept.alias("row"), order.alias("order"))
+    best = rows.groupBy("hash", "norm").agg(F.min_by("row", "order").alias("row"))
+    text = F.when(F.col("row.differs").isNotNull(), F.col("row.differs.text")).otherwise(F.col("norm")).cast(docs.schema[text_col].dataType)
+    return best.select(*[text.alias(c) if c == text_col else F.col(f"row.c{others.index(c)}").alias(c) for c in docs.columns])

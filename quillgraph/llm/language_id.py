@@ -160,6 +160,25 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     return train(x[order], y[order], languages)
 
 
+def classify(batch: pa.RecordBatch, at: int, model: LanguageModel | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For rows of a batch: first row, number, language (-1: none), score, and if it is ambiguous."""
+    for piece in ta.slices(batch.column(at)):
+        for low in range(0, len(piece), _BLOCK):
+            high = min(low + _BLOCK, len(piece))
+            best, score = np.full(high - low, -1), np.zeros(high - low)
+            close = np.zeros(high - low, dtype=bool)
+            known = has_letter(piece, low, high) if model else np.zeros(high - low, dtype=bool)
+            if known.any():
+                losses = model.losses(trigram_features(piece, low, high))
+                likely = np.exp(losses.min(axis=1, keepdims=True) - losses)
+                likely /= likely.sum(axis=1, keepdims=True)
+                best = np.where(known, likely.argmax(axis=1), -1)
+                score = np.where(known, likely.max(axis=1), 0.0)
+                if likely.shape[1] > 1:
+                    close = known & (score - np.partition(likely, -2, axis=1)[:, -2] < model.margin)
+            yield piece.first + low, high - low, best, score, close
+
+
 def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Language of every whole text: ``doc_id, lang_pred, score, ambiguous``.
 
@@ -174,28 +193,27 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*(model.languages if model else []), "und"], dtype=object)
         for batch in batches:
-            for piece in ta.slices(batch.column(1)):
-                for low in range(0, len(piece), _BLOCK):
-                    high = min(low + _BLOCK, len(piece))
-                    best, score = np.full(high - low, -1), np.zeros(high - low)
-                    close = np.zeros(high - low, dtype=bool)
-                    known = has_letter(piece, low, high) if model else np.zeros(high - low, dtype=bool)
-                    if known.any():
-                        losses = model.losses(trigram_features(piece, low, high))
-                        likely = np.exp(losses.min(axis=1, keepdims=True) - losses)
-                        likely /= likely.sum(axis=1, keepdims=True)
-                        best = np.where(known, likely.argmax(axis=1), -1)
-                        score = np.where(known, likely.max(axis=1), 0.0)
-                        if likely.shape[1] > 1:
-                            close = known & (score - np.partition(likely, -2, axis=1)[:, -2] < model.margin)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(piece.first + low, high - low), pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(close)],
-                        ["doc_id", "lang_pred", "score", "ambiguous"],
-                    )
+            for first, n, best, score, close in classify(batch, 1, model):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(close)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, whose text has one clear language; all rows without a model."""
+    if model is None:
+        return docs
+    at, names = docs.columns.index(text_col), [f"c{i}" for i in range(len(docs.columns))]
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, n, best, _, close in classify(batch, at, model):
+                yield batch.slice(first, n).filter(pa.array((best >= 0) & ~close))
+
+    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns)
+
+
 def fold(id_column: Column, n: int) -> Column:
     """Remainder of crc32 of the id as text; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")), F.lit(n))
