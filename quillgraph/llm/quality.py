@@ -71,8 +71,8 @@ def statistics(piece: ta.TextSlice) -> np.ndarray:
     line_starts = np.union1d(piece.starts[sizes > 0], breaks + 1)
     line_starts = line_starts[line_starts < len(data)]
     line_docs = np.searchsorted(piece.starts, line_starts, side="right") - 1
-    line_ends = np.append(line_starts[1:], len(data))
-    line_ends = np.where(data[line_ends - 1] == 0x0A, line_ends - 1, line_ends) if len(line_ends) else line_ends
+    line_ends = np.append(line_starts, len(data))[1:]
+    line_ends = line_ends - (data[line_ends - 1] == 0x0A)
     full = line_ends > line_starts
     line_starts, line_ends, line_docs = line_starts[full], line_ends[full], line_docs[full]
     lines = np.bincount(line_docs, minlength=n)
