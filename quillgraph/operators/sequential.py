@@ -142,7 +142,7 @@ def maximal_cliques(relations: DataFrame, least: int = 3) -> DataFrame:
                     for v in sorted(can - (near[pivot] if pivot is not None else set())):
                         todo.append(([*clique, v], can & near[v], past & near[v]))
                         can, past = can - {v}, past | {v}
-            yield pd.DataFrame({"members": found})
+            yield pd.DataFrame({"members": pd.Series(found, dtype=object)})
 
     spark = relations.sparkSession
     starts = spark.createDataFrame([(v,) for v in near], "node string").repartition(spark.sparkContext.defaultParallelism) if near else spark.createDataFrame([], "node string")

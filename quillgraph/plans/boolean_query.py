@@ -56,7 +56,7 @@ def compile_query(query: str) -> Column:
 
     def single(depth: int) -> Column:
         token = peek()
-        if token is None or token == ")":
+        if token is None or token == ")" or token.upper() in ("AND", "OR"):
             raise QueryError("a term is missing")
         take()
         if token.upper() == "NOT":
