@@ -34,7 +34,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What any match has; texts without it skip the large pattern.
-_HINT = rf"[@\d]|{_TITLE}"
+_HINT = rf"[@\d]|AKIA|(?:sk|ghp|gho|xoxb|xoxp)[\-_]|{_TITLE}"
 
 #: Letters that stand in for a letter of the same kind (fixed values).
 _ALPHABETS = [

@@ -150,3 +150,12 @@ def test_surrogates_stay_distinct(spark):
     rows = [(f"surname:latin", "n%dx" % i) for i in range(3000)] + [("given:f:latin", f"g{i}") for i in range(60)]
     table = surrogates.surrogate_table(spark.createDataFrame(rows, "kind string, form string"), "k").collect()
     assert len(table) == len(rows) and len({(r.kind, r.surrogate) for r in table}) == len(rows)
+
+
+def test_surrogates_of_matches_without_digits(spark):
+    alone = ["ann.lee@mail.org", "AKIA" + "QWERTZUIOPASDFGH"] + [p + "abcdefghijklmnopqrst" for p in ("sk-", "sk_", "ghp_", "gho_", "xoxb-", "xoxp-")]
+    alone += [f"{t} Keller" for names in surrogates.TITLES.values() for t in names]
+    docs = spark.createDataFrame(list(enumerate(alone)), "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.replace_entities(docs, "k").collect()}
+    assert [got[i].n_entities for i in range(len(alone))] == [1] * len(alone)
+    assert not [t for i, t in enumerate(alone) if t.split(" ")[-1] in got[i].text]
