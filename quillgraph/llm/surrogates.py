@@ -122,6 +122,12 @@ def parts_of(match: Column) -> Column:
     return F.when(kind == "name", name).otherwise(F.array(F.struct(kind.alias("kind"), form.alias("form"))))
 
 
+def _grown(syllables: list[str], digest: Column, attempt: Column) -> Column:
+    """Keyed syllables, one more with each attempt after the fifth, so that a free form always comes."""
+    more = F.transform(F.sequence(F.lit(6), attempt), lambda i: _pick(syllables, _byte(digest, i)))
+    return F.when(attempt > 5, F.array_join(more, "")).otherwise("")
+
+
 def _drawn(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     """The surrogate form of an entity at one attempt."""
     digest = F.sha2(F.concat_ws("\x01", F.lit(key), kind, form, attempt.cast("string")).cast("binary"), 512)
@@ -138,13 +144,14 @@ def _drawn(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     octets = F.concat_ws(".", *[(F.pmod(_byte(digest, i) + _byte(digest, i + 8) * 7, F.lit(223)) + 1).cast("string") for i in range(4)])
     out = F.when(kind == "email", longer).when(kind == "ipv4", octets).when(kind == "secret", _respelt(form, digest, hexadecimal=True)).otherwise(F.concat(kept, _respelt(body, digest)))
     for script, syllables in _SYLLABLES.items():
+        grown = _grown(syllables, digest, attempt)
         extra = F.when(attempt > 2, F.concat(*[_pick(syllables, _byte(digest, i)) for i in (3, 4)])).otherwise("")
-        out = F.when(kind == f"surname:{script}", F.concat(*[_pick(syllables, _byte(digest, i)) for i in range(3)], extra)).otherwise(out)
+        out = F.when(kind == f"surname:{script}", F.concat(*[_pick(syllables, _byte(digest, i)) for i in range(3)], extra, grown)).otherwise(out)
         for gender, names in _GIVEN[script].items():
             plain = F.lower(_pick(names, _byte(digest, 0)))
             both = F.when(attempt > 1, F.concat(plain, F.lit("-"), F.lower(_pick(names, _byte(digest, 1))))).otherwise(plain)
             more = F.when(attempt > 4, F.concat(both, F.lit("-"), F.lower(_pick(names, _byte(digest, 2))))).otherwise(both)
-            out = F.when(kind == f"given:{gender}:{script}", more).otherwise(out)
+            out = F.when(kind == f"given:{gender}:{script}", F.concat(more, grown)).otherwise(out)
     return out
 
 

@@ -159,3 +159,10 @@ def test_surrogates_of_matches_without_digits(spark):
     got = {r.doc_id: r for r in surrogates.replace_entities(docs, "k").collect()}
     assert [got[i].n_entities for i in range(len(alone))] == [1] * len(alone)
     assert not [t for i, t in enumerate(alone) if t.split(" ")[-1] in got[i].text]
+
+
+def test_given_names_grow_beyond_the_joined_ones(spark):
+    # 16 + 256 + 4,096 Latin and 4 + 16 + 64 Greek forms are not enough for these.
+    rows = [("given:f:latin", f"g{i}") for i in range(6000)] + [("given:m:greek", f"γ{i}") for i in range(300)]
+    table = surrogates.surrogate_table(spark.createDataFrame(rows, "kind string, form string"), "k").collect()
+    assert len(table) == len(rows) and len({(r.kind, r.surrogate) for r in table}) == len(rows)
