@@ -35,11 +35,13 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset (a local
-    session, as in tests) a folder of our own is set.
+    It is the cluster's ``spark.checkpoint.dir``; only where that is unset in a local
+    session (as in tests) a folder of our own is set.  A cluster without it is refused.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", known)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -60,7 +62,16 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what ``written`` wrote for a table that is read no more; others are left alone."""
+    path = getattr(df, "_written_to", None)
+    if path:
+        remove_path(df.sparkSession, path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
