@@ -12,6 +12,7 @@ The vocabulary file is one of the public tokenizer files, given by its path.
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 import unicodedata
@@ -26,8 +27,10 @@ from . import textarrays as ta
 
 #: Words merged in step at once.
 _LANES = 1 << 15
-#: Distinct chunks of text that a worker remembers with their ids.
-_KNOWN = 1_000_000
+#: Distinct chunks of text, and bytes of their ids, that a worker remembers.
+_KNOWN, _KNOWN_BYTES = 500_000, 16 << 20
+#: Symbols of a word from which all pairs of the lowest rank merge at once.
+_WIDE = 2048
 
 
 def public_path(name: str) -> str:
@@ -83,6 +86,8 @@ def split_pieces(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             rest = at[at + size < n] + size
             begin[rest] |= kind[rest] != _WHITE
     starts = np.flatnonzero(begin)
+    if not len(starts):
+        return starts, starts
     solid = np.flatnonzero(kind != _WHITE)
     # A piece ends before the next one or at the last solid character before it.
     last = np.searchsorted(solid, np.concatenate([starts[1:], [n]])) - 1
@@ -104,11 +109,12 @@ class ChunkCoder:
     def chunks_of(self, piece: ta.TextSlice) -> ChunkIds:
         """Ids of a slice's chunks; each distinct chunk is encoded when it is first met.
 
-        At most ``_KNOWN`` chunks are remembered; then memory starts anew.
+        At most ``_KNOWN`` chunks, or ``_KNOWN_BYTES`` of ids, are remembered; then memory
+        starts anew.
         """
         starts, ends, docs = ta.words(piece)
         hashes, first, which = np.unique(ta.hash_spans(piece.data, starts, ends), return_index=True, return_inverse=True)
-        if len(self._known) > _KNOWN:
+        if len(self._known) > _KNOWN or self._ids.nbytes > _KNOWN_BYTES:
             self._forget()
         at = np.searchsorted(self._known, hashes)
         new = np.ones(len(hashes), dtype=bool)
@@ -190,6 +196,9 @@ class SegmentTreeBpe(ChunkCoder):
 
         rows = np.flatnonzero(tree[:, 1] < none)
         while len(rows):
+            if n == 1 and width >= _WIDE and self._merge_all(symbols[0], tree[0], before[0], after[0], int(lengths[0])):
+                rows = rows[tree[rows, 1] < none]
+                continue
             best = tree[rows, 1]
             at, merged = best % width, self._merged[best // width]
             right = after[rows, at].astype(np.int64)
@@ -209,6 +218,49 @@ class SegmentTreeBpe(ChunkCoder):
             rows = rows[tree[rows, 1] < none]
         return symbols
 
+    def _merge_all(self, symbols: np.ndarray, tree: np.ndarray, before: np.ndarray, after: np.ndarray, length: int) -> bool:
+        """Merges all pairs of the root's rank in one long word, from left to right, if that is the same as one by one.
+
+        It is, unless a pair that arises has a lower rank than the root's; then nothing is done.
+        """
+        width = len(symbols)
+        none = self._none * width
+        rank = int(tree[1]) // width
+        leaves = tree[width:]
+        at = np.flatnonzero((leaves >= rank * width) & (leaves < (rank + 1) * width))
+        # Of a run of overlapping pairs every second one merges.
+        touching = np.concatenate([[False], after[at[:-1]] == at[1:]])
+        head = np.maximum.accumulate(np.where(touching, 0, np.arange(len(at))))
+        at = at[(np.arange(len(at)) - head) % 2 == 0]
+        right = after[at].astype(np.int64)
+        beyond = after[right].astype(np.int64)
+        value = self._merged[rank]
+        old = symbols[at].copy(), symbols[right].copy()
+        symbols[at], symbols[right] = value, -1
+        more = beyond < length
+        left = before[at].astype(np.int64)
+        some = left >= 0
+        # A left neighbour that was merged away gives way to what it merged into.
+        gone = some & (symbols[np.maximum(left, 0)] < 0)
+        left[gone] = before[left[gone]]
+        follower = np.where(more, symbols[np.minimum(beyond, width - 1)], -1)
+        leading = np.full(len(at), -1, dtype=symbols.dtype)
+        leading[some] = symbols[left[some]]
+        new_at, new_left = self._ranks(np.full(len(at), value), follower), self._ranks(leading, np.full(len(at), value))
+        if min(new_at.min(), new_left.min()) < rank:
+            symbols[at], symbols[right] = old
+            return False
+        after[at] = beyond
+        before[beyond[more]] = at[more]
+        leaves[right] = none
+        leaves[at] = np.minimum(new_at * width + at, none)
+        leaves[left[some]] = np.minimum(new_left[some] * width + left[some], none)
+        level = width
+        while level > 1:
+            tree[level // 2 : level] = np.minimum(tree[level : 2 * level : 2], tree[level + 1 : 2 * level : 2])
+            level //= 2
+        return True
+
     def encode_words(self, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the newline-ended words of ``blob``, joined, and the number of ids of each."""
         data = np.frombuffer(blob, dtype=np.uint8)
@@ -308,12 +360,16 @@ class LibraryBpe(ChunkCoder):
     """The tokenizers library as the coder of each distinct chunk.
 
     Chunks go to the library some at a time, between marks: a NUL between blanks is a
-    token of its own.  Chunks that hold a NUL themselves are encoded alone.
+    token of its own.  Chunks that hold a NUL themselves are encoded alone.  The library's
+    objects take far more memory than the ids in them, so they are dropped after every
+    ``_AT_ONCE`` bytes of chunks.
     """
 
-    _TOGETHER = 64
+    _TOGETHER, _AT_ONCE = 64, 1 << 16
 
     def __init__(self, path: str):
+        # One thread in a worker: Spark's tasks are the parallelism.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
@@ -329,10 +385,15 @@ class LibraryBpe(ChunkCoder):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         odd = [i for i, c in enumerate(chunks) if b"\0" in c]
         alone = {i: self._library.encode(chunks[i].decode("utf-8", "replace"), add_special_tokens=False).ids for i in odd}
-        texts = [(b"" if i in alone else c).decode("utf-8", "replace") for i, c in enumerate(chunks)]
-        joined = [" \0 ".join(texts[i : i + self._TOGETHER]) + " \0" for i in range(0, len(texts), self._TOGETHER)]
-        coded = self._library.encode_batch_fast(joined, add_special_tokens=False)
-        ids = np.fromiter((t for e in coded for t in e.ids), dtype=np.int32)
+        found: list[np.ndarray] = []
+        low = size = 0
+        for high in range(1, len(chunks) + 1):
+            size += len(chunks[high - 1])
+            if high == len(chunks) or high - low == self._TOGETHER or size >= self._AT_ONCE:
+                texts = [(b"" if i in alone else chunks[i]).decode("utf-8", "replace") for i in range(low, high)]
+                found.append(np.array(self._library.encode(" \0 ".join(texts) + " \0", add_special_tokens=False).ids, dtype=np.int32))
+                low, size = high, 0
+        ids = np.concatenate(found)
         marks = np.flatnonzero(ids == self._mark)
         counts = np.diff(marks, prepend=-1) - 1
         ids = np.delete(ids, marks)
@@ -387,9 +448,11 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     Returns ``doc_id`` (the id's own type), ``ids`` (binary: little-endian unsigned
     32-bit integers) and ``decoded``; one row for each input row, repeated rows and
-    null ids included.  A null or empty text has no ids and decodes to the empty
-    string.  Other columns are not carried; their names can't clash.  One narrow pass:
-    nothing is shuffled, and a task holds one slice of texts.
+    null ids included.  A null or empty text, or one of blanks only (Unicode blanks
+    too), has no ids and decodes to the empty string.  A very long text is a slice of
+    its own and a very long word a tree of its own; both take memory in proportion to
+    their length.  Other columns are not carried; their names can't clash.  One narrow
+    pass: nothing is shuffled, and a task holds one slice of texts.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled at once inside a task; one longer document makes one slice.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 #: Bytes whose 64-bit intermediate arrays live at the same time.
 _HASH_BYTES = 1 << 20
 
