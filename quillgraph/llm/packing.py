@@ -20,8 +20,10 @@ from . import textarrays as ta
 
 #: Pieces of a bucket, about.
 BUCKET = 20_000
-#: Fillings tried for one largest piece, and search nodes for each sequence of the incumbent.
-_BRANCHES, _NODES = 4, 3
+#: Fillings tried for one bin, and bins filled for each bin of the incumbent; see ``complete``.
+BRANCHES, EFFORT = 4, 3
+#: Distinct lengths up to which fillings are found by all sums they can reach, else by pairs and triples.
+_FEW = 64
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,7 +92,7 @@ def least_bins(lengths: list[int], capacity: int) -> int:
     sums = np.concatenate([[0], np.cumsum(x)])
     best = -(-int(sums[-1]) // capacity)
     half = int(np.searchsorted(x, capacity // 2, side="right"))
-    for k in np.unique(x[: half + 1])[:256].tolist():
+    for k in np.unique(x[: half + 1]).tolist():
         if k > capacity // 2:
             continue
         large = int(np.searchsorted(x, capacity - k, side="right"))
@@ -122,112 +124,191 @@ class _Lengths:
             self.mask &= ~(1 << x)
             self.back &= ~(1 << (self.capacity - x))
 
-    def fillings(self, room: int) -> list[tuple[int, ...]]:
-        """Undominated fillings of ``room``, fullest first.
+    def up_to(self, room: int) -> list[int]:
+        """Distinct lengths of ``room`` at most, descending."""
+        out, mask = [], self.mask & ((2 << room) - 1)
+        while mask:
+            out.append(mask.bit_length() - 1)
+            mask &= ~(1 << out[-1])
+        return out
+
+    def greedy(self, room: int) -> tuple[int, ...]:
+        """The largest piece that fits, again and again, until none does."""
+        out: list[int] = []
+        while x := max((self.mask & ((2 << room) - 1)).bit_length() - 1, 0):
+            self.take(x)
+            out.append(x)
+            room -= x
+        for x in out:
+            self.put(x)
+        return tuple(out)
+
+    def dominated(self, filling: tuple[int, ...], room: int) -> bool:
+        """Whether a piece at hand could replace a smaller one, or two, of a filling of ``room``.
 
-        A single piece of just that size dominates all others.  A pair counts only if
-        it holds more than the largest single, a triple only if it holds more than the
-        best pair: else it could be exchanged for that one without loss.
+        What it replaces then fits where that piece will lie, so the filling can be left out.
+        """
+        waste = room - sum(filling)
+        parts = sorted(set(filling))
+        for x in filling:
+            self.count[x] -= 1
+        try:
+            for i, x in enumerate(parts):
+                for y in (0, *parts[i:]):
+                    if y and y == x and filling.count(x) < 2:
+                        continue
+                    # Larger than one piece, or as large as two together.
+                    low, high = (x + 1, x + waste) if not y else (x + y, x + y + waste)
+                    seen = (self.mask >> low) & ((1 << max(high - low + 1, 0)) - 1)
+                    while seen:
+                        z = low + (seen & -seen).bit_length() - 1
+                        if self.count[z] > 0:
+                            return True
+                        seen &= seen - 1
+            return False
+        finally:
+            for x in filling:
+                self.count[x] += 1
+
+    def fillings(self, room: int, branches: int | None) -> list[tuple[int, ...]]:
+        """Undominated fillings of ``room``, fullest first; those with larger pieces first among equals.
+
+        All of them if ``branches`` is None, else about that many of the fullest.
         """
         mask = self.mask & ((2 << room) - 1)
         single = mask.bit_length() - 1
         if single <= 0:
             return [()]
         if single == room:
-            return [(single,)]
-        found: list[tuple[int, ...]] = [(single,)]
-        exact = mask & (self.back >> (self.capacity - room))
-        pairs = []
-        while exact and len(pairs) < _BRANCHES:
-            a = exact.bit_length() - 1
-            exact &= ~(1 << a)
-            b = room - a
-            if b > a:
-                continue
-            if b < a or self.count[a] > 1:
-                pairs.append((a, b))
-        if pairs:
-            return pairs[:_BRANCHES]
-        best = single
-        rest, tried = mask, 0
-        while rest and tried < 3 * _BRANCHES:
-            a = rest.bit_length() - 1
-            rest &= ~(1 << a)
-            tried += 1
-            left = mask & ((2 << min(room - a, a)) - 1)
-            if self.count[a] < 2:
-                left &= ~(1 << a)
-            b = left.bit_length() - 1
-            if b <= 0:
-                continue
-            if a + b > best:
-                found.append((a, b))
-                best = a + b
-            third = room - a - b
-            left = mask & ((2 << min(third, b)) - 1)
-            c = left.bit_length() - 1
-            if c > 0 and self.count[c] > (c == a) + (c == b) and a + b + c > best:
-                found.append((a, b, c))
-                best = a + b + c
-        return sorted(found, key=lambda f: (-sum(f), len(f)))[:_BRANCHES]
-
-
-def complete(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Packs lengths (1 to ``capacity``) into few bins.
+            return [(single,)]  # dominates all others
+        found: dict[tuple[int, ...], None] = {}
+        if branches is not None and mask.bit_count() > _FEW:
+            exact = mask & (self.back >> (self.capacity - room))
+            tried = 0
+            firsts = self.up_to(room) if not exact else []
+            while exact and len(found) < branches:
+                a = exact.bit_length() - 1
+                exact &= ~(1 << a)
+                if room - a <= a and (room - a < a or self.count[a] > 1):
+                    found[a, room - a] = None
+            for a in firsts[: 8 * branches]:
+                if len(found) >= branches:
+                    break
+                tried += 1
+                self.take(a)
+                rest = room - a
+                both = self.mask & (self.back >> (self.capacity - rest)) if rest else 0
+                tail: tuple[int, ...] | None = None
+                if not rest or self.mask >> rest & 1:
+                    tail = (rest,) if rest else ()
+                elif both:
+                    x = both.bit_length() - 1
+                    tail = (x, rest - x) if rest - x < x or self.count[x] > 1 else None
+                if tail is None:
+                    tail = self.greedy(rest)
+                self.put(a)
+                found[tuple(sorted((a, *tail), reverse=True))] = None
+        else:
+            lengths = self.up_to(room)
+            # Sums that lengths from the i-th on can reach, each as often as it is there.
+            reach = [1] * (len(lengths) + 1)
+            for i in range(len(lengths) - 1, -1, -1):
+                sums, n, step = reach[i + 1], min(self.count[lengths[i]], room // lengths[i]), 1
+                while n:
+                    k = min(step, n)
+                    sums |= sums << (k * lengths[i])
+                    n, step = n - k, 2 * step
+                reach[i] = sums & ((2 << room) - 1)
+            sums, wanted = reach[0], branches if branches is not None else 1 << 62
+            least = lengths[-1]
+            while sums and len(found) < wanted:
+                total = sums.bit_length() - 1
+                sums &= ~(1 << total)
+                if not total or room - total >= least and branches is not None and found:
+                    break
+                self._reaching(lengths, reach, 0, total, (), found, wanted)
+            if branches is None:
+                found = {f: None for f in found if not self.dominated(f, room)}
+        ranked = sorted(found, key=lambda f: (room - sum(f), len(f), [-x for x in f]))
+        if branches is None:
+            return ranked
+        kept = [f for f in ranked if not self.dominated(f, room)]
+        return (kept or ranked)[:branches]
+
+    def _reaching(self, lengths: list[int], reach: list[int], i: int, total: int, chosen: tuple[int, ...], found: dict, wanted: int) -> None:
+        """Adds fillings that sum up to ``total`` exactly, with larger pieces first."""
+        if not total:
+            found[chosen] = None
+            return
+        for j in range(i, len(lengths)):
+            x = lengths[j]
+            if len(found) >= wanted or not reach[j] >> total & 1:
+                return
+            for n in range(min(self.count[x], total // x), 0, -1):
+                if reach[j + 1] >> (total - n * x) & 1:
+                    self._reaching(lengths, reach, j + 1, total - n * x, (*chosen, *[x] * n), found, wanted)
+                    if len(found) >= wanted:
+                        return
+
+
+def complete(lengths: list[int], capacity: int, branches: int | None = BRANCHES, effort: int | None = EFFORT) -> list[list[int]]:
+    """Packs lengths (1 to ``capacity``) into few bins, by bin completion.
 
     The best-fit solution is the first incumbent.  The search fills a bin around the
     largest piece left, tries its undominated fillings, and drops a branch once its
-    waste is more than a better solution may have.  It ends at the lower bound or when
-    its nodes are used up; then the incumbent is returned.
+    waste is more than a better solution may have.  It ends at the lower bound.
+
+    ``branches`` is how many fillings are tried for one bin, and ``effort`` how many bins
+    are filled for each bin of the incumbent and, a hundred times that, for each bin
+    that the incumbent is above the lower bound; then the incumbent is returned.  With
+    None for both the search is exhaustive and the result the least possible.
     """
     best = best_fit(lengths, capacity)
     least = least_bins(lengths, capacity)
     if len(best) <= least:
         return best
     left = _Lengths(lengths, capacity)
-    total, nodes = sum(lengths), _NODES * len(best) + 64
+    total = sum(lengths)
+    nodes = effort * (len(best) + 100 * (len(best) - least)) if effort is not None else -1
     bins: list[list[int]] = []
-    waste, todo = 0, [None]
-    stack: list[tuple[int, list[tuple[int, ...]]]] = []
+    waste = 0
+    stack: list[list[tuple[int, ...]]] = []
     allowed = (len(best) - 1) * capacity - total
+    open_next = True
     while nodes:
-        if todo:
-            if not left.mask:
-                if len(bins) < len(best):
-                    best = [b[:] for b in bins]
-                    allowed = (len(best) - 1) * capacity - total
-                    if len(best) <= least:
-                        break
-                todo = []
-            else:
+        if open_next:
+            open_next = False
+            if left.mask:
                 nodes -= 1
                 large = left.mask.bit_length() - 1
                 left.take(large)
-                stack.append((large, left.fillings(capacity - large)))
+                stack.append(left.fillings(capacity - large, branches))
                 bins.append([large])
-                todo = []
                 waste += capacity - large
+            elif len(bins) < len(best):
+                best = [b[:] for b in bins]
+                allowed = (len(best) - 1) * capacity - total
+                if len(best) <= least:
+                    break
         if not stack:
             break
-        large, choices = stack[-1]
         # Undo the filling that stands, then take the next one within the bounds.
         for x in bins[-1][1:]:
             left.put(x)
             waste += x
-        bins[-1] = [large]
-        moved = False
-        while choices:
-            f = choices.pop(0)
+        del bins[-1][1:]
+        while stack[-1]:
+            f = stack[-1].pop(0)
             if waste - sum(f) <= allowed:
                 for x in f:
                     left.take(x)
                 waste -= sum(f)
-                bins[-1] = [large, *f]
-                todo, moved = [None], True
+                bins[-1] += f
+                open_next = True
                 break
-        if not moved:
+        else:
             stack.pop()
-            bins.pop()
+            large = bins.pop()[0]
             left.put(large)
             waste -= capacity - large
     return best
@@ -273,7 +354,12 @@ def pack(pieces: DataFrame, capacity: int = 2048, bucket: int = BUCKET) -> DataF
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Places of all pieces: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
+    """Places of all pieces: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
+
+    A null or empty text is one piece with the end id; repeated rows and null ids are
+    packed each.  Other columns are not carried, so their names can't clash.  An empty
+    table gives an empty result.
+    """
     cut = cut_pieces(docs, path, capacity, end_id, id_col, text_col)
     return pack(written(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces"), capacity)
 
