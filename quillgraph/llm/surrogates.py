@@ -10,10 +10,12 @@ entity has one surrogate wherever and however it is written.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import forget, written
 
 _LOCAL = r"[\p{L}\p{N}._%+\-]"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -21,8 +23,9 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Госпожа", "Κυρία"]}
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
 #: Patterns in the order in which they are tried; each also tells the type of a match.
+#: Only single characters repeat without a bound: Java's matcher recurses for each round of a group.
 PATTERNS = {
-    "email": rf"(?<!{_LOCAL}){_LOCAL}++@[\p{{L}}\p{{N}}\-]+(?:\.[\p{{L}}\p{{N}}\-]+)*\.\p{{L}}{{2,}}",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}++@[\p{{L}}\p{{N}}\-][\p{{L}}\p{{N}}\-.]*\.\p{{L}}{{2,}}",
     "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?:sk|ghp|gho|xoxb|xoxp)[\-_][A-Za-z0-9_\-]{16,})(?![A-Za-z0-9])",
     "secret": r"(?<![0-9A-Za-z])(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,64}(?![0-9A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -122,15 +125,27 @@ def parts_of(match: Column) -> Column:
     return F.when(kind == "name", name).otherwise(F.array(F.struct(kind.alias("kind"), form.alias("form"))))
 
 
-def _grown(syllables: list[str], digest: Column, attempt: Column) -> Column:
-    """Keyed syllables, one more with each attempt after the fifth, so that a free form always comes."""
-    more = F.transform(F.sequence(F.lit(6), attempt), lambda i: _pick(syllables, _byte(digest, i)))
-    return F.when(attempt > 5, F.array_join(more, "")).otherwise("")
+def _grown(syllables: list[str], digest: Column, attempt: Column, extra: Column) -> Column:
+    """``extra`` keyed syllables, and one more with each attempt after the fifth, so that a free form always comes."""
+    n = extra + F.greatest(attempt - 5, F.lit(0))
+    # Every 24 syllables a digest of its own, so that long forms don't repeat.
+    more = F.transform(F.sequence(F.lit(1), n), lambda i: _pick(syllables, _byte(F.sha2(F.concat(digest, F.floor(i / 24).cast("string")).cast("binary"), 512), i + 7)))
+    return F.when(n > 0, F.array_join(more, "")).otherwise("")
+
 
+def _draw(entities: DataFrame, key: str, extra: Column, again: Column | None = None) -> DataFrame:
+    """``kind, form, attempt, surrogate``: what is drawn, or drawn ``again``, at each entity's attempt.
+
+    The keyed digest is a column of its own: within a loop over characters it would be computed for each.
+    """
+    digest = F.sha2(F.concat_ws("\x01", F.lit(key), "kind", "form", F.col("attempt").cast("string")).cast("binary"), 512)
+    out = _drawn(F.col("kind"), F.col("form"), F.col("attempt"), F.col("digest"), extra)
+    out = out if again is None else F.when(again, out).otherwise(F.col("surrogate"))
+    return entities.withColumn("digest", digest).select("kind", "form", "attempt", out.alias("surrogate"))
 
-def _drawn(kind: Column, form: Column, attempt: Column, key: str) -> Column:
-    """The surrogate form of an entity at one attempt."""
-    digest = F.sha2(F.concat_ws("\x01", F.lit(key), kind, form, attempt.cast("string")).cast("binary"), 512)
+
+def _drawn(kind: Column, form: Column, attempt: Column, digest: Column, extra: Column) -> Column:
+    """The surrogate form of an entity at one attempt; names get ``extra`` syllables."""
     kept = (
         F.when(kind == "key", F.regexp_extract(form, r"^(?:AKIA|[a-z]+[\-_])", 0))
         .when(kind.isin("card"), F.substring(form, 1, 1))
@@ -140,13 +155,16 @@ def _drawn(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     body = F.substring(form, F.length(kept) + 1, F.length(form))
     top = F.regexp_extract(form, r"\.\p{L}{2,}$", 0)
     mail = F.concat(_respelt(F.substring(form, F.lit(1), F.length(form) - F.length(top)), digest), top)
-    longer = F.when(attempt > 3, F.concat(F.substring(digest, 1, 4), mail)).otherwise(mail)
+    longer = F.when(attempt > 3, F.concat(F.substring(digest, F.lit(1), attempt), mail)).otherwise(mail)
+    # A format without a free form left: keyed digits follow it.
+    surplus = F.when(attempt > 12, F.translate(F.substring(digest, F.lit(60), attempt - 12), "abcdef", "012345")).otherwise("")
     octets = F.concat_ws(".", *[(F.pmod(_byte(digest, i) + _byte(digest, i + 8) * 7, F.lit(223)) + 1).cast("string") for i in range(4)])
     out = F.when(kind == "email", longer).when(kind == "ipv4", octets).when(kind == "secret", _respelt(form, digest, hexadecimal=True)).otherwise(F.concat(kept, _respelt(body, digest)))
+    out = F.when(kind == "email", out).otherwise(F.concat(out, surplus))
     for script, syllables in _SYLLABLES.items():
-        grown = _grown(syllables, digest, attempt)
-        extra = F.when(attempt > 2, F.concat(*[_pick(syllables, _byte(digest, i)) for i in (3, 4)])).otherwise("")
-        out = F.when(kind == f"surname:{script}", F.concat(*[_pick(syllables, _byte(digest, i)) for i in range(3)], extra, grown)).otherwise(out)
+        grown = _grown(syllables, digest, attempt, extra)
+        two = F.when(attempt > 2, F.concat(*[_pick(syllables, _byte(digest, i)) for i in (3, 4)])).otherwise("")
+        out = F.when(kind == f"surname:{script}", F.concat(*[_pick(syllables, _byte(digest, i)) for i in range(3)], two, grown)).otherwise(out)
         for gender, names in _GIVEN[script].items():
             plain = F.lower(_pick(names, _byte(digest, 0)))
             both = F.when(attempt > 1, F.concat(plain, F.lit("-"), F.lower(_pick(names, _byte(digest, 1))))).otherwise(plain)
@@ -155,25 +173,36 @@ def _drawn(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     return out
 
 
-def surrogate_table(entities: DataFrame, key: str, rounds: int = 40) -> DataFrame:
+def _syllables_needed(entities: DataFrame) -> Column:
+    """Syllables that a kind of names needs besides its pool, by the number of its entities (one row a kind)."""
+    pools = {f"surname:{s}": len(v) ** 3 for s, v in _SYLLABLES.items()} | {f"given:{g}:{s}": len(v) for s, x in _GIVEN.items() for g, v in x.items()}
+    extra = F.lit(0)
+    for r in entities.filter(F.col("kind").isin(list(pools))).groupBy("kind").count().collect():
+        more = math.ceil(math.log(max(1.0, 8 * r["count"] / pools[r["kind"]]), 16))
+        extra = F.when(F.col("kind") == r["kind"], F.lit(more)).otherwise(extra)
+    return extra
+
+
+def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     """``kind, form, surrogate`` of distinct entities, all surrogates distinct within a kind.
 
     Those that equal another surrogate (all but the least form) or an entity that was
-    found are drawn again.  Each round is one grouping and one join of the entities.
+    found are drawn again, until none is left; forms grow with the attempts, so that ends.
+    Each round is one grouping and one join of the entities.
     """
-    now = written(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", _drawn(F.col("kind"), F.col("form"), F.lit(0), key)), "surrogates")
-    for _ in range(rounds):
+    extra = _syllables_needed(entities)
+    now = written(_draw(entities.withColumn("attempt", F.lit(0)), key, extra), "surrogates")
+    while True:
         owner = now.groupBy("kind", "surrogate").agg(F.min("form").alias("owner"))
         real = entities.select("kind", F.col("form").alias("surrogate"), F.lit(True).alias("real"))
         met = now.join(owner, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
         again = F.coalesce("real", F.lit(False)) | (F.col("form") != F.col("owner"))
         checked = written(met.select("kind", "form", "attempt", "surrogate", again.alias("again")), "surrogates")
+        forget(now)
         if checked.filter("again").isEmpty():
             return checked.select("kind", "form", "surrogate")
-        new = F.col("attempt") + F.col("again").cast("int")
-        drawn = F.when(F.col("again"), _drawn(F.col("kind"), F.col("form"), F.col("attempt") + 1, key)).otherwise(F.col("surrogate"))
-        now = written(checked.select("kind", "form", new.alias("attempt"), drawn.alias("surrogate")), "surrogates")
-    raise RuntimeError("surrogates are still not distinct")
+        now = written(_draw(checked.withColumn("attempt", F.col("attempt") + F.col("again").cast("int")), key, extra, F.col("again")), "surrogates")
+        forget(checked)
 
 
 def _filled(match: Column, digits: Column) -> Column:
@@ -182,7 +211,8 @@ def _filled(match: Column, digits: Column) -> Column:
     step = lambda acc, c: F.when(
         c.rlike("^[0-9]$"), F.struct(F.concat(acc["out"], F.substring(digits, acc["at"], F.lit(1))).alias("out"), (acc["at"] + 1).alias("at"))
     ).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["at"].alias("at")))
-    return F.aggregate(F.filter(F.split(match, ""), lambda c: c != ""), start, step)["out"]
+    filled = F.aggregate(F.filter(F.split(match, ""), lambda c: c != ""), start, step)
+    return F.concat(filled["out"], F.substring(digits, filled["at"], F.length(digits)))
 
 
 def _written_as(match: Column, found: Column) -> Column:
@@ -207,7 +237,8 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     Null and empty texts stay as they are, with 0 entities; texts without an entity are
     untouched.  ``key`` decides the surrogates: with the same key and the same entities
     they are the same.  Repeated rows are treated alike.  An empty table gives an empty
-    result.  A column ``n_entities`` of the input is replaced.
+    result.  A column ``n_entities`` of the input is replaced.  Texts of any length are
+    searched whole; the patterns' stack does not grow with them.
 
     Plan: texts are searched where they lie.  Only those with entities are written with
     their matches; their distinct entities (summed up within tasks) are the table of
