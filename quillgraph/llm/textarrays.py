@@ -132,6 +132,15 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix64(out)
 
 
+def prefix_hashes(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """For each place a 64-bit hash of ``data[begin:place]``."""
+    up, down = _power_table(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_CODE[data] * up[:-1], out=sums[1:])
+    place = np.arange(len(data))
+    return mix64((sums[place] - sums[begin]) * down[begin] + (place - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def group_starts(docs: np.ndarray, n: int) -> np.ndarray:
     """Offsets (n + 1) of each document's run in an ascending array of document indexes."""
     return np.searchsorted(docs, np.arange(n + 1))
