@@ -61,10 +61,12 @@ def brute_components(rows, width, percent):
     return {d: (len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize("width, percent, hot, block", [(3, 90, 64, 1024), (5, 80, 3, 6), (2, 50, 64, 1024)])
-def test_near_duplicates(spark, monkeypatch, width, percent, hot, block):
+@pytest.mark.parametrize("width, percent, hot, block, known", [(3, 90, 64, 1024, 1000), (5, 80, 3, 6, 1000), (2, 50, 64, 1024, 1000), (3, 90, 2, 4, 2), (2, 60, 64, 5, 3)])
+def test_near_duplicates(spark, monkeypatch, width, percent, hot, block, known):
     monkeypatch.setattr(trie_join, "HOT", hot)
     monkeypatch.setattr(trie_join, "BLOCK", block)
+    monkeypatch.setattr(trie_join, "KNOWN_HOT", known)
+    monkeypatch.setattr(trie_join, "_SEEN", 1)
     rng = random.Random(width)
     vocab = [f"w{i}" for i in range(300)]
     texts = [None, "", " ", "one", "One", "two words", "two  WORDS", "w1 " * 4000]
@@ -82,6 +84,27 @@ def test_near_duplicates(spark, monkeypatch, width, percent, hot, block):
     assert got == brute_components(rows, width, percent)
 
 
+@pytest.mark.parametrize("own, known", [(4, 3), (9, 3), (9, 1000)])
+def test_near_duplicates_of_pages_of_one_template(spark, monkeypatch, own, known):
+    """All pages share most words, but only some of them enough; no n-gram's texts meet in one task."""
+    monkeypatch.setattr(trie_join, "BLOCK", 8)
+    monkeypatch.setattr(trie_join, "KNOWN_HOT", known)
+    monkeypatch.setattr(trie_join, "_SEEN", 1)
+    rng = random.Random(own)
+    frame = [f"t{i}" for i in range(100)]
+    rows = [(i, " ".join([f"p{i}w{j}" for j in range(rng.randint(1, own))] + frame[: rng.choice([88, 94, 100])])) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in trie_join.near_duplicates(docs, 2, 90).collect()}
+    assert got == brute_components(rows, 2, 90)
+
+
+def test_sets_that_share_a_signature_stay_apart(spark, monkeypatch):
+    table = spark.createDataFrame([(1, 3, 7, 70, [1]), (2, 3, 7, 71, [2]), (3, 2, 8, 80, [3]), (4, 3, 7, 70, [1])], "doc_id long, n long, sig long, check long, prefix array<long>")
+    got = {r.doc_id: r.sig for r in trie_join._apart(table).collect()}
+    assert got[1] == got[4] != got[2] and got[3] == 8
+    assert [got[1], got[2]] == trie_join.second_names(np.array([7, 7]), np.array([70, 71])).tolist()
+
+
 def test_near_duplicates_edge_rows(spark):
     text = "a b c d e f g h"
     docs = spark.createDataFrame([(None, text), (4, text), (2, text), (2, text), (7, None)], "doc_id long, text string")
@@ -91,9 +114,9 @@ def test_near_duplicates_edge_rows(spark):
 
 
 def test_components_of_a_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long").repartition(4)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(3000)] + [(10000, 10001), (5, 5)], "a long, b long").repartition(4)
     got = {r.node: r.component for r in cc.components(edges).collect()}
-    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+    assert got == {**{i: 0 for i in range(3001)}, 10000: 10000, 10001: 10000}
 
 
 def test_pivot_search_is_exact(spark):
