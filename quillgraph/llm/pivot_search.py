@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a candidate block and of a query block.
-BLOCK = 4096
+#: Rows of a candidate block and of a query block; a candidate is sent once for each query block.
+BLOCK, QUERY_BLOCK = 4096, 16384
 PIVOTS, _SAMPLE, _STEP = 32, 512, 256
 
 
@@ -45,6 +45,23 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as they need; the first byte tells how many."""
+    kind = next(k for k in ("<i2", "<i4", "<i8") if not x.size or np.iinfo(k).min <= x.min() and x.max() <= np.iinfo(k).max)
+    return kind[2:].encode() + x.astype(kind).tobytes()
+
+
+def _wide(raw: bytes, rows: int) -> np.ndarray:
+    x = np.frombuffer(raw, f"<i{raw[:1].decode()}", offset=1)
+    return x.reshape(rows, -1 if len(x) else 0).astype(np.int64)
+
+
+def _products(c: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows with a vector: in doubles where those hold every sum."""
+    most = (int(np.abs(c).max(initial=0)) + 1) * (int(np.abs(q).max(initial=0)) + 1) * max(len(q), 1)
+    return (c.astype(np.float64) @ q.astype(np.float64)).astype(np.int64) if most < 1 << 52 else c @ q
+
+
 def _blocks(vectors: DataFrame, n: int, pivots: dict[int, np.ndarray]) -> DataFrame:
     """One row for each block: ids, vectors and the pivot table."""
 
@@ -57,7 +74,7 @@ def _blocks(vectors: DataFrame, n: int, pivots: dict[int, np.ndarray]) -> DataFr
             {
                 "dim": pa.array([dim], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()),
                 "ids": pa.array([np.asarray(group.column("vec_id"), dtype=np.int64).tobytes()], pa.binary()),
-                "x": pa.array([x.tobytes()], pa.binary()), "d": pa.array([d.astype(np.float64).tobytes()], pa.binary()),
+                "x": pa.array([_narrow(x)], pa.binary()), "d": pa.array([d.astype(np.float32).tobytes()], pa.binary()),
             }
         )
 
@@ -65,30 +82,39 @@ def _blocks(vectors: DataFrame, n: int, pivots: dict[int, np.ndarray]) -> DataFr
     return dealt.groupBy("dim", "block").applyInArrow(run, "dim int, block int, ids binary, x binary, d binary")
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, qd: np.ndarray, c_ids: np.ndarray, c: np.ndarray, cd: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best candidates of a block (ids and scores), its own id left out."""
+def search_block(
+    q_ids: np.ndarray, q: np.ndarray, qd: np.ndarray, c_ids: np.ndarray, c: np.ndarray, cd: np.ndarray, k: int, least: dict[int, int] | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """For each query its k best candidates of a block (ids and scores), its own id left out, and how many were evaluated.
+
+    ``least`` has scores that k candidates of a query are known to reach; worse ones are left out.
+    """
     c_norm = (c.astype(np.float64) ** 2).sum(axis=1)
     q_norm = (q.astype(np.float64) ** 2).sum(axis=1)
     for i in range(len(q)):
-        near = np.abs(cd - qd[i]).max(axis=1) if cd.shape[1] else np.zeros(len(c))
+        near = np.abs(cd - qd[i]).max(axis=1).astype(np.float64) if cd.shape[1] else np.zeros(len(c))
         bound = (q_norm[i] + c_norm - near**2) / 2
-        bound += 1e-9 * (q_norm[i] + c_norm) + 1e-6  # more than rounding can take away
+        bound += 1e-6 * (q_norm[i] + c_norm) + 1e-6  # more than rounding can take away
         bound[c_ids == q_ids[i]] = -np.inf
-        order = np.argsort(-bound, kind="stable")
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        floor = (least or {}).get(int(q_ids[i]), -np.inf)
+        order = np.flatnonzero((bound >= floor) & (bound > -np.inf))
+        order = order[np.argsort(-bound[order], kind="stable")]
+        ids, scores, evaluated = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         for low in range(0, len(order), _STEP):
             part = order[low : low + _STEP]
-            if bound[part[0]] == -np.inf or (len(ids) >= k and bound[part[0]] < scores[-1]):
+            if len(ids) >= k and bound[part[0]] < scores[-1]:
                 break
-            part = part[bound[part] > -np.inf]
-            ids, scores = np.concatenate([ids, c_ids[part]]), np.concatenate([scores, c[part] @ q[i]])
+            evaluated += len(part)
+            ids, scores = np.concatenate([ids, c_ids[part]]), np.concatenate([scores, _products(c[part], q[i])])
             best = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[best], scores[best]
-        yield int(q_ids[i]), ids, scores
+        if least is not None and len(scores) >= k:
+            least[int(q_ids[i])] = max(int(scores[-1]), least.get(int(q_ids[i]), int(scores[-1])))
+        yield int(q_ids[i]), ids, scores, evaluated
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 1024) -> DataFrame:
-    """The k best rows of each query: ``query_id, rank, vec_id, score``.
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 1024, counted: bool = False) -> DataFrame:
+    """The k best rows of each query: ``query_id, rank, vec_id, score``; with ``counted`` also the candidates ``evaluated`` for it.
 
     Components become floor(factor * x); the score is the integer inner product (it must
     fit 64 bits), ties go to the smaller id.  Rows with a query's own id are left out of
@@ -103,7 +129,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     for r in rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(_SAMPLE).collect():
         sample.setdefault(len(r["v"]), []).append(r["v"])
     pivots = {dim: _choose_pivots(np.array(x, dtype=np.float64), PIVOTS) for dim, x in sample.items() if dim}
-    n_c, n_q = max(1, -(-total // BLOCK)), max(1, -(-asked // BLOCK))
+    n_c, n_q = max(1, -(-total // BLOCK)), max(1, -(-asked // QUERY_BLOCK))
     candidates = _blocks(rows.select("vec_id", "v"), n_c, pivots).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
     queries = _blocks(rows.filter("is_query").select("vec_id", "v"), n_q, pivots).select(
         F.col("dim").alias("q_dim"), F.col("block").alias("q_number"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.col("d").alias("q_d"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("c_block")
@@ -111,22 +137,28 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     pairs = candidates.join(queries, (F.col("dim") == F.col("q_dim")) & (F.col("q_block") == F.col("q_number")) & (F.col("block") == F.col("c_block")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, int] = {}  # a task's later blocks profit from its earlier ones
         for batch in batches:
             for r in range(batch.num_rows):
                 dim, block, c_ids, c, cd, q_ids, q, qd = (batch.column(j)[r].as_py() for j in range(8))
                 c_ids, q_ids = np.frombuffer(c_ids, np.int64), np.frombuffer(q_ids, np.int64)
-                shape = lambda raw, kind, n: np.frombuffer(raw, kind).reshape(n, -1 if len(raw) else 0)
-                found = list(search_block(q_ids, shape(q, np.int64, len(q_ids)), shape(qd, np.float64, len(q_ids)), c_ids, shape(c, np.int64, len(c_ids)), shape(cd, np.float64, len(c_ids)), k))
-                sizes = [len(ids) for _, ids, _ in found]
+                far = lambda raw, n: np.frombuffer(raw, np.float32).reshape(n, -1 if len(raw) else 0)
+                if len(least) > 1 << 20:
+                    least = {}
+                found = list(search_block(q_ids, _wide(q, len(q_ids)), far(qd, len(q_ids)), c_ids, _wide(c, len(c_ids)), far(cd, len(c_ids)), k, least))
+                sizes = [len(ids) for _, ids, _, _ in found]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.repeat([i for i, _, _ in found], sizes), pa.int64()), pa.array(np.concatenate([x for _, x, _ in found]), pa.int64()),
-                        pa.array(np.concatenate([s for _, _, s in found]), pa.int64()), pa.array(np.full(sum(sizes), block), pa.int32()),
+                        pa.array(np.repeat([f[0] for f in found], sizes), pa.int64()), pa.array(np.concatenate([f[1] for f in found]), pa.int64()),
+                        pa.array(np.concatenate([f[2] for f in found]), pa.int64()), pa.array(np.full(sum(sizes), block), pa.int32()),
+                        pa.array(np.repeat([f[3] for f in found], sizes), pa.int64()),
                     ],
-                    ["query_id", "vec_id", "score", "block"],
+                    ["query_id", "vec_id", "score", "block", "evaluated"],
                 )
 
-    found = pairs.select("dim", "block", "ids", "x", "d", "q_ids", "q_x", "q_d").mapInArrow(run, "query_id long, vec_id long, score long, block int")
+    found = pairs.select("dim", "block", "ids", "x", "d", "q_ids", "q_x", "q_d").mapInArrow(run, "query_id long, vec_id long, score long, block int, evaluated long")
+    if counted:
+        spent = found.select("query_id", "block", "evaluated").distinct().groupBy("query_id").agg(F.sum("evaluated").alias("evaluated"))
     order = [F.desc("score"), F.asc("vec_id")]
     groups = n_c
     while groups > 64:  # few rows of a query meet at once, however many blocks there are
@@ -134,4 +166,5 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
         found = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*order))).filter(F.col("n") <= k).drop("n")
         groups = -(-groups // 64)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
+    best = found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
+    return best.join(spent, "query_id") if counted else best
