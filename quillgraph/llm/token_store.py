@@ -13,13 +13,15 @@ A shard file holds, in this order:
 
 The index is built in levels: a key that falls alone on a bit of a level owns it, the
 others go to the next level.  The rank of an owned bit is the key's slot, so n keys
-have the slots 0 to n - 1, and a lookup reads a few bits, one rank and one slot.
+have the slots 0 to n - 1, and a lookup reads a few bits, one rank and one slot.  Keys
+whose 64-bit hash another key of the shard has are listed apart and compared as text.
 """
 
 from __future__ import annotations
 
 import io
 import json
+import math
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -30,6 +32,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import shared_path, written
 from . import bpe
@@ -73,7 +76,7 @@ class PerfectHash:
         left, sizes, parts = hashes, [], []
         while len(left):
             if len(sizes) == _LEVELS:
-                raise ValueError("two keys share all 64 bits of their hash")
+                raise ValueError("the hashes are not distinct")
             size = max(8, int(_LOAD * len(left)))
             at = _spot(left, len(sizes), size)
             alone = np.bincount(at, minlength=size) == 1
@@ -110,6 +113,8 @@ class ShardReader:
         self.offsets, self._prints, self._first, self._run = part["offsets"], part["prints"], part["first"], part["run"]
         bits = np.unpackbits(part["bits"], count=sum(self.footer["levels"])).astype(bool)
         self.hash = PerfectHash(self.footer["levels"], bits)
+        #: Keys that share their hash with another one: text (or None) to first document and number.
+        self._clashes = {(None if k is None else str(k)): (f, n) for k, f, n in self.footer["clashes"]}
 
     def close(self) -> None:
         self._file.close()
@@ -128,6 +133,10 @@ class ShardReader:
         good[good] = self._prints[slots[good]] == fingerprints(hashes[good])
         first, run = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
         first[good], run[good] = self._first[slots[good]], self._run[slots[good]]
+        if self._clashes:
+            for i, key in enumerate(keys.cast(pa.string()).to_pylist()):
+                if key in self._clashes:
+                    first[i], run[i] = self._clashes[key]
         return first, run
 
     def ids(self, first: int, last: int) -> np.ndarray:
@@ -138,6 +147,14 @@ class ShardReader:
         return np.frombuffer(self._file.read_at((b - a) * width, at + a * width), dtype=kind)
 
 
+def _run_starts(column: pa.Array, hashes: np.ndarray) -> np.ndarray:
+    """Where a key differs from the one before; two keys of one hash are compared themselves."""
+    new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+    for i in np.flatnonzero(~new).tolist():
+        new[i] = column[i] != column[i - 1] if column[i].is_valid and column[i - 1].is_valid else column[i].is_valid != column[i - 1].is_valid
+    return np.flatnonzero(new)
+
+
 def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int) -> dict[str, Any] | None:
     coder = bpe.load(path, library=True)
     kind = "<u2" if len(coder.tokens) <= 1 << 16 else "<u4"
@@ -156,10 +173,20 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_
                 total += len(ids)
         if keys:
             column = pa.chunked_array(keys).combine_chunks()
+            solid = column.drop_null()
+            least, greatest = (solid[0].as_py(), solid[-1].as_py()) if len(solid) else (None, None)
+            nulls = column.null_count
             hashes = key_hashes(column)
             # Equal keys are neighbours, as the rows are in key order.
-            first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+            first = _run_starts(column, hashes)
             run = np.diff(np.append(first, len(hashes)))
+            _, which, times = np.unique(hashes[first], return_index=True, return_counts=True)
+            alone = np.zeros(len(first), dtype=bool)
+            alone[which] = True
+            shared = np.isin(hashes[first], hashes[first][which[times > 1]]) if (times > 1).any() else np.zeros(len(first), dtype=bool)
+            names = column.take(pa.array(first[shared])).cast(pa.string()).to_pylist()
+            clashes = [[k, int(f), int(n)] for k, f, n in zip(names, first[shared], run[shared], strict=True)]
+            first, run, documents = first[alone], run[alone], len(hashes)
             index = PerfectHash.build(hashes[first])
             order = np.argsort(index.slots(hashes[first]))
             stream = io.BytesIO()
@@ -182,19 +209,20 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_
                 at += len(data)
             places["keys"] = [at, stream.tell(), "arrow"]
             out.write(stream.getvalue())
-            footer = json.dumps({"documents": len(hashes), "ids": total, "levels": index.sizes, "parts": places}).encode()
+            footer = json.dumps({"documents": documents, "ids": total, "levels": index.sizes, "parts": places, "clashes": clashes}).encode()
             out.write(footer + len(footer).to_bytes(8, "little"))
     if not keys:
         fs.delete_file(f"{root}/{name}")
         return None
-    return {"shard": TaskContext.get().partitionId(), "file": f"{folder}/{name}", "documents": len(hashes), "ids": total}
+    return {"shard": TaskContext.get().partitionId(), "file": f"{folder}/{name}", "documents": documents, "ids": total, "least": least, "greatest": greatest, "nulls": nulls}
 
 
 def write_store(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and writes all documents in ascending key order; returns the manifest.
 
-    The manifest has one row for each shard: ``shard, file, documents, ids, start``,
-    where ``start`` is the number of ids in all shards before.  Null keys come first.
+    The manifest has one row for each shard: ``shard, file, documents, ids, least,
+    greatest, nulls, start``: its keys' bounds, its rows with a null key, and the number
+    of ids in all shards before.  Null keys come first.
     Rows with equal keys are neighbours in the order of the input.  A null or empty
     text is its end id alone.  Other columns are not carried.  An empty table gives no
     shard.  ``folder`` is a folder that all executors share (by default one in the
@@ -207,12 +235,15 @@ def write_store(docs: DataFrame, path: str, folder: str | None = None, end_id: i
     shards = max(1, rows.rdd.getNumPartitions())
     ordered = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row").select("doc_id", "text")
 
+    arrow = to_arrow_type(rows.schema["doc_id"].dataType)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = _write_shard(batches, folder, path, end_id)
         if row:
-            yield pa.RecordBatch.from_pylist([row])
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int64()), ("file", pa.string()), ("documents", pa.int64()), ("ids", pa.int64()), ("least", arrow), ("greatest", arrow), ("nulls", pa.int64())]))
 
-    manifest = written(ordered.mapInArrow(run, "shard long, file string, documents long, ids long"), "token-manifest")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    manifest = written(ordered.mapInArrow(run, f"shard long, file string, documents long, ids long, least {kind}, greatest {kind}, nulls long"), "token-manifest")
     return _with_starts(spark, manifest)
 
 
@@ -220,9 +251,10 @@ def _with_starts(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """One small row for each shard; there are as many as input splits."""
     start, out = 0, []
     for r in manifest.orderBy("shard").collect():
-        out.append((r["shard"], r["file"], r["documents"], r["ids"], start))
+        out.append((*r, start))
         start += r["ids"]
-    return spark.createDataFrame(out, "shard long, file string, documents long, ids long, start long").repartition(max(1, len(out)))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in manifest.schema.fields)
+    return spark.createDataFrame(out, f"{schema}, start long").repartition(max(1, len(out)))
 
 
 def read_store(manifest: DataFrame, key_type: str = "bigint") -> DataFrame:
@@ -259,13 +291,24 @@ def read_store(manifest: DataFrame, key_type: str = "bigint") -> DataFrame:
 def lookup(manifest: DataFrame, wanted: DataFrame, key_col: str = "doc_id") -> DataFrame:
     """Ids of some keys: ``key, ids``, one row for each stored document of each distinct key.
 
-    Keys are grouped in blocks of 4,096; each block meets every shard once, and asks
-    its index.  Keys that no shard has give no row.
+    A key meets the shards whose bounds hold it (more than one only where a repeated key
+    spans shards), and each shard's index is asked once for a block of its keys.  Keys
+    that no shard has give no row; a null key finds the rows with a null key.
+
+    Shards are found in two steps: of about the root of their number of groups, whose
+    bounds are broadcast, and then of a group's shards in a join on the group.
     """
     key_type = wanted.schema[key_col].dataType.simpleString()
-    blocks = wanted.select(F.col(key_col).alias("key")).distinct().groupBy(F.spark_partition_id().alias("p"), F.floor(F.monotonically_increasing_id() / 4096).alias("b")).agg(F.collect_list(F.struct("key")).alias("keys"))
-    files = [r["file"] for r in manifest.select("file").collect()]
-    asked = blocks.withColumn("file", F.explode(F.array(*[F.lit(f) for f in files]) if files else F.array().cast("array<string>"))).select("file", F.expr("transform(keys, k -> k.key)").alias("keys"))
+    count = manifest.count()
+    wide = max(1, math.isqrt(count))
+    shards = manifest.select("file", "least", "greatest", "nulls", (F.col("shard") / wide).cast("int").alias("group"))
+    groups = shards.groupBy("group").agg(F.min("least").alias("low"), F.max("greatest").alias("high"))
+    keys = wanted.select(F.col(key_col).alias("key")).distinct()
+    met = keys.filter("key is not null").join(F.broadcast(groups), F.col("key").between(F.col("low"), F.col("high")))
+    met = met.join(shards, "group").filter(F.col("key").between(F.col("least"), F.col("greatest"))).select("file", "key")
+    none = keys.filter("key is null").crossJoin(F.broadcast(shards.filter("nulls > 0").select("file"))).select("file", "key")  # one row at most on the left
+    both = met.unionByName(none).withColumn("b", F.floor(F.monotonically_increasing_id() / 4096))
+    asked = both.groupBy("file", F.pmod(F.xxhash64("key"), F.lit(16)).alias("part"), "b").agg(F.collect_list(F.struct("key")).alias("keys")).select("file", F.expr("transform(keys, k -> k.key)").alias("keys"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
