@@ -129,18 +129,20 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 150)
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> LanguageModel | None:
     """Trains on a sample of the rows that have a language; None if there are none.
 
-    The sample takes about ``per_language`` rows of each language, by a hash of the id,
-    so it is bounded whatever the table's size and the same wherever it is drawn.  Only
-    the features of the sample reach the driver.
+    The sample takes about ``per_language`` rows of each language, by a hash of the id
+    and the text, and of them the ``2 * per_language`` times the languages with the least
+    hash, so it is bounded however often rows repeat and the same wherever it is drawn.
+    Ties of that hash go by language.  Only the features of the sample reach the driver.
     """
     rows = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).filter("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
     languages = sorted(counts)
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
+    draw = F.col("draw") / F.lit(float(1 << 30))
     share = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(min(1.0, per_language / n))) for k, n in counts.items()))
-    sample = rows.filter(draw < share[F.col("lang")]).select("lang", "text")
+    drawn_rows = rows.select("lang", "text", drawn.alias("draw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,11 +150,16 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                 for low in range(0, len(piece), _BLOCK):
                     high = min(low + _BLOCK, len(piece))
                     x = trigram_features(piece, low, high).astype("<f2")
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first + low, high - low), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first + low, high - low), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2).slice(piece.first + low, high - low)], ["lang", "x", "draw"])
 
-    got = sample.mapInArrow(run, "lang string, x binary").toArrow()
-    if not got.num_rows:
-        return None
+    def features(some: DataFrame, least: int) -> pa.Table:
+        return some.mapInArrow(run, "lang string, x binary, draw long").orderBy("draw", "lang").limit(least).toArrow()
+
+    got = features(drawn_rows.filter(draw < share[F.col("lang")]), 2 * per_language * len(languages))
+    # Where a language's rows are all alike the draw may leave none of them.
+    missing = sorted(set(languages) - set(got.column("lang").to_pylist()))
+    if missing:
+        got = pa.concat_tables([got, features(drawn_rows.filter(F.col("lang").isin(missing)), per_language * len(missing))])
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), dtype="<f2").reshape(got.num_rows, FEATURES).astype(np.float32)
     place = {k: i for i, k in enumerate(languages)}
     y = np.array([place[k] for k in got.column("lang").to_pylist()])
@@ -185,7 +192,9 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     ``lang_pred`` is ``und`` and ``score`` 0 for null texts, texts without a letter, and
     if there is no model.  ``score`` is the share of the nearest codeword (0 to 1);
     ``ambiguous`` tells that the second codeword's share is within ``margin`` of it.
-    One row for each input row; other columns are not carried.
+    One row for each input row, repeated ones and null ids too; other columns are not
+    carried.  Of equally near codewords the language first in order is taken.  Texts of
+    any length are read whole; an empty table gives an empty result.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

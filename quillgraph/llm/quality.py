@@ -172,18 +172,20 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """Trains on at most ``sample`` labelled rows, those with the smallest hash of the id.
 
     Null labels and ids are left out; None if no labelled text is found.  The sample's
-    ids (bounded by ``sample``) are broadcast, and only its statistics reach the driver.
+    ids (bounded by ``sample``) are broadcast.  An id may have several rows; of all that
+    match, the ``sample`` with the least hash of id and text are taken, so that what
+    reaches the driver, their statistics, is bounded too.
     """
     chosen = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).filter("id is not null and y in (0, 1)").orderBy(F.xxhash64("id"), "id", "y").limit(sample)
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "id").select("y", "text", F.xxhash64("id", "text").alias("draw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in ta.slices(batch.column(1)):
                 x = statistics(piece)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), pa.array(list(x), pa.list_(pa.float64())), batch.column(2).slice(piece.first, len(piece))], ["y", "x", "draw"])
 
-    got = rows.mapInArrow(run, "y int, x array<double>").toArrow()
+    got = rows.mapInArrow(run, "y int, x array<double>, draw long").orderBy("draw", "y").limit(sample).toArrow()
     if not got.num_rows:
         return None
     x = np.array(got.column("x").to_pylist())
@@ -197,7 +199,8 @@ def predict(docs: DataFrame, model: Trees | None, threshold: float = 0.3, id_col
 
     ``score`` is 0 to 1, higher where label 1 is likelier; null and empty texts have
     the score of an empty text.  Without a model all scores are 0.5.  One row for each
-    input row; other columns are not carried.
+    input row, repeated ones and null ids too; other columns are not carried.  Texts of
+    any length are read whole; an empty table gives an empty result.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
