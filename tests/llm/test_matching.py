@@ -189,3 +189,34 @@ def test_given_names_grow_beyond_the_joined_ones(spark):
     rows = [("given:f:latin", f"g{i}") for i in range(6000)] + [("given:m:greek", f"γ{i}") for i in range(300)]
     table = surrogates.surrogate_table(spark.createDataFrame(rows, "kind string, form string"), "k").collect()
     assert len(table) == len(rows) and len({(r.kind, r.surrogate) for r in table}) == len(rows)
+
+
+def test_surrogates_of_very_long_texts_and_many_names(spark):
+    shapes = ["x@a" + ".ab" * 40_000, "a" * 100_000 + "@x.com", "1.1." * 30_000, "+1" + " 22" * 40_000, "a@b." * 30_000, "sk-" + "a" * 100_000, "DE12" + " ABCD" * 20_000, "@" * 100_000]
+    letters = "αβγδεζηθικλμνξοπ"
+    names = [f"Κυρία {letters[n & 15].upper()}{letters[n >> 4 & 15]}{letters[n >> 8]}ς" for n in range(2000)]
+    both = [f"Κυρία Α{letters[n & 15]}{letters[n >> 4 & 15]}α Β{letters[n >> 4 & 15]}{letters[n & 15]}ης" for n in range(256)]
+    texts = shapes + names + both
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in surrogates.replace_entities(docs, "k").collect()}
+    assert len(got) == len(texts) and got[1].text.endswith(".com") and got[1].text != texts[1] and got[7].text == texts[7]
+    new = [got[i].text for i in range(len(shapes), len(texts))]
+    assert len(set(new)) == len(new) and not set(new) & set(texts) and all(x.startswith("Κυρία ") for x in new)
+
+
+@pytest.mark.parametrize("kind", list(surrogates.PATTERNS))
+def test_every_kind_is_found_alone(spark, kind):
+    text = {
+        "email": "ann@example.org", "key": "ghp_abcdefghijklmnopqrst", "secret": "a" + "0b" * 20, "iban": "DE89 3704 0044 0532 0130 00", "ipv4": "25.36.57.24",
+        "ssn": "123-45-6789", "card": "4162 4534 0949 4942", "phone": "+1 (242) 555-3475", "name": "Mrs Smith",
+    }[kind]
+    docs = spark.createDataFrame([(1, f"token {text}")], "doc_id long, text string")
+    (row,) = surrogates.replace_entities(docs, "k").collect()
+    assert row.n_entities == 1 and text not in row.text
+
+
+def test_pivot_search_counts_what_it_evaluates(spark):
+    x = np.random.default_rng(1).normal(size=(300, 4)) * np.repeat([[1.0], [100.0], [10000.0]], 100, axis=0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5, x[5].tolist())], "vec_id long, embedding array<double>")
+    rows = pivot_search.top_k(df, F.col("vec_id") % 100 == 0, k=3, counted=True).collect()
+    assert len(rows) == 9 and all(3 <= r.evaluated <= 300 for r in rows)

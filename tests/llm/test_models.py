@@ -111,14 +111,73 @@ def test_context_mixing_base_scores(spark):
     assert context_mixing.score_corpus(docs.limit(0), training).collect() == []
 
 
-def test_bit_probabilities_of_all_tokens_sum_to_one():
-    model = context_mixing.Mixer.empty()
-    counts = np.zeros(len(model.counts), np.float32)
-    context_mixing.count_bits([b"a", b"ab"], np.array([3, 1]), counts, 1.0)
-    model.counts = context_mixing._coded(counts)
+def learnt(bits):
+    model = context_mixing.Mixer(bits)
+    model.begin()
+    return model
+
+
+def frozen(model):
+    """As ``freeze`` makes it of one task's counters."""
+    codes = np.searchsorted(context_mixing._CUTS, model.counts.astype(np.float64)).astype(np.uint16)
+    model.pairs = codes[::2] << np.uint16(8) | codes[1::2]
+    return model
+
+
+def test_codes_are_prefix_free_and_their_probabilities_sum_to_one():
+    import pyarrow as pa
+
+    words = [b"", *(f"w{i}".encode() for i in range(40))]
+    counts = np.array([30, *(2 + 40 // (i + 1) for i in range(40))])
+    d = context_mixing.Dictionary.of(context_mixing.token_hashes(words), counts, int(counts.sum()) + 9)
+    spelt = [format(int(c), f"0{n}b") for c, n in zip(d.code, d.size, strict=True)]
+    assert not any(x != y and y.startswith(x) for x in spelt for y in spelt) and len(set(spelt)) == 42
+    model = learnt([16] * 4)
+    text = "w1 w2 w3 w1 w2 zz w0 " * 30
+    (piece,) = ta.slices(pa.array([text]))
+    t = context_mixing.Tokens(piece, d)
+    for low in range(0, len(t.hash), 16):
+        _, bit, slots = t.bits(d, model, low, min(low + 16, len(t.hash)))
+        model.learn(slots, bit)
+    frozen(model)
+    # After "w1" each symbol in turn: what all of them have together can't be more than one.
+    total = {}
+    for w in [*(x.decode() for x in words[1:]), "zz", ""]:
+        (piece,) = ta.slices(pa.array([f"w1 {w}"]))
+        t = context_mixing.Tokens(piece, d)
+        _, bit, slots = t.bits(d, model, 1, 2)
+        total[w] = 10 ** float(model.log10(slots, bit).sum())
+    assert 0.9 < sum(total.values()) <= 1 + 1e-3 and max(total, key=total.get) == "w2"
+
+
+def test_spellings():
+    model = learnt([16, 16, 16, 16, 16])
+    s = context_mixing.Spelling([b"abc", b"abd"] * 20)
+    for low in range(0, len(s.data), 16):
+        _, bit, slots = s.bits(model, low, min(low + 16, len(s.data)))
+        model.learn(slots, bit)
+    frozen(model)
     one = [bytes([b]) for b in range(256) if b != 0x20]
-    first = 10 ** context_mixing.log10_words([b""], model)[0]
-    # The first byte is a blank (the end), or any other one, after which all is left.
-    starts = sum(10 ** x for x in context_mixing.log10_words(one, model))
-    assert 0 < first < 1 and first + starts <= 1 + 1e-9
-    assert context_mixing.log10_words([b"a"], model)[0] > context_mixing.log10_words([b"q"], model)[0]
+    ends = 10 ** context_mixing.log10_spellings([b""], model)[0]
+    assert 0 < ends < 1 and ends + sum(10**x for x in context_mixing.log10_spellings(one, model)) <= 1 + 1e-3
+    words = [b"abc", b"xyz", b"", b"q" * 100_000, b"abd"]
+    together = context_mixing.log10_spellings(words, model)
+    assert np.allclose(together, [context_mixing.log10_spellings([w], model)[0] for w in words], rtol=1e-5)
+    assert together[0] > together[1]
+
+
+def test_a_very_long_token_is_scored(spark):
+    docs = spark.createDataFrame([(1, "a b a b a b " + "x" * 1_000_000), (2, "\u3000" * 1000), (3, "a b")], "doc_id long, text string")
+    got = {r.doc_id: r for r in context_mixing.score_corpus(docs, F.col("doc_id") < 3).collect()}
+    assert got[1].n_tokens == 8 and got[3].n_known == 3 and all(r.score < 0 for r in got.values())
+
+
+def test_samples_stay_bounded_with_null_and_repeated_ids(spark):
+    rows = [(None, "the and of to", "en"), (1, "der und von zu", "de")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, per_language=20)
+    assert {r.lang_pred for r in language_id.predict(docs.filter("lang = 'de'"), model).collect()} <= {"de", "en"}
+    labels = spark.createDataFrame([(1, 1, "x")], "doc_id long, quality int, text string")
+    many = spark.createDataFrame([(1, "good text here", 5)] * 200, "doc_id long, text string, quality int")
+    assert quality.fit(many, labels, sample=10) is not None
+    assert quality.predict(many.limit(0), None).collect() == []

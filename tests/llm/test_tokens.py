@@ -73,6 +73,44 @@ def test_bin_completion_is_optimal_on_small_sets():
         assert packing.least_bins(lengths, capacity) <= len(bins) == optimum(lengths, capacity)
 
 
+def test_exhaustive_completion_is_optimal():
+    rng = random.Random(5)
+    for _ in range(100):
+        capacity = rng.choice([10, 20, 40])
+        lengths = [rng.randint(1, capacity) for _ in range(rng.randint(1, 9))]
+        assert len(packing.complete(lengths, capacity, None, None)) == optimum(lengths, capacity)
+
+
+@pytest.mark.parametrize("kind, worse", [("triplets", 0.025), ("with small", 0.01), ("large", 0.012), ("mixed", 0.01), ("seven", 0.01), ("six", 0.01), ("twelve", 0.01)])
+def test_bin_completion_comes_near_the_bound(kind, worse):
+    capacity, found, bound = 2048, 0, 0
+    for seed in range(6):
+        rng = random.Random(seed)
+        full = lambda k, r=rng: [b - a for _ in range(60) for x in [sorted(r.sample(range(1, capacity), k - 1))] for a, b in zip([0, *x], [*x, capacity], strict=True)]
+        lengths = {
+            "triplets": lambda: full(3), "with small": lambda r=rng: full(3) + [r.randint(20, 60) for _ in range(100)], "large": lambda r=rng: [r.randint(300, 1000) for _ in range(400)],
+            "mixed": lambda r=rng: [r.randint(100, 900) for _ in range(400)], "seven": lambda r=rng: [r.choice([190, 240, 301, 377, 455, 560, 683]) for _ in range(600)],
+            "six": lambda: full(6), "twelve": lambda: full(12),
+        }[kind]()
+        bins = packing.complete(lengths, capacity)
+        assert sorted(sum(bins, [])) == sorted(lengths) and all(sum(b) <= capacity for b in bins)
+        found, bound = found + len(bins), bound + packing.least_bins(lengths, capacity)
+    assert found <= bound * (1 + worse)
+
+
+def test_segment_tree_equals_the_library_on_odd_and_long_words(library):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = ["\xa0", "\x85", "\u3000\u2003", "<|endoftext|>\xa0", "\u2028<|endoftext|>", "=" * 5000, "ab" * 3000, "".join(rng.choices("etaoin", k=6000)), None]
+    texts += ["".join(rng.choices("abcXYZ 0'’s\n\xa0\u3000éßΣσς.,-=!\0日😀", k=rng.randint(0, 50))) for _ in range(300)]
+    for coder in (bpe.SegmentTreeBpe(PATH), bpe.LibraryBpe(PATH)):
+        for piece in ta.slices(pa.array(texts)):
+            ids, offsets = coder.chunks_of(piece).documents()
+            for i in range(len(piece)):
+                assert ids[offsets[i] : offsets[i + 1]].tolist() == library.encode(texts[piece.first + i] or "", add_special_tokens=False).ids
+
+
 def test_packing_covers_all_pieces(spark, docs, library):
     rows = packing.pack_documents(docs, PATH, capacity=64, end_id=0).collect()
     want = []
@@ -117,9 +155,17 @@ def test_token_store_round_trip(spark, docs, library):
         at += r.n_tokens
     wanted = spark.createDataFrame([(2,), (5,), (77,)], "doc_id long")
     assert sorted(r.key for r in token_store.lookup(manifest, wanted).collect()) == [2, 2, 5]
+    wanted = spark.createDataFrame([(None,), (2,), (None,)], "doc_id long")
+    assert sorted(str(r.key) for r in token_store.lookup(manifest, wanted).collect()) == ["2", "2", "None"]
     assert token_store.read_store(token_store.write_store(docs.limit(0), PATH)).collect() == []
 
 
+def test_keys_that_share_a_hash_are_found(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "key_hashes", lambda keys: np.arange(len(keys), dtype=np.uint64) // 2 if len(keys) > 1 else np.zeros(1, np.uint64))
+    column = __import__("pyarrow").array([3, 3, 4, 9])
+    assert token_store._run_starts(column, np.array([1, 1, 1, 1], np.uint64)).tolist() == [0, 2, 3]
+
+
 def test_perfect_hash_is_minimal():
     hashes = np.unique(np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64))
     index = token_store.PerfectHash.build(hashes)
