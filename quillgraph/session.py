@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch where the session has Spark's default.
+ARROW_ROWS = 2000
 _shipped: dict[str, bool] = {}
 
 
@@ -16,8 +18,12 @@ def ship_package(spark: SparkSession) -> None:
     """Makes this package importable in Python workers, once for each application.
 
     Spark distributes the archive itself, so executors need no shared folder for it.
+    Arrow batches get ``ARROW_ROWS`` rows, unless the session has a number of its own:
+    rows are whole texts here, and a task holds some copies of a batch.
     """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     if _shipped.get(sc.applicationId):
         return
     root = Path(__file__).resolve().parent
