@@ -7,7 +7,9 @@ task does not depend on the number of rows of its partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,8 +83,23 @@ def text_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that gives freed memory back, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; a worker lives on after its task, beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[TextSlice]:
-    """Cuts a text column between documents into slices of about ``limit`` bytes."""
+    """Cuts a text column between documents into slices of about ``limit`` bytes; memory is given back after them."""
     data, offsets = text_column(column)
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -91,6 +108,8 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[TextSlice]:
         base = offsets[i]
         yield TextSlice(i, data[base : offsets[j]], offsets[i:j] - base, offsets[i + 1 : j + 1] - base)
         i = j
+    del data, offsets
+    give_back()
 
 
 def words(piece: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
