@@ -132,7 +132,7 @@ def test_codes_are_prefix_free_and_their_probabilities_sum_to_one():
     d = context_mixing.Dictionary.of(context_mixing.token_hashes(words), counts, int(counts.sum()) + 9)
     spelt = [format(int(c), f"0{n}b") for c, n in zip(d.code, d.size, strict=True)]
     assert not any(x != y and y.startswith(x) for x in spelt for y in spelt) and len(set(spelt)) == 42
-    model = learnt([16] * 4)
+    model = learnt([16] * 3)
     text = "w1 w2 w3 w1 w2 zz w0 " * 30
     (piece,) = ta.slices(pa.array([text]))
     t = context_mixing.Tokens(piece, d)
