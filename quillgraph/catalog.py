@@ -134,14 +134,14 @@ def proximity_pair(spark: SparkSession, d: str) -> DataFrame:
     WITH t AS (SELECT DISTINCT doc_id AS ord, unnest({TOKENS_SQL.format('text')}) AS term FROM documents)
     SELECT ord FROM t WHERE term IN ('the', 'tion', 'of') GROUP BY ord HAVING count(*) = 3""")
 def posting_intersect(spark: SparkSession, d: str) -> DataFrame:
-    return search.postings(search.term_table(table(spark, d, "documents").withColumnRenamed("doc_id", "ord"), F.col("text")), ["the", "tion", "of"], True)
+    return search.documents_with(table(spark, d, "documents").withColumnRenamed("doc_id", "ord"), F.col("text"), ["the", "tion", "of"], True)
 
 
 @query(f"""
     WITH t AS (SELECT DISTINCT doc_id AS ord, unnest({TOKENS_SQL.format('text')}) AS term FROM documents)
     SELECT DISTINCT ord FROM t WHERE term IN ('ther', 'erin')""")
 def posting_union(spark: SparkSession, d: str) -> DataFrame:
-    return search.postings(search.term_table(table(spark, d, "documents").withColumnRenamed("doc_id", "ord"), F.col("text")), ["ther", "erin"], False)
+    return search.documents_with(table(spark, d, "documents").withColumnRenamed("doc_id", "ord"), F.col("text"), ["ther", "erin"], False)
 
 
 @query("""
@@ -180,7 +180,7 @@ def vector_quantized(spark: SparkSession, d: str) -> DataFrame:
 
 def _layers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = document_entities(spark, d)
-    lexical = docs.select("ord", F.size(F.filter(T.tokenize(F.col("observations")[0]), lambda t: t == "ther")).cast("double").alias("score")).filter("score > 0")
+    lexical = docs.select("ord", T.word_count(F.lower(F.col("observations")[0]), "ther").cast("double").alias("score")).filter("score > 0")
     return lexical, docs.filter("entity_type = 'en'").select("ord", F.lit(1.0).alias("score"))
 
 
@@ -230,7 +230,7 @@ def query_correction(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""
     SELECT doc_id AS ord, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-      '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '<EMAIL>', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '<SSN>', 'g'), '\b(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,4})\b', '<CARD>', 'g'),
+      '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '<EMAIL>', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '<SSN>', 'g'), '\b(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,4})\b', '<CC>', 'g'),
       '(?:\+?1[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}', '<PHONE>', 'g'), '\b(?:\d{1,3}\.){3}\d{1,3}\b', '<IP>', 'g')) AS redacted FROM documents""")
 def pii_redact(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.sha2(T.redact(F.col("text")), 256).alias("redacted"))
@@ -334,17 +334,15 @@ def hits_1iter(spark: SparkSession, d: str) -> DataFrame:
     return graph.hits(_sup_nodes(spark, d), supply_relations(spark, d), 1).select("node", F.round("hub", 6).alias("hub"), F.round("authority", 6).alias("authority"))
 
 
-#: Customers of one nation who ordered in the same month: a graph with triangles.
-TRI_SQL = "c AS (SELECT DISTINCT o_custkey AS c, strftime(o_orderdate, '%Y-%m') AS m FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 3 AND o_orderdate < TIMESTAMP '1992-04-01'), e AS (SELECT DISTINCT a.c AS a, b.c AS b FROM c a JOIN c b USING (m) WHERE a.c < b.c)"
+#: Customers of orders whose keys are one, two or three apart, over all orders.
+TRI_SQL = "e AS (SELECT DISTINCT least(a.o_custkey, b.o_custkey) AS a, greatest(a.o_custkey, b.o_custkey) AS b FROM orders a JOIN (SELECT o_custkey, unnest([o_orderkey - 1, o_orderkey - 2, o_orderkey - 3]) AS k FROM orders) b ON a.o_orderkey = b.k WHERE a.o_custkey <> b.o_custkey)"
 
 
 @query(f"WITH {TRI_SQL} SELECT x.a AS a, x.b AS b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b")
 def triangles(spark: SparkSession, d: str) -> DataFrame:
-    o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    met = o.join(c, (o["o_custkey"] == c["c_custkey"]) & (c["c_nationkey"] == 3)).filter(F.col("o_orderdate") < F.to_timestamp(F.lit("1992-04-01")))
-    by_month = met.select(F.col("o_custkey").alias("c"), F.date_format("o_orderdate", "yyyy-MM").alias("m")).distinct()
-    edges = by_month.alias("x").join(by_month.alias("y"), "m").filter("x.c < y.c").select(F.col("x.c").alias("src"), F.col("y.c").alias("dst")).distinct()
-    return graph.triangles(edges)
+    o = table(spark, d, "orders")
+    later = o.select(F.col("o_custkey").alias("dst"), F.explode(F.array(*[F.col("o_orderkey") - i for i in (1, 2, 3)])).alias("k"))
+    return graph.triangles(o.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("k")).join(later, "k").select("src", "dst"))
 
 
 @query(f"""
@@ -372,15 +370,21 @@ def open_nodes_induced(spark: SparkSession, d: str) -> DataFrame:
     return search.induced_relations(geo_relations(spark, d), names).select("src", "dst")
 
 
-@query("SELECT p_type AS entity_type, count(*) AS n, min_by(p_partkey, p_retailprice * 1000000 + p_partkey) AS cheapest FROM part GROUP BY p_type")
+@query(f"""
+    WITH {GEO_SQL}, o AS (SELECT 'o' || o_orderkey AS name, o_orderdate AS ts FROM orders)
+    SELECT 'entities' AS metric, 'order' AS key, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM o
+    UNION ALL SELECT 'relations', relation_type, count(*), NULL, NULL FROM geo GROUP BY relation_type
+    UNION ALL SELECT 'oldest', (SELECT name FROM o ORDER BY ts, name LIMIT 1), 1, min(ts), min(ts) FROM o
+    UNION ALL SELECT 'newest', (SELECT name FROM o ORDER BY ts DESC, name DESC LIMIT 1), 1, max(ts), max(ts) FROM o""")
 def graph_stats(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").groupBy(F.col("p_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("n"), F.min_by("p_partkey", F.col("p_retailprice") * 1000000 + F.col("p_partkey")).alias("cheapest"))
+    entities = table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("name"), F.lit("order").alias("entity_type"), F.col("o_orderdate").alias("ts"))
+    return graph.stats(entities, geo_relations(spark, d))
 
 
-@query(f"WITH {GEO_SQL} SELECT 'isolated' AS issue, 'p' || p_partkey AS node FROM part WHERE p_partkey <= 20 UNION ALL SELECT 'orphan', src FROM geo WHERE dst IN ('n1') OR src IN ('n1')")
+@query(f"WITH {GEO_SQL} SELECT 'isolated' AS issue, 'p' || p_partkey AS node FROM part UNION ALL SELECT 'orphan', src FROM geo WHERE dst IN ('n1') OR src IN ('n1')")
 def graph_validate(spark: SparkSession, d: str) -> DataFrame:
     rel = geo_relations(spark, d)
-    nodes = _geo_nodes(spark, d).filter("node <> 'n1'").unionByName(table(spark, d, "part").filter("p_partkey <= 20").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node")))
+    nodes = _geo_nodes(spark, d).filter("node <> 'n1'").unionByName(table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node")))
     alone = graph.isolated_nodes(nodes, rel).select(F.lit("isolated").alias("issue"), "node")
     return alone.unionByName(graph.orphaned_relations(rel, nodes).select(F.lit("orphan").alias("issue"), F.col("src").alias("node")))
 
@@ -484,11 +488,13 @@ def entity_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    WITH n AS (SELECT conv_id, turn, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS h, list_distinct({ALNUM_SQL.format('text')}) AS w FROM conversations),
-         j AS (SELECT b.conv_id, b.turn, max(CASE WHEN a.h = b.h THEN 1 ELSE 0 END) AS same, max(CASE WHEN b.turn - a.turn <= 10 THEN {JACCARD_SQL.format('a.w', 'b.w')} END) AS sim FROM n b JOIN n a ON a.conv_id = b.conv_id AND a.turn < b.turn GROUP BY 1, 2)
-    SELECT conv_id, turn, CASE WHEN same = 1 THEN 'exact' ELSE 'jaccard' END AS tier FROM j WHERE same = 1 OR sim >= 0.2""")
+    WITH n AS (SELECT conv_id, turn, text, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS h, list_distinct({ALNUM_SQL.format('text')}) AS w FROM conversations),
+         j AS (SELECT b.conv_id, b.turn, max(CASE WHEN a.h = b.h THEN 1 ELSE 0 END) AS same, max(CASE WHEN b.turn - a.turn <= 200 THEN {JACCARD_SQL.format('a.w', 'b.w')} END) AS sim,
+                max(CASE WHEN b.turn - a.turn <= 200 AND left(a.text, CAST(ceil(0.5 * greatest(length(a.text), length(b.text))) AS INTEGER)) = left(b.text, CAST(ceil(0.5 * greatest(length(a.text), length(b.text))) AS INTEGER)) THEN 1 ELSE 0 END) AS prefix
+               FROM n b JOIN n a ON a.conv_id = b.conv_id AND a.turn < b.turn GROUP BY 1, 2)
+    SELECT conv_id, turn, CASE WHEN same = 1 THEN 'exact' WHEN prefix = 1 THEN 'prefix' ELSE 'jaccard' END AS tier FROM j WHERE same = 1 OR prefix = 1 OR sim >= 0.2""")
 def turn_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.turn_duplicates(table(spark, d, "conversations"), 10, 0.2)
+    return dedup.turn_duplicates(table(spark, d, "conversations"), threshold=0.2)
 
 
 @query("SELECT p_name AS name, min(p_partkey) AS ord, max(CAST(p_size % 11 AS DOUBLE)) AS importance, array_to_string(list_sort(list_distinct(list(lower(p_brand)))), ',') AS tags, count(*) AS merged FROM part GROUP BY p_name")

@@ -90,22 +90,25 @@ def rbac_check(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents WHERE source = 'src1' OR lang = 'fr' OR (lang = 'de' AND doc_id % 3 = 1) OR (lang = 'es' AND doc_id % 4 IN (1, 2))")
 def visibility(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(
+    return _shared_documents(spark, d).filter(records.visible("src1", "1", ["1", "2"])).select("doc_id")
+
+
+def _shared_documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(
         "doc_id", F.col("source").alias("owner"), F.when(F.col("lang") == "fr", "public").when(F.col("lang") == "de", "org").when(F.col("lang") == "es", "team").otherwise("private").alias("visibility"),
         (F.col("doc_id") % 3).cast("string").alias("org"), (F.col("doc_id") % 4).cast("string").alias("team"),
     )
-    return docs.filter(records.visible("src1", "1", ["1", "2"])).select("doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE NOT (contains(lower(text), 'idiot') OR contains(lower(text), 'disgusting'))")
+@query("SELECT doc_id FROM documents WHERE NOT (contains(lower(coalesce(text, '')), 'idiot') OR contains(lower(coalesce(text, '')), 'disgusting'))")
 def exclusion_rules(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter(~records.excluded(F.col("text"), ["Idiot", "disgusting"])).select("doc_id")
 
 
-@query("WITH r AS (SELECT DISTINCT l_suppkey % 50 AS src, l_partkey % 50 AS dst FROM lineitem) SELECT a.src AS a, a.dst AS b FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst")
+@query("WITH r AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem) SELECT a.src AS a, a.dst AS b FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst")
 def inverse_relations(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
-    return records.inverse_pairs(li.select((F.col("l_suppkey") % 50).alias("src"), (F.col("l_partkey") % 50).alias("dst")))
+    return records.inverse_pairs(li.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")))
 
 
 @query("WITH x AS (SELECT user_id, event_id, CASE WHEN event_id % 97 = 0 THEN 'x' ELSE sha256(CAST(lag(event_id) OVER w AS VARCHAR)) END AS prev_hash, sha256(CAST(lag(event_id) OVER w AS VARCHAR)) AS want FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT event_id FROM x WHERE want IS NOT NULL AND prev_hash IS DISTINCT FROM want")
@@ -127,12 +130,13 @@ def type_project_list(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.length("text")).alias("sizes"))
 
 
-@query("SELECT user_id FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_type IN ('click', 'purchase', 'error')) GROUP BY user_id HAVING count(*) = 3")
+@query("SELECT doc_id FROM documents WHERE (source = 'src1' OR lang = 'fr' OR (lang = 'de' AND doc_id % 3 = 1) OR (lang = 'es' AND doc_id % 4 IN (1, 2))) AND (source = 'src2' OR lang = 'fr' OR (lang = 'de' AND doc_id % 3 = 1) OR (lang = 'es' AND doc_id % 4 = 2))")
 def visible_to_all(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").filter(F.col("event_type").isin("click", "purchase", "error"))
-    return e.groupBy("user_id").agg(F.count_distinct("event_type").alias("n")).filter("n = 3").select("user_id")
+    docs = _shared_documents(spark, d)
+    return docs.filter(records.visible("src1", "1", ["1", "2"]) & records.visible("src2", "1", ["2"])).select("doc_id")
 
 
-@query("SELECT s_suppkey AS ord, bit_count(CAST(s_suppkey AS BIGINT)) AS bits, sha256(s_name) AS content_hash FROM supplier")
+@query("SELECT doc_id AS ord, sha256(text) AS content_hash FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 50 = 0)")
 def content_hash_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("ord"), F.bit_count("s_suppkey").cast("tinyint").alias("bits"), F.sha2("s_name", 256).alias("content_hash"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.sha2("text", 256).alias("content_hash"))
+    return docs.join(docs.filter("ord % 50 = 0").select("content_hash").distinct(), "content_hash", "left_semi").select("ord", "content_hash")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ KEYWORD_BOOSTS = {
 PII_PATTERNS = [
     (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "<EMAIL>"),
     (r"\b\d{3}-\d{2}-\d{4}\b", "<SSN>"),
-    (r"\b(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,4})\b", "<CARD>"),
+    (r"\b(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,4})\b", "<CC>"),
     (r"(?:\+?1[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}", "<PHONE>"),
     (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<IP>"),
 ]
@@ -33,6 +35,17 @@ def tokenize(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\w\s]", " "), r"\s+"), lambda t: t != "")
 
 
+def word_count(lower: Column, word: str | None = None) -> Column:
+    """How often a word (any, if None) is among the tokens of lower-cased text, without building them.
+
+    A word that is not even a substring is not searched.
+    """
+    if word is None:
+        return F.regexp_count(lower, F.lit(r"\w+"))
+    exact = F.regexp_count(lower, F.lit(rf"(?<!\w)\Q{word}\E(?!\w)"))
+    return F.when(F.contains(lower, F.lit(word)), exact).otherwise(F.lit(0)) if re.fullmatch(r"\w+", word, re.ASCII) else F.lit(0)
+
+
 def tokenize_stripped(text: Column) -> Column:
     """Lower-cased words after dropping (not replacing) all but ``[a-z0-9\\s]``."""
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", ""), r"\s+"), lambda t: t != "")

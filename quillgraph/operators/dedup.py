@@ -12,7 +12,7 @@ def entity_similarity_pairs(entities: DataFrame, threshold: float = 0.8) -> Data
     """Pairs of one type and neighbouring two-letter blocks: ``a, b, score``.
 
     Score: 0.4 name + 0.2 type + 0.3 observations + 0.1 tags (if either has tags), over
-    the weights used.  Rows of equal name and observations meet once, as ``n`` of each.
+    the weights used.
     """
     low = entities.select(
         F.col("ord"), F.lower("name").alias("name"), F.lower("entity_type").alias("t"), F.array_distinct(F.transform("observations", F.lower)).alias("obs"), F.array_distinct(F.transform("tags", F.lower)).alias("tags")
@@ -36,8 +36,15 @@ def exact_observations(observations: DataFrame, least: int = 2) -> DataFrame:
 
 def merge_groups(entities: DataFrame, group: str) -> DataFrame:
     """One entity of each group: union of observations and tags, largest importance, first ord."""
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
-    return entities.groupBy(group).agg(F.min("ord").alias("ord"), F.max("importance").alias("importance"), union("observations").alias("observations"), union("tags").alias("tags"), F.count(F.lit(1)).alias("merged"))
+
+    def union(c: str) -> DataFrame:
+        each = entities.select(group, F.explode(c).alias("x")).distinct()  # tasks drop repeats before the shuffle
+        return each.groupBy(group).agg(F.array_sort(F.collect_list("x")).alias(c))
+
+    empty = F.array().cast("array<string>")
+    one = entities.groupBy(group).agg(F.min("ord").alias("ord"), F.max("importance").alias("importance"), F.count(F.lit(1)).alias("merged"))
+    both = one.join(union("observations"), group, "left").join(union("tags"), group, "left")
+    return both.select(group, "ord", "importance", F.coalesce("observations", empty).alias("observations"), F.coalesce("tags", empty).alias("tags"), "merged")
 
 
 def normalise_relation_type(col):
@@ -50,19 +57,22 @@ def consolidate_relations(relations: DataFrame) -> DataFrame:
     return relations.groupBy("src", "dst", normalise_relation_type(F.col("relation_type")).alias("relation_type")).agg(F.max("weight").alias("weight"), F.count(F.lit(1)).alias("merged"))
 
 
-def turn_duplicates(turns: DataFrame, last: int = 10, threshold: float = 0.5) -> DataFrame:
-    """Turns like one of the last turns of their conversation: ``conv_id, turn, tier``.
+def turn_duplicates(turns: DataFrame, last: int = 200, threshold: float = 0.5, prefix: float = 0.5) -> DataFrame:
+    """Turns like an earlier one of their conversation: ``conv_id, turn, tier``.
 
-    Tiers: the same normalised text anywhere before, else a Jaccard similarity of the words.
+    Tiers, the first that holds: the same normalised text anywhere before; among the last
+    turns one that shares a prefix of at least ``prefix`` of the longer text; or a Jaccard
+    similarity of the words.  Null texts are no duplicates.
     """
     norm = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
-    t = turns.select("conv_id", "turn", F.sha2(norm, 256).alias("hash"), F.array_distinct(T.tokenize_alphanumeric(F.col("text"))).alias("words"))
-    first = F.min("turn").over(Window.partitionBy("conv_id", "hash"))
-    t = t.withColumn("first", first)
+    t = turns.filter("text is not null").select("conv_id", "turn", "text", F.sha2(norm, 256).alias("hash"), F.array_distinct(T.tokenize_alphanumeric(F.col("text"))).alias("words"))
+    t = t.withColumn("first", F.min("turn").over(Window.partitionBy("conv_id", "hash")))
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-last, -1)
-    near = F.exists(F.collect_list("words").over(w), lambda x: T.jaccard(x, F.col("words")) >= threshold)
-    t = t.withColumn("near", near)
-    tier = F.when(F.col("first") < F.col("turn"), "exact").when(F.col("near"), "jaccard")
+    t = t.withColumn("before", F.collect_list(F.struct("text", "words")).over(w))
+    size = lambda x: F.ceil(prefix * F.greatest(F.length(x["text"]), F.length("text"))).cast("int")
+    begins = F.exists("before", lambda x: F.substring(x["text"], F.lit(1), size(x)) == F.substring(F.col("text"), F.lit(1), size(x)))
+    near = F.exists("before", lambda x: T.jaccard(x["words"], F.col("words")) >= threshold)
+    tier = F.when(F.col("first") < F.col("turn"), "exact").when(begins, "prefix").when(near, "jaccard")
     return t.select("conv_id", "turn", tier.alias("tier")).filter("tier is not null")
 
 

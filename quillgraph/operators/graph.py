@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import forget, written
 
 
 def adjacency(relations: DataFrame, direction: str = "both") -> DataFrame:
@@ -82,21 +82,24 @@ def pagerank(nodes: DataFrame, relations: DataFrame, damping: float = 0.85, iter
     if not n:
         return nodes.withColumn("score", F.lit(0.0))
     known = nodes.select(F.col("node").alias("src")), nodes.select(F.col("node").alias("dst"))
-    edges = relations.select("src", "dst").join(known[0], "src", "left_semi").join(known[1], "dst", "left_semi")
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    edges = written(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")).join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")), "pagerank-edges")
-    dangling = written(nodes.join(out.withColumnRenamed("src", "node"), "node", "left_anti"), "pagerank-dangling")
-    rank = nodes.withColumn("score", F.lit(1.0 / n))
+    edges = relations.select("src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
+    edges = written(edges.join(known[0], "src", "left_semi").join(known[1], "dst", "left_semi"), "pagerank-edges")
+    out = edges.groupBy("src").agg(F.sum("w").alias("out"))
+    shares = written(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")), "pagerank-shares")
+    forget(edges)
+    rank, before = nodes.withColumn("score", F.lit(1.0 / n)), None
     for _ in range(iterations):
-        lost = rank.join(dangling, "node", "left_semi").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
-        got = edges.join(rank, edges["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("score")).alias("got"))
-        new = nodes.join(got, nodes["node"] == got["dst"], "left").select("node", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
-        new = written(new, "pagerank")
-        if tolerance is not None:
-            moved = new.join(rank.withColumnRenamed("score", "old"), "node").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
-            if moved < tolerance:
-                return new
-        rank = new
+        got = shares.join(rank, shares["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("score")).alias("got"))
+        now = written(rank.join(got, rank["node"] == got["dst"], "left").select("node", F.col("score").alias("old"), F.coalesce("got", F.lit(0.0)).alias("got")), "pagerank")
+        # What was not handed on is the dangling mass; ranks sum up to 1.
+        base = (1 - damping) / n + damping * max(0.0, 1 - now.agg(F.sum("got")).first()[0]) / n
+        if before is not None:
+            forget(before)
+        before = now
+        new = F.lit(base) + damping * F.col("got")
+        rank = now.select("node", new.alias("score"))
+        if tolerance is not None and now.agg(F.sum(F.abs(new - F.col("old")))).first()[0] < tolerance:
+            return rank
     return rank
 
 
@@ -115,15 +118,15 @@ def hits(nodes: DataFrame, relations: DataFrame, iterations: int = 20) -> DataFr
     return now
 
 
-def connected_components(nodes: DataFrame, relations: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     """``node, component`` (the least node reached), undirected, isolated nodes by themselves.
 
     Each round takes the least label of the neighbours and then the label of that label,
-    so chains halve each time.
+    so chains halve each time; the rounds end when nothing changes.
     """
     edges = written(adjacency(relations, "both").distinct(), "component-edges")
     now = written(nodes.select("node").distinct().withColumn("component", F.col("node")), "components")
-    for _ in range(rounds):
+    while True:
         near = edges.join(now, edges["other"] == now["node"]).groupBy(edges["node"].alias("at")).agg(F.min("component").alias("near"))
         step = now.join(near, now["node"] == near["at"], "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("new"))
         jump = step.select(F.col("node").alias("of"), F.col("new").alias("further"))
@@ -131,7 +134,6 @@ def connected_components(nodes: DataFrame, relations: DataFrame, rounds: int = 4
         if new.filter("new <> component").isEmpty():
             return now
         now = new.select("node", F.col("new").alias("component"))
-    raise RuntimeError("components did not settle")
 
 
 def triangles(relations: DataFrame) -> DataFrame:
@@ -188,6 +190,20 @@ def path_scores(paths: DataFrame, strengths: DataFrame) -> DataFrame:
     return met.groupBy("id").agg(F.first("path").alias("path"), F.round(F.product(F.coalesce("strength", F.lit(1.0))), 6).alias("score")).drop("id")
 
 
+def stats(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """``metric, key, n, first_ts, last_ts``: entities and relations by type, the oldest and the newest entity.
+
+    Entities without a time count, but are neither oldest nor newest; ties go by name.
+    """
+    none = F.lit(None).cast(entities.schema["ts"].dataType)
+    of_type = entities.groupBy(F.col("entity_type").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    kinds = relations.groupBy(F.col("relation_type").alias("key")).agg(F.count(F.lit(1)).alias("n")).select("key", "n", none.alias("first_ts"), none.alias("last_ts"))
+    ends = entities.filter("ts is not null").agg(F.min(F.struct("ts", "name")).alias("oldest"), F.max(F.struct("ts", "name")).alias("newest"))
+    end = lambda c: ends.select(F.lit(c).alias("metric"), F.col(f"{c}.name").alias("key"), F.lit(1).cast("bigint").alias("n"), F.col(f"{c}.ts").alias("first_ts"), F.col(f"{c}.ts").alias("last_ts"))
+    rows = of_type.select(F.lit("entities").alias("metric"), "*").unionByName(kinds.select(F.lit("relations").alias("metric"), "*"))
+    return rows.unionByName(end("oldest")).unionByName(end("newest"))
+
+
 def latest_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in an order."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -82,10 +82,10 @@ def visible(agent: str, org: str, teams: list[str]) -> Column:
 
 
 def excluded(text: Column, phrases: list[str]) -> Column:
-    """A phrase of the block list occurs, without case."""
+    """A phrase of the block list occurs, without case; never in a null text."""
     out = F.lit(False)
     for p in phrases:
-        out = out | F.contains(F.lower(text), F.lit(p.lower()))
+        out = out | F.coalesce(F.contains(F.lower(text), F.lit(p.lower())), F.lit(False))
     return out
 
 

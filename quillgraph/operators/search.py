@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 
 
 def entity_text(entities: DataFrame) -> Column:
@@ -37,11 +38,6 @@ def induced_relations(relations: DataFrame, names: DataFrame) -> DataFrame:
     return relations.join(a, "src", "left_semi").join(b, "dst", "left_semi")
 
 
-def _times(tokens: str, word: str) -> Column:
-    """How often a word is in an array of words."""
-    return F.size(F.filter(tokens, lambda t: t == word))
-
-
 def _terms(docs: DataFrame, text: Column, stop: list[str] | None) -> DataFrame:
     tokens = T.tokenize(text)
     if stop:
@@ -52,15 +48,15 @@ def _terms(docs: DataFrame, text: Column, stop: list[str] | None) -> DataFrame:
 def bm25(docs: DataFrame, text: Column, query: str, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The k best documents of a query by BM25: ``ord, score``; ties to the smaller ord.
 
-    Stop words are dropped from documents and query.  Query words stay in the plan as
-    literals; documents are tokenised where they lie, and only the counts of query words
-    are kept, so the aggregation shuffles a row for each match and a few totals.
+    Stop words are dropped from documents and query.  A text is counted where it lies, by
+    compiled patterns; the counts, a few numbers a row, are written once and read for the
+    totals and for the scores of the rows that hold a query word.  Null texts have no words.
     """
     words = [w for w in dict.fromkeys(query.lower().split()) if w not in T.BM25_STOP_WORDS]
-    tokens = F.filter(T.tokenize(text), lambda t: ~t.isin(T.BM25_STOP_WORDS))
-    sized = docs.select("ord", tokens.alias("tokens"))
-    counted = sized.select("ord", F.size("tokens").alias("dl"), *[_times("tokens", w).alias(f"tf{i}") for i, w in enumerate(words)])
-    totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("bigint")).alias(f"df{i}") for i in range(len(words))])
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    stops = F.regexp_count(lower, F.lit(rf"(?<!\w)(?:{'|'.join(T.BM25_STOP_WORDS)})(?!\w)"))
+    counted = written(docs.select("ord", (T.word_count(lower) - stops).alias("dl"), *[T.word_count(lower, w).alias(f"tf{i}") for i, w in enumerate(words)]), "word-counts")
+    totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
     hit = F.lit(False)
     score = F.lit(0.0)
     for i in range(len(words)):
@@ -73,19 +69,34 @@ def bm25(docs: DataFrame, text: Column, query: str, k: int = 10, k1: float = 1.2
 
 
 def tfidf(docs: DataFrame, text: Column, query: str, k: int = 10) -> DataFrame:
-    """The k best documents by the sum of tf * ln(N / df) over query words (repeats count)."""
+    """The k best documents by the sum of tf * ln(N / df) over query words (repeats count); planned like ``bm25``."""
     words = query.lower().split()
-    sized = docs.select("ord", T.tokenize(text).alias("tokens"))
-    counted = sized.select("ord", F.size("tokens").alias("dl"), *[_times("tokens", w).alias(f"tf{i}") for i, w in enumerate(words)])
-    totals = counted.agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col(f"tf{i}") > 0).cast("bigint")).alias(f"df{i}") for i in range(len(words))])
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    tf = {w: f"tf{i}" for i, w in enumerate(dict.fromkeys(words))}
+    some = F.lit(False)
+    for w in tf:
+        some = some | F.contains(lower, F.lit(w))
+    # The length matters only where a query word may be.
+    dl = F.when(some, T.word_count(lower)).otherwise(F.lit(0))
+    counted = written(docs.select("ord", dl.alias("dl"), *[T.word_count(lower, w).alias(c) for w, c in tf.items()]), "word-counts")
+    totals = counted.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c) > 0).alias(f"df_{c}") for c in tf.values()])
     score = F.lit(0.0)
-    for i in range(len(words)):
-        share = F.col(f"tf{i}") / F.greatest(F.col("dl"), F.lit(1))
-        score = score + F.when(F.col(f"df{i}") > 0, share * F.ln(F.col("n") / F.col(f"df{i}"))).otherwise(0.0)
+    for w in words:
+        share = F.col(tf[w]) / F.greatest(F.col("dl"), F.lit(1))
+        score = score + F.when(F.col(f"df_{tf[w]}") > 0, share * F.ln(F.col("n") / F.col(f"df_{tf[w]}"))).otherwise(0.0)
     scored = counted.crossJoin(F.broadcast(totals)).select("ord", F.round(score, 6).alias("score"))
     return scored.filter("score > 0").orderBy(F.desc("score"), "ord").limit(k)
 
 
+def documents_with(docs: DataFrame, text: Column, words: list[str], every: bool) -> DataFrame:
+    """``ord`` of texts that have all words among their tokens, or any; a scan without a shuffle."""
+    out = F.lit(every)
+    for w in words:
+        has = T.word_count(F.lower(F.coalesce(text, F.lit(""))), w) > 0
+        out = out & has if every else out | has
+    return docs.filter(out).select("ord")
+
+
 def term_table(docs: DataFrame, text: Column) -> DataFrame:
     """Inverted index: ``term, ord, tf``."""
     return _terms(docs, text, None).filter("term is not null").groupBy("term", "ord").agg(F.count(F.lit(1)).alias("tf"))

@@ -26,8 +26,9 @@ def timeline(relations: DataFrame, keys: list[str]) -> DataFrame:
 def regressions(ledger: DataFrame, keys: list[str], field: str, *order: str) -> DataFrame:
     """Rows whose value was left earlier and comes back: it equals an earlier value of the key, but not the last one."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    before = F.collect_set(field).over(w.rowsBetween(Window.unboundedPreceding, -2))
-    return ledger.withColumn("last_value", F.lag(field).over(w)).withColumn("earlier", before).filter(F.array_contains("earlier", F.col(field)) & (F.col(field) != F.col("last_value"))).drop("earlier", "last_value")
+    placed = ledger.withColumn("place", F.row_number().over(w)).withColumn("last_value", F.lag(field).over(w))
+    first = placed.withColumn("first", F.min("place").over(Window.partitionBy(*keys, field)))
+    return first.filter((F.col("first") < F.col("place")) & (F.col(field) != F.col("last_value"))).drop("place", "first", "last_value")
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
