@@ -79,3 +79,26 @@ def turn_duplicates(turns: DataFrame, last: int = 200, threshold: float = 0.5, p
 def conflict_winners(claims: DataFrame, subject: str, *order) -> DataFrame:
     """The claim of each subject that comes first in an order."""
     return claims.withColumn("n", F.row_number().over(Window.partitionBy(subject).orderBy(*order))).filter("n = 1").drop("n")
+
+
+def similar_observations(observations: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``name, duplicate_of`` of distinct contents that others resemble: the least content of their closure.
+
+    Contents are sets of lower-cased words.  Two with a Jaccard similarity of the threshold
+    share one of their first words in a global order, the rarest first, so only contents
+    with such a word in common and of similar size meet.
+    """
+    from .graph import connected_components
+
+    texts = observations.select(F.col("content").alias("name")).filter("content is not null").distinct()
+    words = texts.select("name", F.explode(F.array_distinct(F.filter(F.split(F.lower("name"), r"\s+"), lambda w: w != ""))).alias("w"))
+    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    ordered = words.join(counts, "w").groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("words"))
+    sized = ordered.withColumn("size", F.size("words"))
+    prefix = F.slice("words", F.lit(1), F.col("size") - F.ceil(F.lit(threshold) * F.col("size")).cast("int") + 1)
+    keyed = sized.select("name", "words", "size", F.explode(prefix).alias("key"))
+    a, b = (keyed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("name", "words", "size")]) for x in "ab")
+    met = a.join(b, "key").filter((F.col("name_a") < F.col("name_b")) & (F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")))
+    links = met.filter(T.jaccard(F.col("words_a"), F.col("words_b")) >= threshold).select(F.col("name_a").alias("src"), F.col("name_b").alias("dst")).distinct()
+    nodes = links.select(F.explode(F.array("src", "dst")).alias("node"))
+    return connected_components(nodes, links).select(F.col("node").alias("name"), F.col("component").alias("duplicate_of"))

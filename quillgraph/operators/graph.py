@@ -60,6 +60,24 @@ def all_paths(relations: DataFrame, a: str, b: str, max_depth: int = 5, directio
     return done
 
 
+def upward_paths(relations: DataFrame, prefix: str, max_depth: int = 50) -> DataFrame:
+    """``node, path`` from each node with a prefix along outgoing relations to a node without any.
+
+    One join a level; paths end at the depth, and a node that was met is not entered again.
+    """
+    edges = adjacency(relations, "outgoing").distinct()
+    now = written(edges.select("node").distinct().filter(F.startswith("node", F.lit(prefix))).select(F.col("node").alias("start"), F.array("node").alias("path")), "paths")
+    done = None
+    for _ in range(max_depth):
+        step = now.join(edges, F.element_at("path", -1) == edges["node"], "left")
+        ends = step.filter("other is null").select(F.col("start").alias("node"), "path")
+        done = ends if done is None else done.unionByName(ends)
+        now = written(step.filter("other is not null").filter(~F.array_contains("path", F.col("other"))).select("start", F.concat("path", F.array("other")).alias("path")), "paths")
+        if now.isEmpty():
+            break
+    return done
+
+
 def degree_centrality(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     """``node, degree, score``: in + out relations, a self-loop twice; score = degree / (n - 1)."""
     ends = relations.select(F.explode(F.array("src", "dst")).alias("node"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_records  # noqa: F401  registers its queries
+from . import catalog_memory, catalog_records  # noqa: F401  registers its queries
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
