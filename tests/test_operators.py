@@ -108,7 +108,7 @@ def test_bm25_prefers_rare_and_short(spark):
 def test_redaction(spark):
     text = "a@b.org 123-45-6789 4111111111111111 (555) 123-4567 10.0.0.1"
     got = spark.createDataFrame([(text,)], "t string").select(T.redact(F.col("t"))).collect()[0][0]
-    assert got == "<EMAIL> <SSN> <CARD> <PHONE> <IP>"
+    assert got == "<EMAIL> <SSN> <CC> <PHONE> <IP>"
 
 
 def test_csv_cell(spark):
