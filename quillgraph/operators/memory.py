@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions import text as T
 
-_NONE = F.lit(None)
-
 
 def _empty() -> Column:
     return F.array().cast("array<string>")
@@ -177,7 +175,7 @@ def forget_observation(entities: DataFrame, content: str) -> DataFrame:
 def governed(rows: DataFrame, **policies: Column) -> DataFrame:
     """Adds ``refused_by``: the first policy (in order of arguments) that a row fails or can't be told to meet, else null."""
     tests = [F.when(~F.coalesce(p, F.lit(False)), F.lit(n)) for n, p in policies.items()]
-    return rows.withColumn("refused_by", F.coalesce(*tests) if tests else _NONE.cast("string"))
+    return rows.withColumn("refused_by", F.coalesce(*tests) if tests else F.lit(None).cast("string"))
 
 
 def relation_checks(relations: DataFrame, now: str) -> DataFrame:
