@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import ALNUM_SQL, GEO_SQL, NOW, SUPPLY_SQL, query
 from .operators import access, dedup, graph, memory, mutate
+from .sources import graph_io
 from .sources.views import document_entities, geo_relations, part_entities, supply_relations, table
 
 ORDER_E = "SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey % 11 AS DOUBLE) END AS importance, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS created_at, CASE WHEN o_orderkey % 3 = 0 THEN FALSE WHEN o_orderkey % 3 = 1 THEN TRUE END AS is_latest, CASE o_orderstatus WHEN 'O' THEN NULL WHEN 'F' THEN 'published' ELSE 'draft' END AS status, o_orderpriority AS entity_type FROM orders"
@@ -276,3 +277,11 @@ def obs_jaccard_dups(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {GEO_SQL} SELECT 'c' || c_custkey AS node, 'c' || c_custkey || '>n' || n_nationkey || '>r' || n_regionkey AS path FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def path_bodies(spark: SparkSession, d: str) -> DataFrame:
     return graph.upward_paths(geo_relations(spark, d).filter("src not like 's%'"), "c").select("node", F.array_join("path", ">").alias("path"))
+
+
+@query("""
+    SELECT p_partkey AS ord, md5(concat_ws(chr(10), '### ' || p_name || ' #' || p_partkey, '', '- **Type:** ' || p_type, '- **Tags:** `' || lower(p_brand) || '`', '- **Importance:** ' || (p_size % 11) || '/10', '', '**Observations:**', '- ' || p_name || ' ' || p_type, '')) AS section
+    FROM part""")
+def export_markdown(spark: SparkSession, d: str) -> DataFrame:
+    section = graph_io.markdown_section(*[F.col(c) for c in ("name", "entity_type", "tags", "importance", "observations")])
+    return part_entities(spark, d).select("ord", F.md5(section).alias("section"))

@@ -1,4 +1,4 @@
-"""Readers and writers of graphs: JSON lines, CSV, GraphML, DOT, Mermaid, Markdown, Turtle."""
+"""Reads graphs from JSON lines; writes JSON lines, CSV, GraphML, DOT, Mermaid, Markdown and Turtle."""
 
 from __future__ import annotations
 
@@ -63,11 +63,33 @@ def dot(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def mermaid(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    node = F.concat(_id(F.col("name")), F.lit('["'), F.replace(F.col("name"), F.lit('"'), F.lit("'")), F.lit('"]'))
+    node = F.concat(_id(F.col("name")), F.lit('["'), F.replace(F.col("name"), F.lit('"'), F.lit("#quot;")), F.lit('"]'))
     edge = F.concat(_id(F.col("from")), F.lit(" -->|"), F.col("relationType"), F.lit("| "), _id(F.col("to")))
     return entities.select(F.lit(0).alias("part"), node.alias("value")).unionByName(relations.select(F.lit(1).alias("part"), edge.alias("value")))
 
 
+def markdown_section(name: Column, kind: Column, tags: Column, importance: Column, observations: Column) -> Column:
+    """The Markdown section of an entity; tags, importance and observations only where there are any."""
+    number = F.regexp_replace(importance.cast("string"), r"\.0$", "")
+    lines = F.array_compact(
+        F.array(
+            F.concat(F.lit("### "), F.coalesce(name, F.lit(""))), F.lit(""), F.concat(F.lit("- **Type:** "), F.coalesce(kind, F.lit(""))),
+            F.when(F.size(tags) > 0, F.concat(F.lit("- **Tags:** "), F.array_join(F.transform(tags, lambda t: F.concat(F.lit("`"), t, F.lit("`"))), ", "))),
+            F.when(importance.isNotNull(), F.concat(F.lit("- **Importance:** "), number, F.lit("/10"))),
+            F.when(F.size(observations) > 0, F.concat(F.lit("\n**Observations:**\n"), F.array_join(F.transform(observations, lambda o: F.concat(F.lit("- "), o)), "\n"))),
+            F.lit(""),
+        )
+    )
+    return F.array_join(lines, "\n")
+
+
+def markdown(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """Sections of entities, then one line for each relation; ``part`` orders them."""
+    section = markdown_section(*[F.col(c) for c in ("name", "entityType", "tags", "importance", "observations")])
+    line = F.format_string("- **%s** \u2192 *%s* \u2192 **%s**", "from", "relationType", "to")
+    return entities.select(F.lit(0).alias("part"), section.alias("value")).unionByName(relations.select(F.lit(1).alias("part"), line.alias("value")))
+
+
 def turtle(triples: DataFrame, base: str = "urn:kg:") -> DataFrame:
     """N-Triples lines of (s, p, o) rows; objects are literals, subjects and predicates IRIs."""
     iri = lambda c: F.concat(F.lit(f"<{base}"), F.url_encode(c), F.lit(">"))

@@ -37,6 +37,23 @@ def test_text_formats(spark):
     assert io.turtle(t).collect()[0].value == '<urn:kg:s+1> <urn:kg:p> "o \\"q\\"" .'
 
 
+def test_markdown(spark):
+    e, r = graph(spark)
+    bare = spark.createDataFrame([("b", None, None, None, None, None, None), ("q", "t", [], [], None, None, None)], io.ENTITY)
+    got = [x.value for x in io.markdown(e.unionByName(bare), r).orderBy("part", "value").collect()]
+    assert got == [
+        '### a & b\n\n- **Type:** t<1>\n- **Tags:** `T`\n- **Importance:** 5/10\n\n**Observations:**\n- x\n- say "hi"\n',
+        "### b\n\n- **Type:** \n", "### q\n\n- **Type:** t\n", "- **a & b** \u2192 *knows* \u2192 **c**",
+    ]
+    assert io.markdown(e.limit(0), r.limit(0)).count() == 0
+
+
+def test_mermaid_quotes(spark):
+    e, r = graph(spark)
+    quoted = e.withColumn("name", F.lit('a "b"'))
+    assert io.mermaid(quoted, r).filter("part = 0").collect()[0].value == 'a__b_["a #quot;b#quot;"]'
+
+
 def test_rules(spark):
     df = spark.createDataFrame([("a@b.org", 5.0, "2024-01-01"), (None, 11.0, "x")], "mail string, importance double, day string")
     got = v.problems(df, v.required("mail"), v.email("mail"), v.between("importance", 0, 10), v.iso_date("day")).collect()
