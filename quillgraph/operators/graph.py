@@ -226,3 +226,42 @@ def latest_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in an order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def betweenness(nodes: DataFrame, relations: DataFrame) -> DataFrame:
+    """``node, score``: shortest-path dependencies of all sources, by 2 / ((n - 1) (n - 2)) over ordered pairs.
+
+    Relations count in both directions, repeated ones as paths of their own, self-loops and
+    null ends not at all; ends that are no node pass paths on but get no score.  All sources
+    step together: a level holds ``source, node, paths`` and is written, the next one is a
+    join with the relations, and what it meets again can only be in the last two levels.
+    The way back sums dependencies level by level.  The work is that of one search for each node.
+    """
+    names = nodes.select("node").filter("node is not null").distinct()
+    n = names.count()
+    both = relations.select("src", "dst").unionByName(relations.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    edges = written(both.filter("src <> dst"), "edges")
+    levels = [written(names.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")), "level")]
+    while True:
+        met = levels[-1].join(edges, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        for known in levels[-2:]:
+            met = met.join(known.select("source", "node"), ["source", "node"], "left_anti")
+        new = written(met, "level")
+        if new.isEmpty():
+            forget(new)
+            break
+        levels.append(new)
+    total = None
+    shares = [levels[-1].withColumn("share", F.lit(0.0))]
+    for level in reversed(levels[:-1]):
+        back = shares[-1].join(edges, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum((1 + F.col("share")) / F.col("paths")).alias("back"))
+        shares.append(written(level.join(back, ["source", "node"], "left").select("source", "node", "paths", (F.col("paths") * F.coalesce("back", F.lit(0.0))).alias("share")), "shares"))
+    for share in shares:
+        own = share.filter("source <> node").groupBy("node").agg(F.sum("share").alias("raw"))
+        total = own if total is None else total.unionByName(own)
+    scale = 2 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    score = names.join(total.groupBy("node").agg(F.sum("raw").alias("raw")), "node", "left").select("node", F.round(F.coalesce("raw", F.lit(0.0)) * scale, 6).alias("score"))
+    out = written(score, "betweenness")
+    for old in (edges, *levels, *shares[1:]):
+        forget(old)
+    return out

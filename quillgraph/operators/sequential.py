@@ -1,20 +1,12 @@
 """Order-dependent operators: each group (a conversation, a session, a type) is one pandas frame.
 
-Groups are bounded by what they are, a session's records; graph algorithms take graphs
-up to a checked number of relations and spread their sources over tasks.
+Groups are bounded by what they are, a session's records.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-#: Relations of a graph that each task may hold.
-MAX_RELATIONS = 2_000_000
 
 
 def budget_knapsack(df: DataFrame, group: str, key: str, value: str, cost: str, budget: int) -> DataFrame:
@@ -71,79 +63,3 @@ def chunks_by_size(turns: DataFrame, group: str, order: str, text: str, most: in
         return pdf[[group, order]].assign(chunk=out)
 
     return turns.select(group, order, text).groupBy(group).applyInPandas(cut, f"{group} {kind[group]}, {order} {kind[order]}, chunk long")
-
-
-def _neighbours(relations: DataFrame) -> dict[str, list[str]]:
-    rows = relations.select("src", "dst").filter("src <> dst").limit(MAX_RELATIONS + 1).collect()
-    if len(rows) > MAX_RELATIONS:
-        raise ValueError(f"the graph has more than {MAX_RELATIONS} relations; take a subgraph")
-    near: dict[str, list[str]] = {}
-    for r in rows:
-        near.setdefault(r["src"], []).append(r["dst"])
-        near.setdefault(r["dst"], []).append(r["src"])
-    return near
-
-
-def betweenness(nodes: DataFrame, relations: DataFrame) -> DataFrame:
-    """``node, score``: shortest-path dependencies of all sources, by 2 / ((n - 1) (n - 2)) over ordered pairs.
-
-    Sources are spread over tasks; each holds the neighbour lists of a bounded graph.
-    """
-    sent = relations.sparkSession.sparkContext.broadcast(_neighbours(relations))
-    n = nodes.select("node").distinct().count()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near = sent.value
-        for pdf in frames:
-            total: dict[str, float] = {}
-            for source in pdf["node"]:
-                depth, paths, order = {source: 0}, {source: 1.0}, []
-                queue = deque([source])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in near.get(v, ()):
-                        if w not in depth:
-                            depth[w] = depth[v] + 1
-                            queue.append(w)
-                        if depth[w] == depth[v] + 1:
-                            paths[w] = paths.get(w, 0.0) + paths[v]
-                share = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in near.get(w, ()):
-                        if depth[v] == depth[w] - 1:
-                            share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != source:
-                        total[w] = total.get(w, 0.0) + share[w]
-            yield pd.DataFrame({"node": list(total), "score": list(total.values())})
-
-    found = nodes.select("node").distinct().mapInPandas(run, "node string, score double").groupBy("node").agg(F.sum("score").alias("raw"))
-    scale = 2 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    return nodes.select("node").distinct().join(found, "node", "left").select("node", F.round(F.coalesce("raw", F.lit(0.0)) * scale, 6).alias("score"))
-
-
-def maximal_cliques(relations: DataFrame, least: int = 3) -> DataFrame:
-    """``members`` (sorted) of maximal cliques; each task grows cliques whose first node is its own."""
-    near = {k: set(v) for k, v in _neighbours(relations).items()}
-    order = {v: i for i, v in enumerate(sorted(near, key=lambda v: (len(near[v]), v)))}
-    sent = relations.sparkSession.sparkContext.broadcast((near, order))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near, order = sent.value
-        for pdf in frames:
-            found: list[list[str]] = []
-            for first in pdf["node"]:
-                todo = [([first], {w for w in near[first] if order[w] > order[first]}, {w for w in near[first] if order[w] < order[first]})]
-                while todo:
-                    clique, can, past = todo.pop()
-                    if not can and not past and len(clique) >= least:
-                        found.append(sorted(clique))
-                    pivot = max(can | past, key=lambda v: len(can & near[v]), default=None)
-                    for v in sorted(can - (near[pivot] if pivot is not None else set())):
-                        todo.append(([*clique, v], can & near[v], past & near[v]))
-                        can, past = can - {v}, past | {v}
-            yield pd.DataFrame({"members": pd.Series(found, dtype=object)})
-
-    spark = relations.sparkSession
-    starts = spark.createDataFrame([(v,) for v in near], "node string").repartition(spark.sparkContext.defaultParallelism) if near else spark.createDataFrame([], "node string")
-    return starts.mapInPandas(run, "members array<string>")
