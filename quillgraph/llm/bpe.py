@@ -27,8 +27,8 @@ from . import textarrays as ta
 
 #: Words merged in step at once.
 _LANES = 1 << 15
-#: Distinct chunks of text, and bytes of their ids, that a worker remembers.
-_KNOWN, _KNOWN_BYTES = 500_000, 16 << 20
+#: Distinct chunks of text, and bytes of them and of their ids, that a worker remembers.
+_KNOWN, _KNOWN_BYTES = 200_000, 16 << 20
 #: Symbols of a word from which all pairs of the lowest rank merge at once.
 _WIDE = 2048
 
@@ -60,6 +60,11 @@ def _classes() -> np.ndarray:
     return out
 
 
+def assigned() -> np.ndarray:
+    """Which code points this Python's Unicode tables have."""
+    return np.array([unicodedata.category(chr(c)) != "Cn" for c in range(sys.maxunicode + 1)], dtype=bool)
+
+
 def split_pieces(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each piece of lower-case text, given as code points.
 
@@ -109,29 +114,30 @@ class ChunkCoder:
     def chunks_of(self, piece: ta.TextSlice) -> ChunkIds:
         """Ids of a slice's chunks; each distinct chunk is encoded when it is first met.
 
-        At most ``_KNOWN`` chunks, or ``_KNOWN_BYTES`` of ids, are remembered; then memory
-        starts anew.
+        Chunks are told apart by their bytes.  At most ``_KNOWN`` chunks, or
+        ``_KNOWN_BYTES`` of them or their ids, are remembered; then memory starts anew.
         """
         starts, ends, docs = ta.words(piece)
-        hashes, first, which = np.unique(ta.hash_spans(piece.data, starts, ends), return_index=True, return_inverse=True)
-        if len(self._known) > _KNOWN or self._ids.nbytes > _KNOWN_BYTES:
+        first, which = ta.distinct_spans(piece.data, starts, ends)
+        if len(self._known) > _KNOWN or max(self._ids.nbytes, self._bytes) > _KNOWN_BYTES:
             self._forget()
-        at = np.searchsorted(self._known, hashes)
-        new = np.ones(len(hashes), dtype=bool)
-        inside = at < len(self._known)
-        new[inside] = self._known[at[inside]] != hashes[inside]
-        fresh = first[new]
         raw = piece.data.tobytes()
-        ids, counts = self.encode_chunks([raw[i:j] for i, j in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)])
-        self._offsets = np.insert(self._offsets, at[new], len(self._ids) + np.cumsum(counts) - counts)
-        self._counts = np.insert(self._counts, at[new], counts)
-        self._known = np.insert(self._known, at[new], hashes[new])
+        chunks = [raw[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        at = np.array([self._known.get(c, -1) for c in chunks], dtype=np.int64)
+        new = np.flatnonzero(at < 0)
+        fresh = [chunks[i] for i in new.tolist()]
+        ids, counts = self.encode_chunks(fresh)
+        at[new] = len(self._known) + np.arange(len(new))
+        self._known.update(zip(fresh, at[new].tolist(), strict=True))
+        self._bytes += sum(map(len, fresh))
+        self._offsets = np.concatenate([self._offsets, len(self._ids) + np.cumsum(counts) - counts])
+        self._counts = np.concatenate([self._counts, counts])
         self._ids = np.concatenate([self._ids, ids])
-        at = np.searchsorted(self._known, hashes)
         return ChunkIds(self._ids, self._offsets[at], self._counts[at], which, ta.group_starts(docs, len(piece)))
 
     def _forget(self) -> None:
-        self._known, self._ids = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self._known: dict[bytes, int] = {}
+        self._bytes, self._ids = 0, np.zeros(0, np.int32)
         self._offsets, self._counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
@@ -313,7 +319,7 @@ class SegmentTreeBpe(ChunkCoder):
         text = text.replace("Σ", "σ").lower()
         points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
         starts, ends = split_pieces(points)
-        _, first, which = np.unique(ta.hash_spans(points, starts, ends), return_index=True, return_inverse=True)
+        first, which = ta.distinct_spans(points, starts, ends)
         # Each distinct piece with the character after it, which then becomes a newline.
         lengths = ends[first] - starts[first] + 1
         spelt = ta.ragged_gather(np.append(points, np.uint32(0x0A)), starts[first], lengths)

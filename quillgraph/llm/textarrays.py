@@ -19,6 +19,9 @@ SLICE_BYTES = 2 << 20
 #: Bytes whose 64-bit intermediate arrays live at the same time.
 _HASH_BYTES = 1 << 20
 
+#: Masks that keep the first 0 to 8 bytes of a little-endian word.
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+
 #: The blank characters of every contract here: space and 0x09 to 0x0D.
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -26,13 +29,6 @@ BLANK[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_rng = np.random.default_rng(0x5EED)
-_BYTE_CODE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_powers: dict[str, np.ndarray] = {}
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, element by element."""
     x = x.astype(np.uint64, copy=True)
@@ -44,16 +40,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, _HASH_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 class TextSlice:
     """Documents ``first`` to ``first + len(starts)`` of a batch, as one byte array."""
 
@@ -133,31 +119,60 @@ def words(piece: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of ``data[start:end]`` (bytes or code points) for ascending spans that don't overlap."""
-    out = np.empty(len(starts), dtype=np.uint64)
+    """A 64-bit hash of ``data[start:end]`` (bytes or code points) for ascending spans that don't overlap.
+
+    Eight bytes at a time are mixed with their place before they are added up, so no
+    family of texts collides by its form.  Equal hashes are a strong hint, no proof:
+    what must be exact compares bytes (``distinct_spans``).
+    """
+    raw = data.view(np.uint8)
+    unit = data.dtype.itemsize
+    out = np.zeros(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
-        base = starts[i]
-        j = max(int(np.searchsorted(ends, base + _HASH_BYTES, side="right")), i + 1)
-        block = data[base : ends[j - 1]]
-        up, down = _power_table(len(block) + 1)
-        sums = np.empty(len(block) + 1, dtype=np.uint64)
-        sums[0] = 0
-        code = _BYTE_CODE[block] if block.dtype == np.uint8 else mix64(block + np.uint64(1))
-        np.cumsum(code * up[:-1], out=sums[1:])
-        s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        j = max(int(np.searchsorted(ends, starts[i] + _HASH_BYTES // unit, side="right")), i + 1)
+        base = int(starts[i]) * unit
+        block = np.concatenate([raw[base : int(ends[j - 1]) * unit], np.zeros(8, np.uint8)])
+        s, size = starts[i:j] * unit - base, (ends[i:j] - starts[i:j]) * unit
+        n = -(-size // 8)
+        word = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(s, n) + 8 * word
+        left = np.repeat(size, n) - 8 * word
+        value = np.lib.stride_tricks.sliding_window_view(block, 8)[at].view("<u8").ravel() if len(at) else np.zeros(0, np.uint64)
+        value = value & _KEEP[np.minimum(left, 8)]
+        mixed = mix64(value + mix64(word.astype(np.uint64) + np.uint64(1)))
+        some = n > 0
+        sums = np.zeros(j - i, dtype=np.uint64)
+        if len(mixed):
+            sums[some] = np.add.reduceat(mixed, (np.cumsum(n) - n)[some])
+        out[i:j] = sums + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         i = j
     return mix64(out)
 
 
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first span of each distinct content, and the content that each span has; contents are compared byte by byte."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    unit = data.dtype.itemsize
+    sizes = (ends - starts) * unit
+    solid = ragged_gather(data, starts, ends - starts)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(solid.view(np.uint8))])
+    which = np.asarray(spans.dictionary_encode().indices, dtype=np.int64)
+    first = np.empty(int(which.max()) + 1, dtype=np.int64)
+    first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    return first, which
+
+
 def prefix_hashes(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """For each place a 64-bit hash of ``data[begin:place]``."""
-    up, down = _power_table(len(data) + 1)
+    """For each place a 64-bit hash of ``data[begin:place]``; ``begin`` ascends and tells where the place's span starts."""
+    place = np.arange(len(data), dtype=np.uint64)
+    begun = begin.astype(np.int64)
+    code = mix64(mix64(place - begin.astype(np.uint64) + np.uint64(1)) + data.astype(np.uint64))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_CODE[data] * up[:-1], out=sums[1:])
-    place = np.arange(len(data))
-    return mix64((sums[place] - sums[begin]) * down[begin] + (place - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    np.cumsum(code, out=sums[1:])
+    return mix64(sums[place.astype(np.int64)] - sums[begun] + (place - begin.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def group_starts(docs: np.ndarray, n: int) -> np.ndarray:
