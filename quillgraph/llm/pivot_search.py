@@ -41,8 +41,26 @@ def _choose_pivots(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    square = (x**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None, :] - 2 * x @ pivots.T
-    return np.sqrt(np.maximum(square, 0))
+    """By differences: squares of norms would drown a small distance between long vectors."""
+    out = np.empty((len(x), len(pivots)))
+    for j, p in enumerate(pivots):
+        out[:, j] = np.sqrt(((x - p) ** 2).sum(axis=1))
+    return out
+
+
+def lower_bounds(cd: np.ndarray, qd: np.ndarray, c_norm: np.ndarray, q_norm: float) -> np.ndarray:
+    """The largest sure difference of distances to one pivot, for each candidate.
+
+    Distances are kept in single precision and come from vectors rounded to doubles; what
+    that can take away (in proportion to the distances themselves, which a far pivot makes
+    long, and to the vectors' norms) is taken off each difference before the largest is
+    chosen.
+    """
+    if not cd.shape[1]:
+        return np.zeros(len(cd))
+    cd, qd = cd.astype(np.float64), qd.astype(np.float64)
+    sure = np.abs(cd - qd) - 2.0**-22 * (cd + qd)
+    return np.maximum(sure.max(axis=1) - 2.0**-40 * (c_norm + q_norm), 0)
 
 
 def _narrow(x: np.ndarray) -> bytes:
@@ -92,7 +110,7 @@ def search_block(
     c_norm = (c.astype(np.float64) ** 2).sum(axis=1)
     q_norm = (q.astype(np.float64) ** 2).sum(axis=1)
     for i in range(len(q)):
-        near = np.abs(cd - qd[i]).max(axis=1).astype(np.float64) if cd.shape[1] else np.zeros(len(c))
+        near = lower_bounds(cd, qd[i], np.sqrt(c_norm), float(np.sqrt(q_norm[i])))
         bound = (q_norm[i] + c_norm - near**2) / 2
         bound += 1e-6 * (q_norm[i] + c_norm) + 1e-6  # more than rounding can take away
         bound[c_ids == q_ids[i]] = -np.inf

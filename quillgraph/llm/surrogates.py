@@ -19,8 +19,8 @@ from ..session import forget, written
 
 _LOCAL = r"[\p{L}\p{N}._%+\-]"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: Titles by the gender they tell (fixed values).
-TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Госпожа", "Κυρία"]}
+#: Titles by the gender they tell, n for none (fixed values).
+TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Госпожа", "Κυρία"], "n": ["Dr", "Prof"]}
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
 #: Patterns in the order in which they are tried; each also tells the type of a match.
 #: Only single characters repeat without a bound: Java's matcher recurses for each round of a group.
@@ -49,14 +49,16 @@ _ALPHABETS = [
     (r"[α-ωά-ώ]", "αβγδεζηθικλμνξοπρστυφχψω"),
     (r"[Α-Ω]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
     (r"\p{IsHan}", "安白陈丁方高何江林马宁钱任孙王徐杨张周朱"),
-    (r"[\p{Ll}&&[^a-z]]", "àâäçéèêëîïñôöùûü"),
-    (r"[\p{Lu}&&[^A-Z]]", "ÀÂÄÇÉÈÊËÎÏÑÔÖÙÛÜ"),
+    (r"[\p{IsLatin}&&\p{Ll}]", "àâäçéèêëîïñôöùûü"),
+    (r"[\p{IsLatin}&&\p{Lu}]", "ÀÂÄÇÉÈÊËÎÏÑÔÖÙÛÜ"),
 ]
+#: Kinds of letters and numbers of all other scripts.
+_KINDS = [r"\p{Lu}", r"\p{Ll}", r"\p{L}", r"\p{N}"]
 #: Given names by script and gender, and syllables of surnames by script (fixed values).
 _GIVEN = {
-    "latin": {"m": ["Adrian", "Bruno", "Carl", "David", "Emil", "Felix", "Gregor", "Hugo", "Ivan", "Julian", "Leo", "Martin", "Oscar", "Paul", "Robert", "Simon"], "f": ["Alice", "Bianca", "Clara", "Diana", "Elena", "Flora", "Greta", "Helena", "Irene", "Julia", "Laura", "Maria", "Nina", "Olivia", "Paula", "Sofia"]},
-    "cyrillic": {"m": ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Игорь", "Кирилл", "Максим"], "f": ["Алла", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Ксения", "Мария"]},
-    "greek": {"m": ["Ανδρέας", "Γιώργος", "Δημήτρης", "Κώστας"], "f": ["Άννα", "Ελένη", "Κατερίνα", "Μαρία"]},
+    "latin": {"m": ["Adrian", "Bruno", "Carl", "David", "Emil", "Felix", "Gregor", "Hugo", "Ivan", "Julian", "Leo", "Martin", "Oscar", "Paul", "Robert", "Simon"], "f": ["Alice", "Bianca", "Clara", "Diana", "Elena", "Flora", "Greta", "Helena", "Irene", "Julia", "Laura", "Maria", "Nina", "Olivia", "Paula", "Sofia"], "n": ["Alex", "Chris", "Jo", "Kim", "Noel", "Robin", "Sascha", "Toni"]},
+    "cyrillic": {"m": ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Игорь", "Кирилл", "Максим"], "f": ["Алла", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Ксения", "Мария"], "n": ["Валя", "Женя", "Саша", "Шура"]},
+    "greek": {"m": ["Ανδρέας", "Γιώργος", "Δημήτρης", "Κώστας"], "f": ["Άννα", "Ελένη", "Κατερίνα", "Μαρία"], "n": ["Άλεξ", "Κρις"]},
 }
 _SYLLABLES = {"latin": ["bar", "den", "fal", "gor", "hem", "kin", "lor", "man", "nel", "pet", "ros", "sen", "tal", "ver", "wil", "zan"], "cyrillic": ["бар", "ден", "вол", "гор", "зим", "кор", "лав", "мир", "нов", "пет", "рос", "сав", "тар", "чер", "шан", "юр"], "greek": ["βαρ", "γερ", "δημ", "ζαν", "θεο", "καλ", "λαμ", "μαν", "νικ", "παπ", "ρουσ", "σταμ", "τρικ", "φιλ", "χατζ", "ψαρ"]}
 
@@ -71,6 +73,19 @@ def _byte(digest: Column, i: Column | int) -> Column:
     return F.conv(F.substring(digest, at, F.lit(2)), 16, 10).cast("int")
 
 
+def _neighbour(c: Column, value: Column) -> Column:
+    """Another letter or number of the kind of ``c`` from its sixteen code points, which are of one script; others are kept."""
+    units = F.hex(F.encode(c, "UTF-16BE"))
+    stem = F.substring(units, F.lit(1), F.length(units) - 1)
+    near = F.transform(F.array(*map(F.lit, "0123456789ABCDEF")), lambda d: F.decode(F.unhex(F.concat(stem, d)), "UTF-16BE"))
+    out = c
+    alike_of = lambda kind: F.filter(near, lambda x: x.rlike(f"^{kind}$") & (x != c))
+    for kind in reversed(_KINDS):
+        alike = alike_of(kind)
+        out = F.when(c.rlike(f"^{kind}$"), F.when(F.size(alike) > 0, F.element_at(alike, (F.pmod(value, F.greatest(F.size(alike), F.lit(1))) + 1).cast("int"))).otherwise("x")).otherwise(out)
+    return out
+
+
 def _respelt(text: Column, digest: Column, hexadecimal: bool = False) -> Column:
     """Each letter or digit exchanged for one of its kind, others kept."""
 
@@ -78,7 +93,7 @@ def _respelt(text: Column, digest: Column, hexadecimal: bool = False) -> Column:
         value = _byte(digest, i)
         if hexadecimal:
             return F.substring(F.lit("0123456789abcdef"), (F.pmod(value, F.lit(16)) + 1).cast("int"), F.lit(1))
-        out = c
+        out = F.when(c.rlike(r"^[\p{L}\p{N}]$"), _neighbour(c, value)).otherwise(c)
         for pattern, letters in reversed(_ALPHABETS):
             out = F.when(c.rlike(f"^{pattern}$"), F.substring(F.lit(letters), (F.pmod(value, F.lit(len(letters))) + 1).cast("int"), F.lit(1))).otherwise(out)
         return out
@@ -117,7 +132,8 @@ def parts_of(match: Column) -> Column:
         .otherwise(match)
     )
     words = F.slice(F.split(match, " "), 2, 3)
-    gender = F.when(match.rlike(f"^(?:{'|'.join(TITLES['f'])})[. ]"), "f").otherwise("m")
+    told = lambda g: match.rlike(f"^(?:{'|'.join(TITLES[g])})[. ]")
+    gender = F.when(told("f"), "f").when(told("n"), "n").otherwise("m")
     surname = F.element_at(words, -1)
     family = F.struct(F.concat(F.lit("surname:"), _script(surname)).alias("kind"), F.lower(surname).alias("form"))
     given = F.struct(F.concat(F.lit("given:"), gender, F.lit(":"), _script(words[0])).alias("kind"), F.lower(words[0]).alias("form"))
@@ -173,6 +189,14 @@ def _drawn(kind: Column, form: Column, attempt: Column, digest: Column, extra: C
     return out
 
 
+def _leaks(kind: Column, form: Column, surrogate: Column) -> Column:
+    """Whether an address still shows its name or its domain: as it was, or within a longer one."""
+    local, domain = F.substring_index(form, "@", 1), F.regexp_extract(form, r"@(.*)\.\p{L}{2,}$", 1)
+    shown = lambda part, now: part.rlike(r"[\p{L}\p{N}]") & ((part == now) | ((F.length(part) > 3) & surrogate.contains(part)))
+    found = shown(local, F.substring_index(surrogate, "@", 1)) | shown(domain, F.regexp_extract(surrogate, r"@(.*)\.\p{L}{2,}$", 1))
+    return (kind == "email") & F.coalesce(found, F.lit(False))
+
+
 def _syllables_needed(entities: DataFrame) -> Column:
     """Syllables that a kind of names needs besides its pool, by the number of its entities (one row a kind)."""
     pools = {f"surname:{s}": len(v) ** 3 for s, v in _SYLLABLES.items()} | {f"given:{g}:{s}": len(v) for s, x in _GIVEN.items() for g, v in x.items()}
@@ -187,7 +211,7 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     """``kind, form, surrogate`` of distinct entities, all surrogates distinct within a kind.
 
     Those that equal another surrogate (all but the least form) or an entity that was
-    found are drawn again, until none is left; forms grow with the attempts, so that ends.
+    found, and addresses that still show the original's name or domain, are drawn again, until none is left; forms grow with the attempts, so that ends.
     Each round is one grouping and one join of the entities.
     """
     extra = _syllables_needed(entities)
@@ -196,7 +220,7 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
         owner = now.groupBy("kind", "surrogate").agg(F.min("form").alias("owner"))
         real = entities.select("kind", F.col("form").alias("surrogate"), F.lit(True).alias("real"))
         met = now.join(owner, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
-        again = F.coalesce("real", F.lit(False)) | (F.col("form") != F.col("owner"))
+        again = F.coalesce("real", F.lit(False)) | (F.col("form") != F.col("owner")) | _leaks(F.col("kind"), F.col("form"), F.col("surrogate"))
         checked = written(met.select("kind", "form", "attempt", "surrogate", again.alias("again")), "surrogates")
         forget(now)
         if checked.filter("again").isEmpty():

@@ -5,13 +5,15 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.llm import components as cc
-from quillgraph.llm import exact_dedup, pivot_search, surrogates, trie_join
+from quillgraph.llm import bpe, context_mixing, exact_dedup, packing, pivot_search, surrogates, trie_join
+from tokenizers import Tokenizer
 
 
 @pytest.mark.parametrize("short", [False, True])
@@ -220,3 +222,49 @@ def test_pivot_search_counts_what_it_evaluates(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5, x[5].tolist())], "vec_id long, embedding array<double>")
     rows = pivot_search.top_k(df, F.col("vec_id") % 100 == 0, k=3, counted=True).collect()
     assert len(rows) == 9 and all(3 <= r.evaluated <= 300 for r in rows)
+
+
+def test_addresses_of_any_script_leave_nothing(spark):
+    pairs = [("سلام", "مثال"), ("たなか", "れい"), ("김철수", "예시"), ("שלום", "דוגמה"), ("नमनर", "उदहरण"), ("สวสด", "ตวอยาง"), ("Անուն", "օրինակ"), ("გიორგი", "მაგალი"), ("٣٤٥٦", "۴۵۶۷")]
+    pairs += [("ñandú", "größe"), ("иван", "пример"), ("νίκος", "τόπος"), ("王明", "例子"), ("𐐨𐐩𐐪𐐫", "𐐬𐐭𐐮")]
+    docs = spark.createDataFrame([(i, f"Write to {a}@{b}.com or not.") for i, (a, b) in enumerate(pairs)], "doc_id long, text string")
+    script = lambda s: {unicodedata.name(c).split()[0] for c in s if c.isalnum()}
+    for row in surrogates.replace_entities(docs, "k").collect():
+        local, domain = pairs[row.doc_id]
+        new = row.text.split()[2]
+        assert row.n_entities == 1 and new.endswith(".com") and local not in new and domain not in new
+        assert script(new.removesuffix(".com")) == script(local + domain)
+
+
+@pytest.mark.parametrize("far", [2.0**20, 2.0**33])
+def test_pivot_search_is_exact_with_outliers(spark, far):
+    rng = np.random.default_rng(int(np.log2(far)))
+    x = np.round(rng.normal(size=(900, 8)) * 64) / 1024
+    x[11] *= far / 1024
+    x[500], x[501], x[502] = 0, x[11] + 1 / 1024, -x[11] / 3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in pivot_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 25 == 0, k=5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    whole = [[int(np.floor(1024 * c)) for c in v] for v in x]
+    for q in range(0, 900, 25):
+        scores = sorted(((-sum(a * b for a, b in zip(whole[q], c, strict=True)), i) for i, c in enumerate(whole) if i != q))[:5]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 65536])
+def test_words_that_are_complements_stay_apart(spark, size):
+    """A Thue-Morse word and its complement: equal under any polynomial hash modulo a power of two."""
+    bits = [bin(i).count("1") & 1 for i in range(size)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"{a} {b}")], "doc_id long, text string").coalesce(1)
+    groups = trie_join.near_duplicates(docs, width=3, percent=90).collect()
+    assert {r.doc_id: r.component_id for r in groups} == {1: 1, 2: 2, 3: 3}
+    path = bpe.public_path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in ((1, a), (2, b), (3, f"{a} {b}"))}
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode_decode(docs, path).collect()} == want
+    pieces = packing.cut_pieces(docs, path, capacity=1 << 20, end_id=0).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist()[:-1] for r in pieces} == want
+    counts = {bytes(r.word): r.c for r in context_mixing.vocabulary(docs, "text", F.lit(True)).collect()}
+    assert counts[a.encode()] == counts[b.encode()] == 2
