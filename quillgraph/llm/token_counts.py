@@ -4,14 +4,16 @@ A byte-level vocabulary splits a text into pre-tokens and each of them into piec
 itself.  So pieces are counted once for each distinct pre-token of the corpus, joined to
 the pre-token frequencies of the documents, and summed; no ids are made.
 
-Frequencies travel packed: one row for each pre-token of a slice of texts, with the
-places and frequencies of the texts that have it.  A pre-token that every text has is
-one row a slice, so no key is hot.
+Frequencies stay with their slice of texts.  What is dealt out is each slice's distinct
+pre-tokens, packed in one row for each bucket of their hashes; the join of pieces to
+pre-tokens is within buckets, and the slices get numbers back.  A pre-token that every
+text has is met once a slice, so no bucket is hot.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +32,8 @@ from . import textarrays as ta
 _SPECIAL = 4
 #: Pre-tokens that the library encodes at once.
 _TOGETHER = 512
+#: Buckets of pre-tokens at least, and bytes of text for one.
+BUCKETS, BUCKET_BYTES = 256, 64 << 20
 
 
 class ByteLevel:
@@ -152,71 +156,85 @@ def load(path: str) -> ByteLevel:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Counts in two bytes each where all fit, else in eight; the first byte tells which."""
-    return b"2" + values.astype("<u2").tobytes() if not len(values) or values.max() < 1 << 16 else b"8" + values.astype("<u8").tobytes()
+    """Numbers in as few bytes each as all need; the first byte tells how many."""
+    most = int(values.max(initial=0))
+    kind = next(k for k in (1, 2, 4, 8) if most < 1 << (8 * k))
+    return str(kind).encode() + values.astype(f"<u{kind}").tobytes()
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if raw[:1] == b"2" else "<u8", offset=1).astype(np.int64)
+    return np.frombuffer(raw, f"<u{raw[:1].decode()}", offset=1).astype(np.int64)
 
 
-def frequencies(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
-    """Per slice of texts: a row for each text (``place, doc_id, n_bytes, special``) and a row for each distinct pre-token (``pre_token, places, times``)."""
+_NAMES = ["slice", "doc_id", "place", "n_bytes", "special", "bucket", "words", "lengths", "places", "times", "texts"]
+
+
+def frequencies(docs: DataFrame, path: str, buckets: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows of three kinds, by slice of texts.
+
+    For each text its ``place, doc_id, n_bytes`` and number of ``special`` tokens; for each
+    bucket the slice's distinct pre-tokens (``words, lengths``); and once the frequencies:
+    in how many ``texts`` each pre-token is, in the order of buckets, and at which
+    ``places`` it is how many ``times``.
+    """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType
-    schema = f"slice long, doc_id {kind.simpleString()}, place int, n_bytes long, special long, pre_token binary, places binary, times binary"
+    schema = f"slice long, doc_id {kind.simpleString()}, place int, n_bytes long, special long, bucket int, words binary, lengths binary, places binary, times binary, texts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path)
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = batch.column(0)
+            types = [pa.int64(), ids.type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
+
+            def made(n: int, number: int, types: list = types, **columns: object) -> pa.RecordBatch:
+                columns["slice"] = np.full(n, number)
+                return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(_NAMES, types, strict=True)], _NAMES)
+
             for piece in ta.slices(batch.column(1)):
                 n = len(piece)
                 data, starts, owner, special = coder.spans(piece)
                 ends = np.append(starts[1:], len(data))
-                specials = np.bincount(owner[special], minlength=n)
-                none = lambda size, type_: pa.nulls(size, type_)
-                head = [
-                    pa.array(np.full(n, number), pa.int64()), ids.slice(piece.first, n), pa.array(np.arange(n), pa.int32()), pa.array(piece.ends - piece.starts, pa.int64()),
-                    pa.array(specials, pa.int64()), none(n, pa.binary()), none(n, pa.binary()), none(n, pa.binary()),
-                ]
-                names = ["slice", "doc_id", "place", "n_bytes", "special", "pre_token", "places", "times"]
-                yield pa.RecordBatch.from_arrays(head, names)
+                yield made(n, number, doc_id=ids.slice(piece.first, n), place=np.arange(n), n_bytes=piece.ends - piece.starts, special=np.bincount(owner[special], minlength=n))
                 starts, ends, owner = starts[~special], ends[~special], owner[~special]
                 first, which = ta.distinct_spans(data, starts, ends)
-                pairs, times = np.unique(which * n + owner, return_counts=True)
-                cuts = np.searchsorted(pairs, np.arange(len(first) + 1) * n)
-                places = pairs % n
-                raw = data.tobytes()
-                for low in range(0, len(first), 4096):
-                    some = range(low, min(low + 4096, len(first)))
-                    spelt = [raw[starts[first[i]] : ends[first[i]]] for i in some]
-                    m = len(spelt)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(m, number), pa.int64()), none(m, ids.type), none(m, pa.int32()), none(m, pa.int64()), none(m, pa.int64()), pa.array(spelt, pa.binary()),
-                            pa.array([_packed(places[cuts[i] : cuts[i + 1]]) for i in some], pa.binary()), pa.array([_packed(times[cuts[i] : cuts[i + 1]]) for i in some], pa.binary()),
-                        ],
-                        names,
-                    )
+                starts, ends = starts[first], ends[first]
+                bucket = (ta.hash_spans(data, starts, ends) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                rank = np.empty(len(order), dtype=np.int64)
+                rank[order] = np.arange(len(order))
+                pairs, times = np.unique(rank[which] * n + owner, return_counts=True)
+                yield made(1, number, places=[_packed(pairs % n)], times=[_packed(times)], texts=[_packed(np.bincount(pairs // n, minlength=len(first)))])
+                lengths = (ends - starts)[order]
+                words = ta.ragged_gather(data, starts[order], lengths).tobytes()
+                edges = np.concatenate([[0], np.cumsum(lengths)])
+                used, low = np.unique(bucket[order], return_index=True)
+                high = np.append(low[1:], len(order))
+                spelt = [words[edges[i] : edges[j]] for i, j in zip(low.tolist(), high.tolist(), strict=True)]
+                if len(used):
+                    yield made(len(used), number, bucket=used, words=spelt, lengths=[_packed(lengths[i:j]) for i, j in zip(low.tolist(), high.tolist(), strict=True)])
                 number += 1
 
     return rows.mapInArrow(run, schema)
 
 
-def piece_counts(pre_tokens: DataFrame, path: str) -> DataFrame:
-    """``pre_token, pieces`` of distinct pre-tokens."""
+def piece_counts(words: DataFrame, path: str) -> DataFrame:
+    """``slice, bucket, pieces`` of the pre-tokens in each row of ``slice, bucket, words, lengths``; each distinct one is counted once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(group: pa.Table) -> pa.Table:
+        lengths = [_unpacked(x) for x in group.column("lengths").to_pylist()]
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64)
+        spans = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(group.column("words").to_pylist()))]).dictionary_encode()
         coder = load(path)
-        for batch in batches:
-            for low in range(0, batch.num_rows, _TOGETHER):
-                some = batch.column(0).slice(low, _TOGETHER)
-                counts = coder.pieces([t.decode() for t in some.to_pylist()])
-                yield pa.RecordBatch.from_arrays([some, pa.array(counts, pa.int64())], ["pre_token", "pieces"])
+        counts = np.empty(len(spans.dictionary), dtype=np.int64)
+        for low in range(0, len(counts), _TOGETHER):
+            counts[low : low + _TOGETHER] = coder.pieces([w.decode() for w in spans.dictionary.slice(low, _TOGETHER).to_pylist()])
+        found = counts[np.asarray(spans.indices)]
+        cuts = np.cumsum([len(x) for x in lengths])[:-1]
+        return pa.table({"slice": group.column("slice"), "bucket": group.column("bucket"), "pieces": pa.array([_packed(x) for x in np.split(found, cuts)], pa.binary())})
 
-    return pre_tokens.select("pre_token").mapInArrow(run, "pre_token binary, pieces long")
+    return words.select("slice", "bucket", "words", "lengths").groupBy("bucket").applyInArrow(count, "slice long, bucket int, pieces binary")
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,24 +246,27 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     An empty table gives an empty result.  Other columns are not carried; their names
     can't clash.
 
-    Two shuffles of packed frequencies, by pre-token and by slice.  A slice is about
-    ``textarrays.SLICE_BYTES`` of texts, or one longer text, and so bounds what is summed
-    at once.
+    Two shuffles: of distinct pre-tokens by bucket, and of their numbers and the packed
+    frequencies by slice.  A slice is about ``textarrays.SLICE_BYTES`` of texts, or one
+    longer text, and a bucket has about ``BUCKET_BYTES``, so both bound what a task holds.
     """
     kind = docs.select(docs[id_col].alias("doc_id")).schema["doc_id"].dataType.simpleString()
-    found = written(frequencies(docs, path, id_col, text_col), "pre-tokens")
-    keyed = found.filter("pre_token is not null").select("slice", "pre_token", "places", "times")
-    counted = keyed.join(piece_counts(keyed.select("pre_token").distinct(), path), "pre_token")
-    texts = found.filter("pre_token is null").select("slice", "doc_id", "place", "n_bytes", "special")
-    both = texts.unionByName(counted.select("slice", "places", "times", "pieces"), allowMissingColumns=True)
+    size = docs.agg(F.sum(F.octet_length(docs[text_col].cast("string")).cast("double"))).first()[0] or 0
+    found = written(frequencies(docs, path, max(BUCKETS, math.ceil(size / BUCKET_BYTES)), id_col, text_col), "pre-tokens")
+    counted = piece_counts(found.filter("words is not null"), path)
+    both = found.filter("words is null").drop("bucket", "words", "lengths").unionByName(counted, allowMissingColumns=True)
 
     def total(group: pa.Table) -> pa.Table:
         rows = group.filter(pc.is_valid(group.column("place")))
         rows = rows.take(pc.sort_indices(rows, [("place", "ascending")]))
-        packed = group.filter(pc.is_valid(group.column("pieces")))
         sums = np.asarray(rows.column("special"), dtype=np.int64).copy()
-        for places, times, pieces in zip(packed.column("places").to_pylist(), packed.column("times").to_pylist(), packed.column("pieces").to_pylist(), strict=True):
-            sums[_unpacked(places)] += _unpacked(times) * pieces
+        (packed,) = group.filter(pc.is_valid(group.column("times"))).select(["places", "times", "texts"]).to_pylist()
+        counts = group.filter(pc.is_valid(group.column("pieces")))
+        if counts.num_rows:
+            counts = counts.take(pc.sort_indices(counts, [("bucket", "ascending")]))
+            pieces = np.concatenate([_unpacked(x) for x in counts.column("pieces").to_pylist()])
+            weights = np.repeat(pieces, _unpacked(packed["texts"])) * _unpacked(packed["times"])
+            np.add.at(sums, _unpacked(packed["places"]), weights)
         return pa.table({"doc_id": rows.column("doc_id"), "n_bytes": rows.column("n_bytes"), "n_tokens": pa.array(sums, pa.int64()), "over_limit": pa.array(sums > limit)})
 
     return both.groupBy("slice").applyInArrow(total, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
