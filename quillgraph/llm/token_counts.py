@@ -155,15 +155,29 @@ def load(path: str) -> ByteLevel:
     return ByteLevel(path)
 
 
+def _squeezed(raw: bytes) -> bytes:
+    """Compressed bytes behind their length; rows hold thousands of short words or numbers, so this halves what is shuffled."""
+    return len(raw).to_bytes(8, "little") + _codec().compress(raw, asbytes=True)
+
+
+def _loosened(raw: bytes) -> bytes:
+    return _codec().decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
+
+
+@lru_cache(maxsize=1)
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=3)
+
+
 def _packed(values: np.ndarray) -> bytes:
     """Numbers in as few bytes each as all need; the first byte tells how many."""
     most = int(values.max(initial=0))
     kind = next(k for k in (1, 2, 4, 8) if most < 1 << (8 * k))
-    return str(kind).encode() + values.astype(f"<u{kind}").tobytes()
+    return str(kind).encode() + _squeezed(values.astype(f"<u{kind}").tobytes())
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[:1].decode()}", offset=1).astype(np.int64)
+    return np.frombuffer(_loosened(raw[1:]), f"<u{raw[:1].decode()}").astype(np.int64)
 
 
 _NAMES = ["slice", "doc_id", "place", "n_bytes", "special", "bucket", "words", "lengths", "places", "times", "texts"]
@@ -211,7 +225,7 @@ def frequencies(docs: DataFrame, path: str, buckets: int, id_col: str, text_col:
                 edges = np.concatenate([[0], np.cumsum(lengths)])
                 used, low = np.unique(bucket[order], return_index=True)
                 high = np.append(low[1:], len(order))
-                spelt = [words[edges[i] : edges[j]] for i, j in zip(low.tolist(), high.tolist(), strict=True)]
+                spelt = [_squeezed(words[edges[i] : edges[j]]) for i, j in zip(low.tolist(), high.tolist(), strict=True)]
                 if len(used):
                     yield made(len(used), number, bucket=used, words=spelt, lengths=[_packed(lengths[i:j]) for i, j in zip(low.tolist(), high.tolist(), strict=True)])
                 number += 1
@@ -225,7 +239,7 @@ def piece_counts(words: DataFrame, path: str) -> DataFrame:
     def count(group: pa.Table) -> pa.Table:
         lengths = [_unpacked(x) for x in group.column("lengths").to_pylist()]
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64)
-        spans = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(group.column("words").to_pylist()))]).dictionary_encode()
+        spans = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(_loosened(w) for w in group.column("words").to_pylist()))]).dictionary_encode()
         coder = load(path)
         counts = np.empty(len(spans.dictionary), dtype=np.int64)
         for low in range(0, len(counts), _TOGETHER):
