@@ -147,9 +147,9 @@ def posting_union(spark: SparkSession, d: str) -> DataFrame:
 @query("""
     WITH n AS (SELECT p_partkey AS ord, lower(p_name) AS n, lower(p_type) AS t, list_filter(regexp_split_to_array(lower(concat_ws(' ', p_name, p_type)), '\\s+'), lambda w: w <> '') AS w, lower(concat_ws(' ', p_name, p_type)) AS o, lower(p_name || ' #' || p_partkey) AS name FROM part),
          x AS (SELECT ord, unnest(list_concat([name, t, o], w)) AS v FROM n)
-    SELECT DISTINCT ord FROM x WHERE v = 'stel' OR contains(v, 'stel') OR contains('stel', v) OR 1 - levenshtein(v, 'stel') / greatest(length(v), 4) >= 0.7""")
+    SELECT DISTINCT ord FROM x WHERE v = 'medum' OR contains(v, 'medum') OR contains('medum', v) OR 1 - levenshtein(v, 'medum') / greatest(length(v), 5) >= 0.7""")
 def fuzzy_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.fuzzy(part_entities(spark, d), "stel", 0.7).select("ord")
+    return search.fuzzy(part_entities(spark, d), "medum", 0.7).select("ord")
 
 
 @query("""
@@ -288,9 +288,9 @@ def bfs_depth(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
     WITH RECURSIVE {GEO_SQL}, e AS (SELECT src AS a, dst AS b FROM geo UNION ALL SELECT dst, src FROM geo),
     w(node, depth) AS (SELECT 'c1', 0 UNION SELECT e.b, w.depth + 1 FROM w JOIN e ON e.a = w.node WHERE w.depth < 6)
-    SELECT min(depth) AS length FROM w WHERE node = 's2' HAVING min(depth) IS NOT NULL""")
+    SELECT min(depth) AS length FROM w WHERE node = (SELECT 'r' || max(r_regionkey) FROM region) HAVING min(depth) IS NOT NULL""")
 def shortest_path_len(spark: SparkSession, d: str) -> DataFrame:
-    return graph.shortest_path_length(geo_relations(spark, d), "c1", "s2", 6)
+    return graph.shortest_path_length(geo_relations(spark, d), "c1", "r" + str(table(spark, d, "region").agg(F.max("r_regionkey")).first()[0]), 6)
 
 
 @query(f"""

@@ -147,7 +147,7 @@ def relation_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH m AS (SELECT l_orderkey AS ord, l_partkey AS content, l_linenumber AS line, l_shipdate AS u FROM lineitem WHERE l_linenumber % 2 = 1), k AS (SELECT ord, content, max_by(u, line) AS u FROM m GROUP BY ord, content)
+    WITH m AS (SELECT l_orderkey AS ord, l_partkey AS content, l_linenumber AS line, l_shipdate AS u FROM lineitem WHERE l_linenumber % 2 = 1), k AS (SELECT ord, content, max_by(u, {'line': line, 'u': u}) AS u FROM m GROUP BY ord, content)
     SELECT DISTINCT l_orderkey AS ord, l_partkey AS content FROM lineitem LEFT JOIN k ON l_orderkey = ord AND l_partkey = content WHERE u IS NULL OR u >= TIMESTAMP '1996-01-01'""")
 def observation_asof(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("ord"), F.col("l_partkey").alias("content"), F.col("l_linenumber").alias("line"), F.lit(None).cast("timestamp_ntz").alias("valid_from"), F.col("l_shipdate").alias("valid_until"))

@@ -35,6 +35,11 @@ def tokenize(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\w\s]", " "), r"\s+"), lambda t: t != "")
 
 
+def query_tokens(query: str) -> list[str]:
+    """The tokens of a query, as ``tokenize`` gives those of a text; repeats stay."""
+    return re.sub(r"[^a-z0-9_\s]", " ", query.lower()).split()
+
+
 def word_count(lower: Column, word: str | None = None) -> Column:
     """How often a word (any, if None) is among the tokens of lower-cased text, without building them.
 

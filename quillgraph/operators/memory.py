@@ -190,9 +190,9 @@ def relation_checks(relations: DataFrame, now: str) -> DataFrame:
 def observations_asof(observations: DataFrame, meta: DataFrame, at: str) -> DataFrame:
     """Observations (ord, content) that hold at a time, by metadata (ord, content, line, valid_from, valid_until).
 
-    Of metadata for one content the last line counts; without any an observation always holds.
+    Of metadata for one content the last line counts, of equal lines the one that holds longest; without any an observation always holds.
     """
-    last = meta.groupBy("ord", "content").agg(F.max_by(F.struct("valid_from", "valid_until"), "line").alias("m"))
+    last = meta.groupBy("ord", "content").agg(F.max_by(F.struct("valid_from", "valid_until"), F.struct("line", "valid_until", "valid_from")).alias("m"))
     t = F.to_timestamp(F.lit(at))
     met = observations.join(last, ["ord", "content"], "left")
     return met.filter(F.coalesce(F.col("m.valid_from") <= t, F.lit(True)) & F.coalesce(F.col("m.valid_until") >= t, F.lit(True))).select("ord", "content")

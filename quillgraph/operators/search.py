@@ -48,11 +48,12 @@ def _terms(docs: DataFrame, text: Column, stop: list[str] | None) -> DataFrame:
 def bm25(docs: DataFrame, text: Column, query: str, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The k best documents of a query by BM25: ``ord, score``; ties to the smaller ord.
 
-    Stop words are dropped from documents and query.  A text is counted where it lies, by
+    Stop words are dropped from documents and query; a word counts as often as the query has it.  A text is counted where it lies, by
     compiled patterns; the counts, a few numbers a row, are written once and read for the
     totals and for the scores of the rows that hold a query word.  Null texts have no words.
     """
-    words = [w for w in dict.fromkeys(query.lower().split()) if w not in T.BM25_STOP_WORDS]
+    asked = [w for w in T.query_tokens(query) if w not in T.BM25_STOP_WORDS]
+    words = list(dict.fromkeys(asked))
     lower = F.lower(F.coalesce(text, F.lit("")))
     stops = F.regexp_count(lower, F.lit(rf"(?<!\w)(?:{'|'.join(T.BM25_STOP_WORDS)})(?!\w)"))
     counted = written(docs.select("ord", (T.word_count(lower) - stops).alias("dl"), *[T.word_count(lower, w).alias(f"tf{i}") for i, w in enumerate(words)]), "word-counts")
@@ -62,7 +63,7 @@ def bm25(docs: DataFrame, text: Column, query: str, k: int = 10, k1: float = 1.2
     for i in range(len(words)):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.ln((F.col("n") - df + 0.5) / (df + 0.5) + 1)
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        score = score + asked.count(words[i]) * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
         hit = hit | (tf > 0)
     scored = counted.filter(hit).crossJoin(F.broadcast(totals))  # totals are one row
     return scored.select("ord", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "ord").limit(k)
@@ -70,7 +71,7 @@ def bm25(docs: DataFrame, text: Column, query: str, k: int = 10, k1: float = 1.2
 
 def tfidf(docs: DataFrame, text: Column, query: str, k: int = 10) -> DataFrame:
     """The k best documents by the sum of tf * ln(N / df) over query words (repeats count); planned like ``bm25``."""
-    words = query.lower().split()
+    words = T.query_tokens(query)
     lower = F.lower(F.coalesce(text, F.lit("")))
     tf = {w: f"tf{i}" for i, w in enumerate(dict.fromkeys(words))}
     some = F.lit(False)
@@ -134,7 +135,7 @@ def glob(col: Column, pattern: str) -> Column:
 def phrase(col: Column, words: str) -> Column:
     """The words occur one after the other."""
     inside = F.concat(F.lit(" "), F.array_join(T.tokenize(col), " "), F.lit(" "))
-    return F.contains(inside, F.lit(f" {' '.join(words.lower().split())} "))
+    return F.contains(inside, F.lit(f" {' '.join(T.query_tokens(words))} "))
 
 
 def proximity(docs: DataFrame, text: Column, terms: list[str], distance: int) -> DataFrame:

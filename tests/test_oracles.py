@@ -18,14 +18,19 @@ def duck(sf_dir):
     return con
 
 
+#: Queries that SQL can't express, and the tests that hold them against brute force.
+NO_SQL = {"louvain_communities": "test_paths.py"}
+
+
 def test_every_query_has_an_oracle():
-    assert set(ORACLES) == set(QUERIES)
+    assert set(ORACLES) == set(QUERIES) - set(NO_SQL)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_oracle(spark, duck, sf_dir, name):
     got, want = QUERIES[name](spark, sf_dir).toPandas(), duck.sql(ORACLES[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     rows = lambda df: sorted(map(str, df[columns].astype(object).values.tolist()))
     assert rows(got) == rows(want)
+    assert len(got), "a query without rows shows nothing"
