@@ -3,25 +3,6 @@ from __future__ import annotations
 import pytest
 
 from quillgraph.operators import graph
-from quillgraph.operators import sequential as sq
-
-
-def test_knapsack_skips(spark):
-    rows = [("s", 1, 10.0, 6), ("s", 2, 9.0, 5), ("s", 3, 1.0, 4), ("t", 4, 1.0, 99)]
-    got = sq.budget_knapsack(spark.createDataFrame(rows, "g string, id long, v double, c long"), "g", "id", "v", "c", 10)
-    assert {r.id for r in got.collect()} == {2, 3}
-
-
-def test_leaders(spark):
-    rows = [("g", 1, ["a", "b"]), ("g", 2, ["a", "b", "c"]), ("g", 3, ["x"]), ("h", 4, ["a", "b"])]
-    got = sq.leader_clusters(spark.createDataFrame(rows, "g string, id long, w array<string>"), "g", "id", "w", 0.6)
-    assert {r.id: r.leader for r in got.collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
-
-
-def test_chunks(spark):
-    rows = [("c", i, "x" * n) for i, n in enumerate([5, 5, 1, 20, 2])] + [("d", 0, None)]
-    got = sq.chunks_by_size(spark.createDataFrame(rows, "g string, i long, t string"), "g", "i", "t", 10).collect()
-    assert [r.chunk for r in sorted(got, key=lambda r: (r.g, r.i))] == [0, 0, 1, 2, 3, 0]
 
 
 def test_betweenness(spark):
