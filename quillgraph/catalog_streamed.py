@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .catalog import query
 from .operators import patterns, streamed
+from .session import shared_path
 from .sources.views import table
+from .streaming import timers
 
 
 @query("""
@@ -55,3 +57,21 @@ def size_chunks(spark: SparkSession, d: str) -> DataFrame:
 def context_sections(spark: SparkSession, d: str) -> DataFrame:
     """The beginning of each conversation under a budget, cut at a sentence."""
     return streamed.clipped_sections(table(spark, d, "conversations"), "conv_id", "turn", "text", 1200)
+
+
+@query("""
+    WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_type, time_bucket(INTERVAL 1 MILLISECOND, ts) AS at FROM events),
+         f AS (SELECT *, (SELECT min(o.at) FROM e o WHERE o.key = e.key AND o.at > e.at) AS following, max(at) OVER () AS latest FROM e),
+         t AS (SELECT key, at, following, latest, unnest(['fired', 'expired']) AS event, unnest([at + INTERVAL 30 MINUTE, at + INTERVAL 6 HOUR]) AS time FROM f WHERE event_type IN ('view', 'click'))
+    SELECT key, event, strftime(at, '%Y-%m-%d %H:%M:%S.%g') AS put_at, strftime(time, '%Y-%m-%d %H:%M:%S.%g') AS time FROM t WHERE time <= latest AND (following IS NULL OR following > time)""")
+def trigger_times(spark: SparkSession, d: str) -> DataFrame:
+    """Views and clicks, due after half an hour and void after six, until the user's next event; replayed as a stream."""
+    rows = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")  # a pattern: a stream takes a folder or a pattern, and the table may be one file
+    at = F.col("ts").cast("timestamp")
+    op = F.when(F.col("event_type").isin("view", "click"), "put").otherwise("take")
+    changes = rows.select(F.col("user_id").alias("key"), op.alias("op"), at.alias("at"), (at + F.expr("interval '30' minute")).alias("due"), (at + F.expr("interval '6' hour")).alias("expires"))
+    out = shared_path(spark, "triggers")
+    found = timers.watch(changes)
+    found.writeStream.option("checkpointLocation", shared_path(spark, "trigger-progress")).trigger(availableNow=True).format("parquet").outputMode("append").start(out).awaitTermination()
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSS").alias(c)
+    return spark.read.schema(found.schema).parquet(out).select("key", "event", shown("put_at"), shown("time"))
