@@ -60,10 +60,10 @@ def context_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_type, time_bucket(INTERVAL 1 MILLISECOND, ts) AS at FROM events),
-         f AS (SELECT *, (SELECT min(o.at) FROM e o WHERE o.key = e.key AND o.at > e.at) AS following, max(at) OVER () AS latest FROM e),
-         t AS (SELECT key, at, following, latest, unnest(['fired', 'expired']) AS event, unnest([at + INTERVAL 30 MINUTE, at + INTERVAL 6 HOUR]) AS time FROM f WHERE event_type IN ('view', 'click'))
-    SELECT key, event, strftime(at, '%Y-%m-%d %H:%M:%S.%g') AS put_at, strftime(time, '%Y-%m-%d %H:%M:%S.%g') AS time FROM t WHERE time <= latest AND (following IS NULL OR following > time)""")
+    WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_type, time_bucket(INTERVAL 1 MILLISECOND, ts) AS put FROM events),
+         f AS (SELECT *, (SELECT min(o.put) FROM e o WHERE o.key = e.key AND o.put > e.put) AS following, max(put) OVER () AS latest FROM e),
+         t AS (SELECT key, put, following, latest, unnest(['fired', 'expired']) AS event, unnest([put + INTERVAL 30 MINUTE, put + INTERVAL 6 HOUR]) AS due FROM f WHERE event_type IN ('view', 'click'))
+    SELECT key, event, strftime(put, '%Y-%m-%d %H:%M:%S.%g') AS put_at, strftime(due, '%Y-%m-%d %H:%M:%S.%g') AS time FROM t WHERE due <= latest AND (following IS NULL OR following > due)""")
 def trigger_times(spark: SparkSession, d: str) -> DataFrame:
     """Views and clicks, due after half an hour and void after six, until the user's next event; replayed as a stream."""
     rows = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")  # a pattern: a stream takes a folder or a pattern, and the table may be one file
