@@ -28,7 +28,7 @@ from . import textarrays as ta
 #: Words merged in step at once.
 _LANES = 1 << 15
 #: Distinct chunks of text, and bytes of them and of their ids, that a worker remembers.
-_KNOWN, _KNOWN_BYTES = 200_000, 16 << 20
+_KNOWN, _KNOWN_BYTES = 100_000, 8 << 20
 #: Symbols of a word from which all pairs of the lowest rank merge at once.
 _WIDE = 2048
 

@@ -18,6 +18,8 @@ from ..session import written
 from . import bpe
 from . import textarrays as ta
 
+#: Bytes of text encoded at once; the library's objects for them are many times as large.
+SLICE_BYTES = 512 << 10
 #: Pieces of a bucket, about.
 BUCKET = 20_000
 #: Fillings tried for one bin, and bins filled for each bin of the incumbent; see ``complete``.
@@ -40,7 +42,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.load(path, library=True)
         for batch in batches:
-            for piece in ta.slices(batch.column(1)):
+            for piece in ta.slices(batch.column(1), SLICE_BYTES):
                 ids, offsets = bpe.with_end(*coder.chunks_of(piece).documents(), end_id)
                 sizes = np.diff(offsets)
                 n = -(-sizes // capacity)
