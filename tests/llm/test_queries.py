@@ -42,7 +42,7 @@ def fold(i, n):
 def test_against_sql(spark, name):
     got = queries.QUERIES[name](spark, SF)
     db = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = db.execute(queries.ORACLES[name])
     names = [c[0] for c in want.description]
