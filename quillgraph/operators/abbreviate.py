@@ -37,10 +37,13 @@ def tokens(text: Column) -> Column:
 
 def _grams(texts: DataFrame, text_col: str, min_length: int) -> DataFrame:
     """``gram``: each place of each run of one to six tokens that can be an entry."""
-    runs = lambda n: F.when(F.size("tokens") >= n, F.transform(F.sequence(F.lit(1), F.size("tokens") - n + 1), lambda i: F.array_join(F.slice("tokens", i, F.lit(n)), ""))).otherwise(F.array().cast("array<string>"))
+    rows = texts.filter(F.col(text_col).isNotNull()).select(tokens(F.col(text_col)).alias("run1"))
+    for n in range(2, 7):
+        # A run and the token after it; null where there is none or the string gets too long.
+        longer = lambda g, t: F.when(F.length(g) + F.length(t) <= LONGEST, F.concat(g, t))
+        rows = rows.withColumn(f"run{n}", F.zip_with(f"run{n - 1}", F.slice("run1", F.lit(n), F.size("run1")), longer))
     fits = lambda g: F.length(g).between(min_length, LONGEST)
-    rows = texts.filter(F.col(text_col).isNotNull()).select(tokens(F.col(text_col)).alias("tokens"))
-    each = rows.select(F.explode(F.flatten(F.array(*[F.filter(runs(n), fits) for n in range(1, 7)]))).alias("gram"))
+    each = rows.select(F.explode(F.concat(*[F.filter(f"run{n}", fits) for n in range(1, 7)])).alias("gram"))
     count = lambda p: F.regexp_count("gram", F.lit(p))
     return each.filter((F.length(F.trim("gram")) >= 3) & (count(r"\s") * 2 <= F.length("gram")) & (count(r"[{(\[<]") == count(r"[})\]>]")) & ~F.contains("gram", F.lit(MARK)))
 
