@@ -16,7 +16,7 @@ import os
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -362,13 +362,60 @@ class ChunkIds:
         return ta.ragged_gather(self.ids, self.offsets[self.which], counts), ends[self.bounds]
 
 
+class _PieceIds:
+    """Ids of pieces met before.
+
+    Past ``_KNOWN`` pieces, or ``_KNOWN_BYTES`` of them or their ids, only those that
+    were asked for again are kept, and none if these are more than half of that.
+    """
+
+    def __init__(self) -> None:
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known: dict[bytes, int] = {}
+        self._again = np.zeros(0, dtype=bool)
+        self._bytes, self.ids = 0, np.zeros(0, np.int32)
+        self._offsets, self._counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _keep_used(self) -> None:
+        kept = np.flatnonzero(self._again)
+        pieces = [p for p, again in zip(self._known, self._again.tolist(), strict=True) if again]
+        ids, counts = ta.ragged_gather(self.ids, self._offsets[kept], self._counts[kept]), self._counts[kept]
+        self._forget()
+        if len(pieces) <= _KNOWN // 2 and max(ids.nbytes, sum(map(len, pieces))) <= _KNOWN_BYTES // 2:
+            self._add(pieces, ids, counts)
+
+    def _add(self, pieces: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+        self._known.update(zip(pieces, range(len(self._known), len(self._known) + len(pieces)), strict=True))
+        self._again = np.concatenate([self._again, np.zeros(len(pieces), dtype=bool)])
+        self._bytes += sum(map(len, pieces))
+        self._offsets = np.concatenate([self._offsets, len(self.ids) + np.cumsum(counts) - counts])
+        self._counts = np.concatenate([self._counts, counts])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def find(self, pieces: list[bytes], encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of distinct pieces start in ``ids``, and their numbers; ``encode`` gives those of new ones."""
+        if len(self._known) > _KNOWN or max(self.ids.nbytes, self._bytes) > _KNOWN_BYTES:
+            self._keep_used()
+        at = np.array([self._known.get(p, -1) for p in pieces], dtype=np.int64)
+        self._again[at[at >= 0]] = True
+        new = np.flatnonzero(at < 0)
+        at[new] = len(self._known) + np.arange(len(new))
+        fresh = [pieces[i] for i in new.tolist()]
+        self._add(fresh, *encode(fresh))
+        return self._offsets[at], self._counts[at]
+
+
 class LibraryBpe(ChunkCoder):
     """The tokenizers library as the coder of each distinct chunk.
 
-    Chunks go to the library some at a time, between marks: a NUL between blanks is a
-    token of its own.  Chunks that hold a NUL themselves are encoded alone.  The library's
-    objects take far more memory than the ids in them, so they are dropped after every
-    ``_AT_ONCE`` bytes of chunks.
+    Chunks of ASCII are cut into the pieces that the library's pattern makes of them, and
+    each distinct piece goes to it once, some at a time between blanks: the last token of
+    a piece is marked by its spelling.  Other chunks, and those with the string of a
+    special token, go whole, between marks: a NUL between blanks is a token of its own.
+    Chunks that hold a NUL themselves are encoded alone.  The library's objects take far
+    more memory than the ids in them, so they are dropped after every ``_AT_ONCE`` bytes.
     """
 
     _TOGETHER, _AT_ONCE = 64, 1 << 16
@@ -383,21 +430,67 @@ class LibraryBpe(ChunkCoder):
         self._library.no_padding()
         size = self._library.get_vocab_size(with_added_tokens=True)
         self.tokens = [self._library.id_to_token(i) or "" for i in range(size)]
-        (self._mark,) = self._library.encode("\0", add_special_tokens=False).ids
+        (self._mark,) = self._library_ids("\0")
+        self._last = np.array([t.endswith(self._library.model.end_of_word_suffix) for t in self.tokens])
+        self._special = [str(t).lower().encode() for t in self._library.get_added_tokens_decoder().values()]
+        self._pieces = _PieceIds()
         super().__init__()
 
+    def _library_ids(self, text: str) -> list[int]:
+        return self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if not chunks:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        odd = [i for i, c in enumerate(chunks) if b"\0" in c]
-        alone = {i: self._library.encode(chunks[i].decode("utf-8", "replace"), add_special_tokens=False).ids for i in odd}
+        plain = [c.isascii() and b"\0" not in c for c in chunks]
+        lower = [c.lower() if p else b"" for c, p in zip(chunks, plain, strict=True)]
+        blob = b"\n".join(lower)
+        if any(m in blob for m in self._special):
+            plain = [p and not any(m in c for m in self._special) for c, p in zip(lower, plain, strict=True)]
+            blob = b"\n".join(c if p else b"" for c, p in zip(lower, plain, strict=True))
+        ids, counts = self._encode_ascii(blob)
+        whole = [i for i, p in enumerate(plain) if not p]
+        if not whole:
+            return ids, counts
+        others, sizes = self._encode_whole([chunks[i] for i in whole])
+        # The plain chunks' ids, then the others'; taken in the order of the chunks.
+        starts = np.cumsum(counts) - counts
+        starts[whole], counts[whole] = len(ids) + np.cumsum(sizes) - sizes, sizes
+        return ta.ragged_gather(np.concatenate([ids, others]), starts, counts), counts
+
+    def _encode_ascii(self, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of newline-separated chunks of lower-case ASCII, joined, and the number of ids of each chunk."""
+        points = np.frombuffer(blob, dtype=np.uint8)
+        starts, ends = split_pieces(points)
+        first, which = ta.distinct_spans(points, starts, ends)
+        pieces = [blob[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        offsets, counts = self._pieces.find(pieces, self._encode_pieces)
+        breaks = np.flatnonzero(points == 0x0A)
+        n = np.bincount(np.searchsorted(breaks, starts), weights=counts[which], minlength=len(breaks) + 1).astype(np.int64)
+        return ta.ragged_gather(self._pieces.ids, offsets[which], counts[which]), n
+
+    def _encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found, low, size = [np.zeros(0, np.int32)], 0, 0
+        for high, piece in enumerate(pieces, 1):
+            size += len(piece)
+            if high == len(pieces) or high - low == 8 * self._TOGETHER or size >= self._AT_ONCE:
+                found.append(np.array(self._library_ids(b" ".join(pieces[low:high]).decode()), dtype=np.int32))
+                low, size = high, 0
+        ids = np.concatenate(found)
+        counts = np.diff(np.flatnonzero(self._last[ids]), prepend=-1)
+        if len(counts) != len(pieces):
+            raise ValueError("the library cut a piece, or ended it without its mark")
+        return ids, counts
+
+    def _encode_whole(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        alone = {i: self._library_ids(c.decode("utf-8", "replace")) for i, c in enumerate(chunks) if b"\0" in c}
         found: list[np.ndarray] = []
         low = size = 0
         for high in range(1, len(chunks) + 1):
             size += len(chunks[high - 1])
             if high == len(chunks) or high - low == self._TOGETHER or size >= self._AT_ONCE:
                 texts = [(b"" if i in alone else chunks[i]).decode("utf-8", "replace") for i in range(low, high)]
-                found.append(np.array(self._library.encode(" \0 ".join(texts) + " \0", add_special_tokens=False).ids, dtype=np.int32))
+                found.append(np.array(self._library_ids(" \0 ".join(texts) + " \0 "), dtype=np.int32))
                 low, size = high, 0
         ids = np.concatenate(found)
         marks = np.flatnonzero(ids == self._mark)
