@@ -50,13 +50,14 @@ def _byte_chars() -> list[str]:
 _LETTER, _NUMBER, _OTHER, _WHITE = 1, 2, 3, 0
 
 
-@lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """Class of every code point: letter, number, white space or other."""
+@lru_cache(maxsize=2)
+def _classes(size: int = sys.maxunicode + 1) -> np.ndarray:
+    """Class of every code point below ``size``: letter, number, white space or other."""
     kind = {"L": _LETTER, "N": _NUMBER}
-    out = np.array([kind.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(sys.maxunicode + 1)], dtype=np.uint8)
+    out = np.array([kind.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(size)], dtype=np.uint8)
     # What the public file's pattern counts as white space.
-    out[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = _WHITE
+    white = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+    out[[c for c in white if c < size]] = _WHITE
     return out
 
 
@@ -66,12 +67,12 @@ def assigned() -> np.ndarray:
 
 
 def split_pieces(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each piece of lower-case text, given as code points.
+    """Start and end of each piece of lower-case text, given as code points (or as bytes, if it is ASCII).
 
     Pieces are runs of letters, single numbers, runs of other characters, and the
     contractions ``'s 't 're 've 'm 'll 'd`` where an apostrophe begins a run.
     """
-    kind = _classes()[points]
+    kind = _classes(0x80 if points.dtype == np.uint8 else sys.maxunicode + 1)[points]
     n = len(points)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -432,7 +433,7 @@ class LibraryBpe(ChunkCoder):
         self.tokens = [self._library.id_to_token(i) or "" for i in range(size)]
         (self._mark,) = self._library_ids("\0")
         self._last = np.array([t.endswith(self._library.model.end_of_word_suffix) for t in self.tokens])
-        self._special = [str(t).lower().encode() for t in self._library.get_added_tokens_decoder().values()]
+        self._special = [str(t).lower().encode() for t in self._library.get_added_tokens_decoder().values()] + [b"\0"]
         self._pieces = _PieceIds()
         super().__init__()
 
@@ -442,13 +443,16 @@ class LibraryBpe(ChunkCoder):
     def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if not chunks:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        plain = [c.isascii() and b"\0" not in c for c in chunks]
-        lower = [c.lower() if p else b"" for c, p in zip(chunks, plain, strict=True)]
-        blob = b"\n".join(lower)
-        if any(m in blob for m in self._special):
-            plain = [p and not any(m in c for m in self._special) for c, p in zip(lower, plain, strict=True)]
-            blob = b"\n".join(c if p else b"" for c, p in zip(lower, plain, strict=True))
-        ids, counts = self._encode_ascii(blob)
+        blob = b"\n".join(chunks)
+        plain = [True] * len(chunks)
+        if not blob.isascii():
+            plain = [c.isascii() for c in chunks]
+        for mark in self._special:
+            if mark in blob.lower():
+                plain = [p and mark not in c.lower() for p, c in zip(plain, chunks, strict=True)]
+        if not all(plain):
+            blob = b"\n".join(c if p else b"" for p, c in zip(plain, chunks, strict=True))
+        ids, counts = self._encode_ascii(blob.lower())
         whole = [i for i, p in enumerate(plain) if not p]
         if not whole:
             return ids, counts
