@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_claims, catalog_index, catalog_memory, catalog_paths, catalog_records, catalog_streamed  # noqa: F401  register their queries
+from . import catalog_claims, catalog_index, catalog_memory, catalog_paths, catalog_policy, catalog_records, catalog_streamed  # noqa: F401  register their queries
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
