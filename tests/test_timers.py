@@ -50,3 +50,19 @@ def test_a_stream_equals_the_batch(spark, seed):
 def test_what_ends_a_record(spark):
     rows = [("a", "put", 0, 5, 20), ("a", "put", 10, None, 12), ("b", "put", 0, 5, 9), ("b", "take", 5, None, None), ("c", "put", 0, 90, 95), ("d", "take", 0, 1, 2)]
     assert batch(spark, rows, 60) == sorted(map(str, [("a", "fired", minute(0), minute(5)), ("a", "expired", minute(10), minute(12))]))
+
+
+def test_one_pass_settles_a_key(spark):
+    """A key of many rows is one timer; before, each time was a timer that went through all rows."""
+    records = [(at, at + 30, at + 360) for at in range(0, 200_000, 20)]
+    out, left = timers._settled(records, 199_970)
+    assert out == [] and left == [(199_980, 200_010, 200_340)]
+    assert timers._wakes(left) == 200_010 and timers._wakes([(7, -1, -1)]) == 7 and timers._wakes([]) is None
+    assert timers._settled(left, 200_010) == ([("fired", 199_980, 200_010)], [(199_980, -1, 200_340)])
+
+
+def test_a_late_put_is_ended_by_what_came_before_it(spark):
+    source, out, checkpoint = (shared_path(spark, n) for n in ("timer-rows", "timer-out", "timer-progress"))
+    parts = [[("a", "take", 10, None, None)], [("a", "put", 5, 12, 9)], [("tick", "take", 60, None, None)]]
+    got = replay(spark, parts, "10 minutes", checkpoint, source, out)
+    assert got == batch(spark, [x for p in parts for x in p], 50) and len(got) == 1
