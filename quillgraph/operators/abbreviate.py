@@ -1,26 +1,42 @@
 """Repeated substrings of all texts, abbreviated by one legend.
 
-Candidates are runs of one to six tokens.  Their counts are summed by hash and length, so
-that no strings are shuffled; only the strings of a bounded pool of those that save most are
-counted exactly, in a second pass.  The legend has 36 entries at most; where the pool does
-not fill it a larger one is taken, so the bound of the pool changes no result.
+Candidates are runs of one to six tokens.  Nearly all runs of a corpus are rare, so they are
+not shuffled.  What runs save is summed in a table of fixed size by their hash: a run whose
+place in it has less than the wanted savings can't have them.  How much is wanted comes from
+exact counts of runs that are frequent in some of the texts: the pool's last is a bound that
+the best can't be under.  Only runs at places above it are counted, as strings and exactly.
+The legend has 36 entries at most; where the pool does not fill it a larger one is taken, so
+the bound of the pool changes no result.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..llm import textarrays as ta
+from ..session import forget, written
+
 #: The mark of a code, and the second characters of codes in order.
 MARK = "§"
 DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
 #: Characters that are tokens by themselves (fixed values).
 _SINGLE = r"""{}()\[\]<>:;,."'`|="""
 LONGEST = 50
+#: Places of the table of savings (32 MB in a task), and those of one row of it.
+PLACES, _ROW = 1 << 22, 1 << 12
+#: Of so many texts one proposes runs whose counts give the bound; the bound is exact whatever it proposes.
+_PROPOSING = 64
+_BYTES = np.arange(256)
+_KIND = np.where(ta.BLANK, 0, np.where(np.isin(_BYTES, [ord(c) for c in _SINGLE.replace("\\", "")]), 2, 1)).astype(np.int8)
+_BRACKET = np.isin(_BYTES, [ord(c) for c in "{([<"]).astype(np.int8) - np.isin(_BYTES, [ord(c) for c in "})]>"]).astype(np.int8)
 
 
 class Entry(NamedTuple):
@@ -30,22 +46,47 @@ class Entry(NamedTuple):
     savings: int
 
 
-def tokens(text: Column) -> Column:
-    """Blanks, single punctuation marks and what is between; joined they are the text."""
-    return F.regexp_extract_all(text, F.lit(rf"\s+|[{_SINGLE}]|[^\s{_SINGLE}]+"), F.lit(0))
+def _runs(piece: ta.TextSlice, min_length: int) -> tuple[np.ndarray, ...]:
+    """``starts, ends, lengths, keys`` of each place of each run of one to six tokens that can be an entry.
+
+    Tokens are blanks, single punctuation marks and what is between; joined they are the
+    text.  Lengths are in characters.  Equal runs have equal keys, as they have equal tokens.
+    """
+    data = piece.data
+    sums = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
+    kind = _KIND[data]
+    first = kind == 2
+    first[1:] |= kind[1:] != kind[:-1]
+    first[piece.starts[piece.starts < len(data)]] = True
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], len(data))[: len(starts)]
+    doc = np.searchsorted(piece.starts, starts, side="right") - 1
+    token = ta.hash_spans(data, starts, ends)
+    chars, blanks, open_ = sums((data & 0xC0) != 0x80), sums(kind == 0), sums(_BRACKET[data])
+    marks = sums((data == 0xC2) & (np.append(data[1:], 0) == 0xA7)) if len(data) else sums(first)
+    solid = np.flatnonzero(data != 0x20)
+    after = np.append(solid, len(data))[np.searchsorted(solid, starts)] - starts  # spaces that a token begins with
+    before = ends - 1 - np.append(solid, -1)[np.searchsorted(solid, ends) - 1]  # and ends with
+    out, key = [], np.zeros(len(starts), np.uint64)
+    for n in range(1, 7):
+        m = len(starts) - n + 1
+        if m <= 0:
+            break
+        key = ta.mix64(key[:m] * np.uint64(0x9E3779B97F4A7C15) + token[n - 1 :])
+        s, e = starts[:m], ends[n - 1 :]
+        size = chars[e] - chars[s]
+        at = np.flatnonzero((size >= min_length) & (size <= LONGEST) & (doc[:m] == doc[n - 1 :]))
+        s, e, size = s[at], e[at], size[at]
+        fits = ((blanks[e] - blanks[s]) * 2 <= size) & (open_[e] == open_[s]) & (marks[e] == marks[s]) & (size - after[at] - before[at + n - 1] >= 3)
+        out.append((s[fits], e[fits], size[fits], key[at[fits]]))
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.astype(np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _grams(texts: DataFrame, text_col: str, min_length: int) -> DataFrame:
-    """``gram``: each place of each run of one to six tokens that can be an entry."""
-    rows = texts.filter(F.col(text_col).isNotNull()).select(tokens(F.col(text_col)).alias("run1"))
-    for n in range(2, 7):
-        # A run and the token after it; null where there is none or the string gets too long.
-        longer = lambda g, t: F.when(F.length(g) + F.length(t) <= LONGEST, F.concat(g, t))
-        rows = rows.withColumn(f"run{n}", F.zip_with(f"run{n - 1}", F.slice("run1", F.lit(n), F.size("run1")), longer))
-    fits = lambda g: F.length(g).between(min_length, LONGEST)
-    each = rows.select(F.explode(F.concat(*[F.filter(f"run{n}", fits) for n in range(1, 7)])).alias("gram"))
-    count = lambda p: F.regexp_count("gram", F.lit(p))
-    return each.filter((F.length(F.trim("gram")) >= 3) & (count(r"\s") * 2 <= F.length("gram")) & (count(r"[{(\[<]") == count(r"[})\]>]")) & ~F.contains("gram", F.lit(MARK)))
+def _place(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(20)).astype(np.int64) & (PLACES - 1)
 
 
 def _savings(length: Column, n: Column) -> Column:
@@ -53,23 +94,98 @@ def _savings(length: Column, n: Column) -> Column:
     return (length - 2) * n - (length + 6)
 
 
+def _proposed(texts: DataFrame, min_length: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, ascending, and lengths of the runs that save most in some of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in ta.slices(batch.column(0)):
+                _, _, size, key = _runs(piece, min_length)
+                keys, at, n = np.unique(key, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(size[at]), pa.array(n.astype(np.int64))], ["key", "length", "n"])
+
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(_PROPOSING)) == 0).mapInArrow(run, "key long, length long, n long")
+    best = some.groupBy("key", "length").agg(F.sum("n").alias("n")).orderBy(F.desc((F.col("length") - 2) * F.col("n"))).limit(most).toArrow()
+    keys, lengths = (np.asarray(best.column(c)) if best.num_rows else np.zeros(0, np.int64) for c in ("key", "length"))
+    keys, at = np.unique(keys.view(np.uint64), return_index=True)
+    return keys, lengths[at]
+
+
+def _summed(texts: DataFrame, min_length: int, keys: np.ndarray) -> DataFrame:
+    """``at, sums``: the table of savings in rows, and after it the counts of ``keys``."""
+    known = texts.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = known.value
+        total, counts, maybe = np.zeros(PLACES, np.int64), np.zeros(-(-len(keys) // _ROW) * _ROW, np.int64), np.zeros(PLACES, bool)
+        maybe[_place(keys)] = True
+        for batch in batches:
+            for piece in ta.slices(batch.column(0)):
+                _, _, size, key = _runs(piece, min_length)
+                place = _place(key)
+                total += np.bincount(place, weights=np.maximum(size - 2, 0), minlength=PLACES).astype(np.int64)
+                key = key[maybe[place]]
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                if len(keys):
+                    counts += np.bincount(at[keys[at] == key], minlength=len(counts))
+        rows = np.concatenate([total, counts]).reshape(-1, _ROW)
+        for i in np.flatnonzero(rows.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([rows[i].tobytes()], pa.binary())], ["at", "sums"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(_ROW, np.int64)
+        for raw in group.column("sums").to_pylist():
+            total += np.frombuffer(raw, np.int64)
+        return pa.table({"at": group.column("at").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    return texts.mapInArrow(run, "at int, sums binary").groupBy("at").applyInArrow(add, "at int, sums binary")
+
+
 def candidates(texts: DataFrame, text_col: str, min_length: int = 8, min_occurrences: int = 3, pool: int = 5000) -> tuple[DataFrame, bool]:
     """``substring, count, savings`` of the runs that save most, and whether these are all there are.
 
-    If not, they are fewer than ``pool`` or as many, and all others save less.  Counts are of
+    If not, there are about ``pool`` of them, and all others save less.  Counts are of
     places that start at a token, of all texts; those that overlap themselves count each.
     """
-    grams = _grams(texts, text_col, min_length)
-    keys = (F.xxhash64("gram").alias("key"), F.length("gram").alias("length"))
-    useful = (F.col("count") >= min_occurrences) & (F.col("savings") > 5)
-    sums = grams.select(*keys).groupBy("key", "length").agg(F.count(F.lit(1)).alias("count")).withColumn("savings", _savings(F.col("length"), F.col("count"))).filter(useful)
-    best = sums.orderBy(F.desc("savings")).limit(pool + 1).select("key", "length", "savings").collect()
-    whole = len(best) <= pool
-    if not whole:
-        best = [b for b in best if b["savings"] > best[-1]["savings"]]
-    chosen = texts.sparkSession.createDataFrame([(b["key"], b["length"]) for b in best], "key long, length int")
-    counted = grams.select("gram", *keys).join(F.broadcast(chosen), ["key", "length"], "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("count"))
-    return counted.select(F.col("gram").alias("substring"), "count", _savings(F.length("gram"), F.col("count")).alias("savings")).filter(useful), whole
+    sc = texts.sparkSession.sparkContext
+    texts = texts.select(F.col(text_col).alias("text"))
+    keys, lengths = _proposed(texts, min_length, 4 * pool)
+    table = written(_summed(texts, min_length, keys), "run-savings")
+    least, first = 6, PLACES // _ROW
+    if len(keys) >= pool:
+        counts = np.zeros(-(-len(keys) // _ROW) * _ROW, np.int64)
+        for r in table.filter(F.col("at") >= first).collect():
+            counts[(r["at"] - first) * _ROW :][:_ROW] = np.frombuffer(r["sums"], np.int64)
+        counts = counts[: len(keys)]
+        saved = np.where(counts >= min_occurrences, (lengths - 2) * counts - (lengths + 6), 0)
+        least = max(least, int(np.sort(saved)[-pool]))
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(np.frombuffer(raw, np.int64) > least).tobytes() for raw in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["at", "bits"])
+
+    flags = np.zeros(PLACES, bool)
+    for r in table.filter(F.col("at") < first).mapInArrow(above, "at int, bits binary").collect():
+        flags[r["at"] * _ROW : (r["at"] + 1) * _ROW] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    forget(table)
+    wanted = sc.broadcast(flags)
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in ta.slices(batch.column(0)):
+                start, end, _, key = _runs(piece, min_length)
+                some = np.flatnonzero(wanted.value[_place(key)])
+                one, which = ta.distinct_spans(piece.data, start[some], end[some])
+                n = np.bincount(which, minlength=len(one)).astype(np.int64)
+                for low in range(0, len(one), 50_000):
+                    each = some[one[low : low + 50_000]]
+                    grams = [piece.data[i:j].tobytes().decode() for i, j in zip(start[each].tolist(), end[each].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(n[low : low + 50_000])], ["gram", "n"])
+
+    counted = texts.mapInArrow(strings, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("count"))
+    found = counted.select(F.col("gram").alias("substring"), "count", _savings(F.length("gram"), F.col("count")).alias("savings"))
+    return found.filter((F.col("count") >= min_occurrences) & (F.col("savings") >= least)), least == 6
 
 
 def _overlaps(a: str, b: str) -> bool:
