@@ -181,3 +181,11 @@ def test_rare_runs_are_not_shuffled(spark, monkeypatch):
     # The rows that the strings' tasks hand on are those of a few frequent runs, not the texts' 60,000 places.
     handed = found._jdf.queryExecution().optimizedPlan().toString()
     assert "xxhash64" not in handed and "zip_with" not in handed
+
+
+def test_pairs_that_share_a_few_rare_words_are_no_candidates(spark):
+    """Every two sets share two of their rarest words, among the first of both; only the two alike are candidates."""
+    rows = [(i, f"agent{i}", [f"c{i}", "rare1", "rare2", *(f"w{i}-{j}" for j in range(27))]) for i in range(12)]
+    rows.append((99, "other", rows[3][2][:28] + ["x", "y"]))
+    sets = spark.createDataFrame(rows, "id long, agent string, words array<string>")
+    assert [tuple(r) for r in contradictions.similar_pairs(sets, 0.5).collect()] == [(3, 99)]
