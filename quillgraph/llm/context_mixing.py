@@ -9,9 +9,8 @@ token, and the two previous ones; each bit of a spelling has those of the last o
 slot counts zeros and ones.  Weights, gated by how much the longer contexts have seen,
 combine the predictions in the logistic domain; an adaptive map refines the mix.
 
-Learning is online: block by block, in the order of the texts, the counters are raised;
-every few blocks the bits are predicted first, the weights take a gradient step and the
-map notes what came.
+Learning is online: block by block, in the order of the texts, the bits are predicted first,
+the weights take a gradient step and the map notes what came; then the counters are raised.
 Every task learns from its share; counters are summed, weights averaged.  Then the model
 is frozen, so a text's score doesn't depend on where and when it is read.
 """
@@ -40,8 +39,6 @@ TASK_TOKENS = 8_000_000
 TASK_WORDS = 1_000_000
 #: Tokens, and bytes of spellings, of a block that the model learns from at once.
 _BLOCK, _SPELT_BLOCK = 512, 1024
-#: Of so many blocks one is predicted, which teaches the weights (125 numbers); every block raises the counters.
-_MIX_EVERY = 8
 #: Bits that are scored at once with the frozen model.
 _AT_ONCE = 1 << 17
 #: Distinct tokens that a counting task gathers before it emits their counts.
@@ -89,7 +86,7 @@ class Mixer:
         self.weights = np.full((_GATES, self.inputs), 0.35, np.float32)
         self.seen = _fresh_map()
         self.odds: np.ndarray | None = None
-        self.steps = self.adapted = 0
+        self.adapted = 0
 
     def slots(self, k: int, hashes: np.ndarray) -> np.ndarray:
         """Places of hashed contexts in table ``k``."""
@@ -137,13 +134,11 @@ class Mixer:
         self.odds = np.log10(np.stack([1 - p, p], axis=-1)).astype(np.float32).ravel()
 
     def learn(self, slots: np.ndarray, bit: np.ndarray) -> None:
-        """Learns from a block of bits: all raise the counters, and every ``_MIX_EVERY``-th block is predicted first.
+        """Learns from a block of bits, each of which is predicted before it raises the counters.
 
-        The weights then take a step, scaled by the loss's curvature, and the map notes what came.
+        The weights take a step, scaled by the loss's curvature, and the map notes what came.
         """
-        self.steps += 1
-        if self.steps % _MIX_EVERY == 1:
-            self._adapt(slots, bit)
+        self._adapt(slots, bit)
         at = (2 * slots + bit).ravel()
         np.add.at(self.counts, at, np.ones(len(at), np.float32))
 

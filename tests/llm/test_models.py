@@ -181,3 +181,16 @@ def test_samples_stay_bounded_with_null_and_repeated_ids(spark):
     many = spark.createDataFrame([(1, "good text here", 5)] * 200, "doc_id long, text string, quality int")
     assert quality.fit(many, labels, sample=10) is not None
     assert quality.predict(many.limit(0), None).collect() == []
+
+
+def test_every_block_teaches_the_weights():
+    from quillgraph.llm.context_mixing import Mixer
+
+    rng = np.random.default_rng(1)
+    model = Mixer([16] * 3)
+    model.begin()
+    slots, bit = np.stack([model.slots(k, rng.integers(0, 50, 400).astype(np.uint64)) for k in range(3)]), rng.integers(0, 2, 400)
+    for n in range(1, 6):
+        before = model.weights.copy()
+        model.learn(slots, bit)
+        assert model.adapted == n and (n == 1 or (model.weights != before).any())
