@@ -137,3 +137,12 @@ def test_corrections_leave_ties(spark):
     vocab = spark.createDataFrame([("large",), ("small",), ("smart",)], "word string")
     tokens = spark.createDataFrame([("lrage",), ("smalt",), ("abc",)], "token string")
     assert as_dict(search.corrections(vocab, "word", tokens)) == {"lrage": "large", "smalt": "smalt", "abc": "abc"}
+
+
+def test_inverse_pairs_are_shuffled_once(spark):
+    from quillgraph.operators import records
+
+    rows = [(1, 2), (2, 1), (2, 1), (3, 3), (4, 5), (4, 5), (None, 1), (1, None), (9, 7), (7, 9)]
+    found = records.inverse_pairs(spark.createDataFrame(rows, "src long, dst long"))
+    assert sorted(map(tuple, found.collect())) == [(1, 2), (7, 9)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
