@@ -32,8 +32,12 @@ _SINGLE = r"""{}()\[\]<>:;,."'`|="""
 LONGEST = 50
 #: Places of the table of savings (32 MB in a task), and those of one row of it.
 PLACES, _ROW = 1 << 22, 1 << 12
-#: Of so many texts one proposes runs whose counts give the bound; the bound is exact whatever it proposes.
-_PROPOSING = 64
+#: Of so many texts one proposes runs whose counts give the bound, or about so many in all; the bound is exact whatever it proposes.
+_PROPOSING, _PROPOSERS = 64, 2048
+#: Tasks that have a table of savings each: so many, or twice the cores, whatever the input and its files.
+_TABLES = 32
+#: Sums that a task hands on as one byte: zero, then steps of an eighth or less, rounded up.
+_LEVELS = np.unique(np.concatenate([[0], np.ceil(1.12 ** np.arange(400))]))[:255].astype(np.int64)
 _BYTES = np.arange(256)
 _KIND = np.where(ta.BLANK, 0, np.where(np.isin(_BYTES, [ord(c) for c in _SINGLE.replace("\\", "")]), 2, 1)).astype(np.int8)
 _BRACKET = np.isin(_BYTES, [ord(c) for c in "{([<"]).astype(np.int8) - np.isin(_BYTES, [ord(c) for c in "})]>"]).astype(np.int8)
@@ -104,15 +108,19 @@ def _proposed(texts: DataFrame, min_length: int, most: int) -> tuple[np.ndarray,
                 keys, at, n = np.unique(key, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(size[at]), pa.array(n.astype(np.int64))], ["key", "length", "n"])
 
-    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(_PROPOSING)) == 0).mapInArrow(run, "key long, length long, n long")
+    one_of = max(_PROPOSING, texts.count() // _PROPOSERS)
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(one_of)) == 0).mapInArrow(run, "key long, length long, n long")
     best = some.groupBy("key", "length").agg(F.sum("n").alias("n")).orderBy(F.desc((F.col("length") - 2) * F.col("n"))).limit(most).toArrow()
     keys, lengths = (np.asarray(best.column(c)) if best.num_rows else np.zeros(0, np.int64) for c in ("key", "length"))
     keys, at = np.unique(keys.view(np.uint64), return_index=True)
     return keys, lengths[at]
 
 
-def _summed(texts: DataFrame, min_length: int, keys: np.ndarray) -> DataFrame:
-    """``at, sums``: the table of savings in rows, and after it the counts of ``keys``."""
+def _tables(texts: DataFrame, min_length: int, keys: np.ndarray) -> DataFrame:
+    """``at, sums`` of each task: its table of savings in rows, a byte a place and none too small, and after it its counts of ``keys``.
+
+    There are only some tasks, however many files the texts have: what they hand on has a fixed size.
+    """
     known = texts.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,17 +136,27 @@ def _summed(texts: DataFrame, min_length: int, keys: np.ndarray) -> DataFrame:
                 at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 if len(keys):
                     counts += np.bincount(at[keys[at] == key], minlength=len(counts))
-        rows = np.concatenate([total, counts]).reshape(-1, _ROW)
-        for i in np.flatnonzero(rows.any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([rows[i].tobytes()], pa.binary())], ["at", "sums"])
+        first = PLACES // _ROW
+        for i, row in enumerate([*total.reshape(-1, _ROW), *counts.reshape(-1, _ROW)]):
+            if row.any():
+                level = np.searchsorted(_LEVELS, row)
+                # Sums beyond the last level go as they are, like the counts.
+                raw = row.tobytes() if i >= first or level.max() == len(_LEVELS) else level.astype(np.uint8).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([raw], pa.binary())], ["at", "sums"])
+
+    return texts.coalesce(max(_TABLES, 2 * texts.sparkSession.sparkContext.defaultParallelism)).mapInArrow(run, "at int, sums binary")
+
+
+def _summed(texts: DataFrame, min_length: int, keys: np.ndarray) -> DataFrame:
+    """``at, sums``: the table of savings in rows, none too small, and after it the counts of ``keys``."""
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(_ROW, np.int64)
         for raw in group.column("sums").to_pylist():
-            total += np.frombuffer(raw, np.int64)
+            total += _LEVELS[np.frombuffer(raw, np.uint8)] if len(raw) == _ROW else np.frombuffer(raw, np.int64)
         return pa.table({"at": group.column("at").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    return texts.mapInArrow(run, "at int, sums binary").groupBy("at").applyInArrow(add, "at int, sums binary")
+    return _tables(texts, min_length, keys).groupBy("at").applyInArrow(add, "at int, sums binary")
 
 
 def candidates(texts: DataFrame, text_col: str, min_length: int = 8, min_occurrences: int = 3, pool: int = 5000) -> tuple[DataFrame, bool]:

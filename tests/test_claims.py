@@ -6,10 +6,13 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions import facts
+from quillgraph.llm import textarrays as ta
 from quillgraph.operators import abbreviate, contradictions
 from quillgraph.registry import QUERIES
 
@@ -183,6 +186,25 @@ def test_rare_runs_are_not_shuffled(spark, monkeypatch):
     assert "xxhash64" not in handed and "zip_with" not in handed
 
 
+def test_tables_of_savings_do_not_grow_with_the_files(spark):
+    """Texts in 150 pieces hand on as many tables as there are tasks for, a byte a place; before, each piece had one of its own."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 10**9, 40))) + " the same phrase" for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(150)
+    keys = np.zeros(0, np.uint64)
+    handed = abbreviate._tables(rows, 8, keys)
+    assert handed.rdd.getNumPartitions() <= max(32, 2 * spark.sparkContext.defaultParallelism)
+    assert handed.agg(F.max(F.length("sums"))).first()[0] == abbreviate._ROW
+    exact = np.zeros(abbreviate.PLACES, np.int64)
+    for piece in ta.slices(pa.array(texts)):
+        _, _, size, key = abbreviate._runs(piece, 8)
+        np.add.at(exact, abbreviate._place(key), size - 2)
+    got = np.zeros(abbreviate.PLACES, np.int64)
+    for r in abbreviate._summed(rows, 8, keys).collect():
+        got[r["at"] * abbreviate._ROW :][: abbreviate._ROW] = np.frombuffer(r["sums"], np.int64)
+    assert (got >= exact).all() and (got <= exact * 1.13 + 40).all() and not got[exact == 0].any()
+
+
 def test_pairs_that_share_a_few_rare_words_are_no_candidates(spark):
     """Every two sets share two of their rarest words, among the first of both; only the two alike are candidates."""
     rows = [(i, f"agent{i}", [f"c{i}", "rare1", "rare2", *(f"w{i}-{j}" for j in range(27))]) for i in range(12)]
