@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import forget, written
+from ..session import dealt, forget, written
 
 
 def adjacency(relations: DataFrame, direction: str = "both") -> DataFrame:
@@ -154,15 +154,40 @@ def connected_components(nodes: DataFrame, relations: DataFrame) -> DataFrame:
         now = new.select("node", F.col("new").alias("component"))
 
 
+def later_neighbours(relations: DataFrame) -> DataFrame:
+    """``node, later``: distinct neighbours, undirected, that come after a node in the order by degree and name, in this order.
+
+    A list is no longer than the square root of twice the number of relations; the last of
+    all have none and no row.
+    """
+    e = relations.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    degree = e.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    a, b = (degree.select(F.col("node").alias(x), F.struct(F.col("d"), F.col("node").alias("name")).alias(f"at_{x}")) for x in "ab")
+    met = e.join(a, "a").join(b, "b").select(F.least("at_a", "at_b").alias("low"), F.greatest("at_a", "at_b").alias("high"))
+    lists = met.groupBy(F.col("low.name").alias("node")).agg(F.array_sort(F.collect_list("high")).alias("later"))
+    return lists.select("node", F.transform("later", lambda x: x["name"]).alias("later"))
+
+
+def common_later(lists: DataFrame) -> DataFrame:
+    """``node, other, common`` of each later neighbour ``other`` of a node: the later neighbours of both, if there are any.
+
+    So every triangle is at its lowest node and its middle one.  Lists meet, not pairs of
+    their nodes, so a row for each relation is shuffled and not one for each two relations.
+    """
+    each = lists.select("node", F.posexplode("later").alias("i", "other"), F.size("later").alias("n"), "later").filter("i + 1 < n")
+    rest = each.select("node", "other", F.slice("later", F.col("i") + 2, F.col("n")).alias("rest"))
+    theirs = lists.select(F.col("node").alias("other"), F.col("later").alias("theirs"))
+    n = F.size("later").cast("bigint")
+    size = lists.agg(F.coalesce(F.sum(64 * n + 4 * n * n), F.lit(0))).first()[0]
+    return dealt(rest, size, "other").join(theirs, "other").select("node", "other", F.array_intersect("rest", "theirs").alias("common")).filter(F.size("common") > 0)
+
+
 def triangles(relations: DataFrame) -> DataFrame:
-    """``a, b, c`` with a < b < c, undirected; pairs are directed from the node of less degree."""
-    e = adjacency(relations, "both").distinct()
-    degree = e.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-    e = e.join(degree, "node").join(degree.select(F.col("node").alias("other"), F.col("d").alias("d2")), "other").filter("(d, node) < (d2, other)")
-    x, y, z = (e.select(F.col("node").alias(a), F.col("other").alias(b)) for a, b in (("u", "v"), ("u", "w"), ("v", "w")))
-    found = x.join(y, "u").filter("v <> w").join(z, ["v", "w"])
-    s = F.array_sort(F.array("u", "v", "w"))
-    return found.select(s[0].alias("a"), s[1].alias("b"), s[2].alias("c")).distinct()
+    """``a, b, c`` with a < b < c, undirected, each found once: at its node of least degree."""
+    found = common_later(written(later_neighbours(relations), "later-neighbours"))
+    each = found.select("node", "other", F.explode("common").alias("third"))
+    s = F.array_sort(F.array("node", "other", "third"))
+    return each.select(s[0].alias("a"), s[1].alias("b"), s[2].alias("c"))
 
 
 def modularity(relations: DataFrame, communities: DataFrame) -> DataFrame:
