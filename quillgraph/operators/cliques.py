@@ -1,4 +1,4 @@
-"""Core numbers and maximal cliques, each clique found at its lowest node in core order."""
+"""Core numbers and maximal cliques, each clique found at its lowest node in the order by degree."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import forget, written
-from .graph import adjacency
+from .graph import adjacency, common_later, later_neighbours
 
 
 def core_numbers(relations: DataFrame) -> DataFrame:
@@ -52,40 +52,33 @@ def _grow(around: dict, chosen: list, open_: set, done: set) -> Iterator[list]:
 def maximal_cliques(relations: DataFrame, min_size: int = 3) -> DataFrame:
     """``clique`` (sorted nodes), ``size`` of all maximal cliques of ``min_size`` nodes (2 at least) or more, undirected.
 
-    Nodes are ordered by core number, degree and name.  Every triangle goes to its lowest
-    node, as an edge among that one's later neighbours, and to its middle node, as an earlier
-    neighbour that may make a clique of later ones too small; earlier neighbours with the
-    same later ones count once.  Each node then finds the maximal cliques among its later
-    neighbours, of which there are about as many as its core number, and leaves out those that
+    Nodes are ordered by degree and name.  Every triangle goes to its lowest node, as an
+    edge among that one's later neighbours, and to its middle node, as an earlier neighbour
+    that may make a clique of later ones too small; earlier neighbours with the same later
+    ones count once.  Each node then finds the maximal cliques among its later neighbours, of
+    which there are at most the square root of twice the relations, and leaves out those that
     an earlier node extends.  So no graph, and no list of a node's neighbours, is in one task
     but what is later in the order.  No number of cliques is too large.
     """
     if min_size < 2:
         raise ValueError("cliques have two nodes or more here; single ones are the nodes without relations")
-    cores = core_numbers(relations)
-    edges = adjacency(relations, "both").distinct()
-    degree = edges.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-    place = cores.join(degree, "node").select("node", F.struct("core", "d", F.col("node").alias("name")).alias("at"))
-    up = edges.join(place, "node").join(place.select(F.col("node").alias("other"), F.col("at").alias("to")), "other").filter("at < to")
-    up = written(up.select(F.col("node").alias("low"), F.col("other").alias("high"), "to"), "clique-edges")
-    one, two = up.select("low", F.col("high").alias("m"), F.col("to").alias("m_at")), up.select("low", F.col("high").alias("h"), F.col("to").alias("h_at"))
-    closing = up.select(F.col("low").alias("m"), F.col("high").alias("h"))
-    triangles = written(one.join(two, "low").filter("m_at < h_at").join(closing, ["m", "h"]).select("low", "m", "h"), "clique-triangles")
-    later = up.groupBy(F.col("low").alias("node")).agg(F.collect_list("high").alias("later"))
-    among = triangles.groupBy(F.col("low").alias("node")).agg(F.collect_list(F.array("m", "h")).alias("among"))
-    sets = triangles.groupBy(F.col("m").alias("node"), "low").agg(F.array_sort(F.collect_list("h")).alias("set")).select("node", "set").distinct()
+    later = written(later_neighbours(relations), "later-neighbours")
+    triangles = written(common_later(later), "clique-triangles")
+    among = triangles.groupBy("node").agg(F.collect_list(F.struct("other", "common")).alias("among"))
+    sets = triangles.select(F.col("other").alias("node"), F.array_sort("common").alias("set")).distinct()
     earlier = sets.groupBy("node").agg(F.collect_list("set").alias("earlier"))
     # Pairs with an earlier node in common are in a triangle, so they are in these sets too.
     rows = later.join(among, "node", "left").join(earlier, "node", "left")
-    kind = up.schema["low"].dataType.simpleString()
+    kind = later.schema["node"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for node, after, pairs, before in zip(frame["node"], frame["later"], frame["among"], frame["earlier"], strict=True):
                 around = {v: set() for v in after}
-                for a, b in pairs if pairs is not None else ():
-                    around[a].add(b)
-                    around[b].add(a)
+                for pair in pairs if pairs is not None else ():
+                    around[pair["other"]].update(pair["common"])
+                    for b in pair["common"]:
+                        around[b].add(pair["other"])
                 taken = [set(s) for s in before] if before is not None else []
                 found = []
                 for clique in _grow(around, [], set(around), set()):

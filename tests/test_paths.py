@@ -206,3 +206,22 @@ def test_evidence_equals_a_search_with_a_queue(spark, seed, depth, most):
         assert len(x.types) == len(x.nodes) - 1
     assert {n: got[n] for n in results} == {n: p for n, (p, _) in want.items()}
     assert {x.result: (x.n_paths, x.truncated) for x in flags.collect()} == {n: (len(p), cut) for n, (p, cut) in want.items()}
+
+
+def test_lists_meet_instead_of_pairs_of_neighbours(spark):
+    """Where 60 nodes are all linked, 1,770 relations make rows, not 34,220 pairs of relations, which were shuffled before."""
+    from quillgraph.operators import graph as g
+
+    rows = spark.createDataFrame([(a, b) for a in range(60) for b in range(60) if a != b] + [(7, 99), (99, 7)], "src long, dst long")
+    lists = g.later_neighbours(rows)
+    found = g.common_later(lists).collect()
+    assert len(found) == 60 * 59 // 2 - 59 and sum(len(r.common) for r in found) == 60 * 59 * 58 // 6
+    assert {r.node: len(r.later) for r in lists.collect()}[99] == 1
+    assert g.triangles(rows).distinct().count() == g.triangles(rows).count() == 60 * 59 * 58 // 6
+
+
+def test_cliques_need_no_rounds(spark, monkeypatch):
+    """A path of triangles takes no rounds over all relations; before, core numbers were found in rounds and written each time."""
+    monkeypatch.setattr(cliques, "core_numbers", lambda relations: pytest.fail("rounds over all relations"))
+    rows = spark.createDataFrame([(i, i + k) for i in range(40) for k in (1, 2)], "src long, dst long")
+    assert {tuple(r.clique) for r in cliques.maximal_cliques(rows, 3).collect()} == {(i, i + 1, i + 2) for i in range(39)}
