@@ -18,17 +18,52 @@ def first_links(relations: DataFrame, kind: str) -> DataFrame:
     return some.groupBy(F.col("src").alias("node")).agg(F.min_by("dst", F.struct("ord", "dst")).alias("next"))
 
 
+#: Records of a chain in one array; longer chains go on as rows.
+_ARRAY = 64
+
+
+def _walks(ends: DataFrame, reach: int) -> tuple[DataFrame, bool]:
+    """``node, walk``: the next ``reach`` records (a power of two) of each node, fewer where the chain ends; and whether any has so many.
+
+    In a cycle a walk goes on round it.  Each doubling puts the walk of the last record
+    behind that of a node; rows are one for each node, whatever their number of records.
+    """
+    walks, size = written(ends.select("node", F.array("next").alias("walk")), "walks"), 1
+    while size < reach:
+        full = walks.filter(F.size("walk") == size).withColumn("far", F.element_at("walk", -1))
+        if full.isEmpty():
+            return walks, False
+        other = walks.select(F.col("node").alias("far"), F.col("walk").alias("more"))
+        longer = full.join(other, "far", "left").select("node", F.when(F.col("more").isNull(), F.col("walk")).otherwise(F.concat("walk", "more")).alias("walk"))
+        after = written(walks.filter(F.size("walk") < size).unionByName(longer), "walks")
+        forget(walks)
+        walks, size = after, 2 * size
+    return walks, not walks.filter(F.size("walk") == size).isEmpty()
+
+
 def chains(links: DataFrame, max_length: int | None = None) -> DataFrame:
     """``start, place, node``: the records behind each ``node``, nearest first (place 1), along ``next``.
 
     A chain ends where there is no next record, before it would come to one that it has
     met (its start too), and after ``max_length``.  ``node`` must be distinct; links of
-    null nodes or to null ones are none.  A row for each record of each chain is the result.
+    null nodes or to null ones are none.  A row for each record of each chain is the result;
+    up to 64 of them are one array until then, so that rounds shuffle no row for each.
     """
     ends = links.filter("node is not null and next is not null").select("node", "next")
-    jump = written(ends.select("node", F.col("next").alias("far")), "chain-jumps")
-    met = written(ends.filter("node <> next").select(F.col("node").alias("start"), F.lit(1).cast("bigint").alias("place"), F.col("next").alias("node")), "chains")
-    reach = 1
+    reach = _ARRAY
+    while max_length is not None and reach >= 2 * max_length and reach > 1:
+        reach //= 2
+    walks, full = _walks(ends, reach)
+    # What comes after the first repeat in a walk has been met, too.
+    own = F.array_distinct(F.concat(F.array("node"), "walk"))
+    if max_length is not None:
+        own = F.slice(own, 1, max_length + 1)
+    rows = walks.select(F.col("node").alias("start"), F.posexplode(own).alias("place", "node")).filter("place > 0").withColumn("place", F.col("place").cast("bigint"))
+    if not full or (max_length is not None and reach >= max_length):
+        return rows
+    met = written(rows, "chains")
+    jump = written(walks.filter(F.size("walk") == reach).select("node", F.element_at("walk", -1).alias("far")), "chain-jumps")
+    forget(walks)
     while max_length is None or reach < max_length:
         further = met.join(jump, "node").filter(F.col("far") != F.col("start")).select("start", (F.col("place") + reach).alias("place"), F.col("far").alias("node"))
         if max_length is not None:

@@ -225,3 +225,21 @@ def test_cliques_need_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(cliques, "core_numbers", lambda relations: pytest.fail("rounds over all relations"))
     rows = spark.createDataFrame([(i, i + k) for i in range(40) for k in (1, 2)], "src long, dst long")
     assert {tuple(r.clique) for r in cliques.maximal_cliques(rows, 3).collect()} == {(i, i + 1, i + 2) for i in range(39)}
+
+
+@pytest.mark.parametrize("array,most", [(1, None), (2, None), (4, 7), (64, None), (64, 70), (64, 1)])
+def test_chains_of_arrays_and_rows(spark, monkeypatch, array, most):
+    """Chains longer than an array, ones into cycles, and cycles longer and shorter than an array."""
+    monkeypatch.setattr(chains, "_ARRAY", array)
+    links = {i: i + 1 for i in range(75)} | {100: 101, 101: 102, 102: 100, 103: 101, 104: 104, 105: 104} | {200 + i: 200 + (i + 1) % 9 for i in range(9)}
+    rows = spark.createDataFrame(list(links.items()), "node long, next long")
+    assert {tuple(x) for x in chains.chains(rows, most).collect()} == brute_chains(links, most)
+
+
+def test_rounds_of_chains_write_no_row_for_each_record(spark, monkeypatch):
+    """Before, all records of all chains were grouped and written anew in each round."""
+    kept = []
+    monkeypatch.setattr(chains, "written", lambda df, name, f=chains.written: (kept.append(f(df, name)), kept[-1])[1])
+    rows = spark.createDataFrame([(i, i + 1) for i in range(40)], "node long, next long")
+    assert chains.chains(rows).count() == 40 * 41 // 2
+    assert {"place" in t.columns for t in kept} == {False}
