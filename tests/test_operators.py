@@ -146,3 +146,15 @@ def test_inverse_pairs_are_shuffled_once(spark):
     found = records.inverse_pairs(spark.createDataFrame(rows, "src long, dst long"))
     assert sorted(map(tuple, found.collect())) == [(1, 2), (7, 9)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_relations_are_dealt_by_their_number(spark, sf_dir, monkeypatch):
+    """Sorts of orders and of timelines have more tasks for more rows; before, always the session's 4, each growing with the table."""
+    from quillgraph import session
+    from quillgraph.operators import temporal
+    from quillgraph.sources.views import contains_relations
+
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    monkeypatch.setattr(session, "TASK_BYTES", 20 * n)
+    placed = temporal.timeline(contains_relations(spark, sf_dir), ["src"])
+    assert placed.rdd.getNumPartitions() == 10 and placed.count() == n
