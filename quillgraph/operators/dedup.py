@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Rows of a block in one piece, and pairs of one task, about.
+_PIECE, _PAIRS = 500, 10_000_000
+
 
 def entity_similarity_pairs(entities: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Pairs of one type and neighbouring two-letter blocks: ``a, b, score``.
@@ -15,16 +18,31 @@ def entity_similarity_pairs(entities: DataFrame, threshold: float = 0.8) -> Data
     the weights used.
     """
     low = entities.select(
-        F.col("ord"), F.lower("name").alias("name"), F.lower("entity_type").alias("t"), F.array_distinct(F.transform("observations", F.lower)).alias("obs"), F.array_distinct(F.transform("tags", F.lower)).alias("tags")
+        F.col("ord"), F.lower("name").alias("name"), F.lower("entity_type").alias("t"), F.array_sort(F.array_distinct(F.transform("observations", F.lower))).alias("obs"), F.array_sort(F.array_distinct(F.transform("tags", F.lower))).alias("tags")
     ).withColumn("block", F.substring("name", 1, 2))
     blocks = low.select("t", "block").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("t").orderBy("block")))
     keyed = low.join(blocks, ["t", "block"])
-    left = keyed.select("t", "rank", *[F.col(c).alias(f"l_{c}") for c in ("ord", "name", "obs", "tags")])
+    # A block's rows are dealt over pieces, which meet all rows of the right: no block is one task.
+    rows = keyed.groupBy("t", "rank").agg(F.count(F.lit(1)).alias("n"))
+    tasks = rows.agg(F.coalesce(F.ceil(F.sum(F.col("n") * F.col("n")) / _PAIRS), F.lit(0))).first()[0]
+    pieces = rows.select("t", "rank", F.ceil(F.col("n") / _PIECE).cast("int").alias("pieces"))
+    left = keyed.join(pieces, ["t", "rank"]).select("t", "rank", F.pmod(F.xxhash64("ord"), F.col("pieces")).cast("int").alias("piece"), *[F.col(c).alias(f"l_{c}") for c in ("ord", "name", "obs", "tags")])
     right = keyed.select("t", F.explode(F.array(F.col("rank"), F.col("rank") - 1)).alias("rank"), F.col("rank").alias("own"), *[F.col(c).alias(f"r_{c}") for c in ("ord", "name", "obs", "tags")])
-    met = left.join(right, ["t", "rank"]).filter((F.col("own") != F.col("rank")) | (F.col("l_ord") < F.col("r_ord")))
+    right = right.join(pieces, ["t", "rank"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    left = left.repartition(max(int(low.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks), "t", "rank", "piece")
+    met = left.join(right.hint("merge"), ["t", "rank", "piece"]).filter((F.col("own") != F.col("rank")) | (F.col("l_ord") < F.col("r_ord")))
     tagged = (F.size("l_tags") > 0) | (F.size("r_tags") > 0)
-    total = 0.4 * T.similarity(F.col("l_name"), F.col("r_name")) + 0.2 + 0.3 * T.jaccard(F.col("l_obs"), F.col("r_obs")) + F.when(tagged, 0.1 * T.jaccard(F.col("l_tags"), F.col("r_tags"))).otherwise(0.0)
-    score = F.round(total / F.when(tagged, 1.0).otherwise(0.9), 6)
+    whole = F.when(tagged, 1.0).otherwise(0.9)
+    alike = lambda c: F.when((F.col(f"l_{c}") == F.col(f"r_{c}")) & (F.size(f"l_{c}") > 0), 1.0)
+    # Sets that differ have one element or more apart.  What they leave to the names bounds the distance, which is searched no further.
+    bound = lambda c: alike(c).otherwise(1 - 1 / F.greatest(F.size(f"l_{c}") + F.size(f"r_{c}"), F.lit(1)))
+    need = ((threshold - 1e-6) * whole - 0.2 - 0.3 * bound("obs") - F.when(tagged, 0.1 * bound("tags")).otherwise(0.0)) / 0.4
+    most = F.floor((1 - need) * F.greatest(F.length("l_name"), F.length("r_name")) + 1e-6).cast("int")
+    near = (most >= 0) & (F.call_function("levenshtein", "l_name", "r_name", F.greatest(most, F.lit(0))) >= 0)
+    met = met.filter(F.coalesce(near, F.lit(True)))
+    jaccard = lambda c: alike(c).otherwise(T.jaccard(F.col(f"l_{c}"), F.col(f"r_{c}")))
+    total = 0.4 * T.similarity(F.col("l_name"), F.col("r_name")) + 0.2 + 0.3 * jaccard("obs") + F.when(tagged, 0.1 * jaccard("tags")).otherwise(0.0)
+    score = F.round(total / whole, 6)
     return met.select(F.least("l_ord", "r_ord").alias("a"), F.greatest("l_ord", "r_ord").alias("b"), score.alias("score")).filter(F.col("score") >= threshold)
 
 

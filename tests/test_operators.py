@@ -158,3 +158,24 @@ def test_relations_are_dealt_by_their_number(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(session, "TASK_BYTES", 20 * n)
     placed = temporal.timeline(contains_relations(spark, sf_dir), ["src"])
     assert placed.rdd.getNumPartitions() == 10 and placed.count() == n
+
+
+def test_blocks_of_names_are_dealt_over_tasks(spark, monkeypatch):
+    """300 names of one block meet in several tasks with all pairs of the plain formula; before, a block was one task."""
+    from quillgraph.functions import text as T
+
+    monkeypatch.setattr(dedup, "_PIECE", 40)
+    monkeypatch.setattr(dedup, "_PAIRS", 9_000)
+    rows = [(i, f"Name {i % 97}{'x' * (i % 5)}", "k" if i % 50 else None, [["a"], ["a", "B"], ["b", "a"], [], ["z"]][i % 5], [["t"], [], ["T", "u"], None][i % 4]) for i in range(300)]
+    e = spark.createDataFrame(rows, "ord long, name string, entity_type string, observations array<string>, tags array<string>")
+    for threshold in (0.5, 0.8, 0.95):
+        found = dedup.entity_similarity_pairs(e, threshold)
+        low = e.select("ord", F.lower("name").alias("n"), "entity_type", F.transform("observations", F.lower).alias("o"), F.transform("tags", F.lower).alias("g"))
+        x, y = (low.select(*[F.col(c).alias(c + s) for c in low.columns]) for s in "12")
+        tagged = (F.size("g1") > 0) | (F.size("g2") > 0)
+        total = 0.4 * T.similarity(F.col("n1"), F.col("n2")) + 0.2 + 0.3 * T.jaccard(F.col("o1"), F.col("o2")) + F.when(tagged, 0.1 * T.jaccard(F.col("g1"), F.col("g2"))).otherwise(0.0)
+        plain = x.join(y, (F.col("entity_type1") == F.col("entity_type2")) & (F.col("ord1") < F.col("ord2"))).select("ord1", "ord2", F.round(total / F.when(tagged, 1.0).otherwise(0.9), 6).alias("s")).filter(F.col("s") >= threshold)
+        want = {tuple(r) for r in plain.collect()}
+        got = found.withColumn("task", F.spark_partition_id()).collect()
+        assert {tuple(r)[:3] for r in got} == want and len(got) == len(want) and want
+        assert threshold > 0.5 or len({r.task for r in got}) > 4
