@@ -34,8 +34,8 @@ def index_changes(spark: SparkSession, d: str) -> DataFrame:
     """Toxic texts are removed and good ones get a word more; then the index is asked."""
     folder = _indexed(spark, d)
     marks = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    met = table(spark, d, "documents").join(marks, "doc_id")
     op = F.when(F.col("toxic") == 1, "remove").when(F.col("quality") == 1, "put")
-    changes = met.select(F.col("doc_id").alias("ord"), F.concat("text", F.lit(" ther!")).alias("text"), op.alias("op"), F.lit(1).alias("at")).filter("op is not null")
+    met = table(spark, d, "documents").join(marks.select("doc_id", op.alias("op")).filter("op is not null"), "doc_id")
+    changes = met.select(F.col("doc_id").alias("ord"), F.concat("text", F.lit(" ther!")).alias("text"), "op", F.lit(1).alias("at"))
     text_index.apply_changes(changes, folder)
     return text_index.tfidf(spark, folder, "tion ther? THER erin")

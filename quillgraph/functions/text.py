@@ -32,7 +32,7 @@ PII_PATTERNS = [
 
 def tokenize(text: Column) -> Column:
     """Lower-cased words; everything but ASCII word characters separates."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\w\s]", " "), r"\s+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\w+"), F.lit(0))
 
 
 def query_tokens(query: str) -> list[str]:

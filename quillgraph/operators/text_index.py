@@ -24,9 +24,9 @@ from ..functions import text as T
 from ..session import remove_path
 
 #: Postings of one file, about; a bucket with more has more files, so no common word is one task.
-_FILE_ROWS = 4_000_000
+_FILE_ROWS = 2_000_000
 _POSTING = "term string, ord {kind}, tf int, words int, tokens int, sign int, bucket int"
-_DOCUMENT = "ord {kind}, terms array<struct<term: string, tf: int>>, words int, tokens int, sign int, seq bigint, part int"
+_DOCUMENT = "ord {kind}, terms array<struct<term: string, tf: int>>, words int, tokens int, sign int, distinct int, seq bigint, part int"
 
 
 # -- manifests ---------------------------------------------------------------------------
@@ -66,18 +66,13 @@ def _commit(spark: SparkSession, folder: str, new: dict) -> None:
 def _analysed(docs: DataFrame) -> DataFrame:
     """``ord, terms, words, tokens`` of texts: distinct tokens with their counts, the length without stop words, and with them."""
     tokens = F.coalesce(T.tokenize(F.col("text")), F.array().cast("array<string>"))
-    counted = docs.select("ord", F.array_sort(tokens).alias("t"))
-    # Runs in the sorted tokens are the counts.
-    distinct = F.array_distinct("t")
-    terms = F.transform(distinct, lambda x: F.struct(x.alias("term"), (F.size(F.filter("t", lambda y: y == x))).alias("tf")))
-    few = counted.filter(F.size("t") <= 256).select("ord", terms.alias("terms"), F.size("t").alias("tokens"))
-    # In long texts each token would be compared with each: they are counted by grouping.
-    many = counted.filter(F.size("t") > 256).withColumn("at", F.monotonically_increasing_id())
-    met = many.select("ord", "at", F.explode("t").alias("term")).groupBy("ord", "at", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    grouped = met.groupBy("ord", "at").agg(F.collect_list(F.struct("term", "tf")).alias("terms"), F.sum("tf").cast("int").alias("tokens")).drop("at")
-    both = few.unionByName(grouped)
-    words = F.aggregate(F.filter("terms", lambda x: ~x["term"].isin(T.BM25_STOP_WORDS)), F.lit(0), lambda a, x: a + x["tf"])
-    return both.select("ord", "terms", words.alias("words"), F.col("tokens").cast("int").alias("tokens"))
+    # Runs in the sorted tokens are the counts: texts of any length take linear time after the sort, in their own task.
+    counted = docs.select("ord", F.sort_array(tokens).alias("t"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    runs = counted.select("ord", "t", F.when(F.size("t") > 0, starts).otherwise(F.array().cast("array<int>")).alias("at"))
+    terms = F.transform("at", lambda i, n: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("at", n + 1), F.size("t")) - i).alias("tf")))
+    both = runs.select("ord", terms.alias("terms"), F.size("t").alias("tokens"), F.size(F.filter("t", lambda x: ~x.isin(T.BM25_STOP_WORDS))).alias("words"))
+    return both.select("ord", "terms", "words", "tokens")
 
 
 def _bucket(value: Column, n: int) -> Column:
@@ -88,11 +83,12 @@ def _write_segment(spark: SparkSession, folder: str, documents: DataFrame, bucke
     """Writes signed ``ord, terms, words, tokens, sign``; returns the name and what texts, words and tokens it adds."""
     name = f"{seq:012d}-{uuid.uuid4().hex}"
     root = {t: f"{folder}/{t}/segment={name}" for t in ("documents", "postings")}
-    placed = documents.withColumn("seq", F.lit(seq).cast("bigint")).withColumn("part", _bucket(F.col("ord"), buckets))
-    placed.repartition(buckets, "part").sortWithinPartitions("part", "ord").write.partitionBy("part").parquet(root["documents"])
+    placed = documents.withColumn("distinct", F.size("terms")).withColumn("seq", F.lit(seq).cast("bigint")).withColumn("part", _bucket(F.col("ord"), buckets))
+    # Large buckets are dealt over more tasks, by their bytes.
+    placed.hint("rebalance", "part").sortWithinPartitions("part", "ord").write.partitionBy("part").parquet(root["documents"])
     kind = documents.schema["ord"].dataType.simpleString()
     kept = spark.read.schema(_DOCUMENT.format(kind=kind)).parquet(root["documents"])
-    texts, words, tokens, postings = kept.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("sign"), F.col("sign") * F.col("words"), F.col("sign") * F.col("tokens"), F.size("terms"))]).first()
+    texts, words, tokens, postings = kept.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("sign"), F.col("sign") * F.col("words"), F.col("sign") * F.col("tokens"), F.col("distinct"))]).first()
     flat = kept.select("ord", "words", "tokens", "sign", F.explode("terms").alias("t")).select("t.term", "ord", F.col("t.tf").alias("tf"), "words", "tokens", "sign", _bucket(F.col("t.term"), buckets).alias("bucket"))
     pieces = max(1, -(-postings // (_FILE_ROWS * buckets)))
     dealt = flat.repartition(buckets * pieces, "bucket", F.pmod(F.xxhash64("ord"), F.lit(pieces)))
@@ -123,8 +119,11 @@ def current_documents(spark: SparkSession, folder: str, now: dict, only: DataFra
     if only is not None:
         keys = only.select("ord", _bucket(F.col("ord"), now["buckets"]).alias("part")).distinct()
         docs = docs.join(keys, ["part", "ord"], "left_semi")
-    last = docs.groupBy("ord").agg(F.max_by(F.struct("terms", "words", "tokens", "sign"), F.struct("seq", "sign")).alias("d"))
-    return last.filter("d.sign > 0").select("ord", "d.terms", "d.words", "d.tokens")
+    if len(now["segments"]) > 1:  # one alone has each text once
+        docs = docs.withColumn("at", 2 * F.col("seq") + (F.col("sign") > 0).cast("int"))
+        # The last place is found without the terms, which meet it once.
+        docs = docs.join(docs.groupBy("ord").agg(F.max("at").alias("at")), ["ord", "at"])
+    return docs.filter("sign > 0").select("ord", "terms", "words", "tokens")
 
 
 def apply_changes(changes: DataFrame, folder: str, stream: str | None = None, batch: int | None = None) -> dict:
@@ -183,8 +182,8 @@ def postings_of(spark: SparkSession, folder: str, words: list[str]) -> tuple[dic
     if now is None:
         raise ValueError(f"{folder} has no index")
     terms = list(dict.fromkeys(words))
-    numbers = spark.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t"), now["buckets"]).alias("b")).distinct().collect() if terms else []
-    rows = _read(spark, folder, now, "postings").filter(F.col("bucket").isin([r["b"] for r in numbers]) & F.col("term").isin(terms))
+    numbers = spark.range(1).select(F.array_distinct(F.array(*[_bucket(F.lit(t), now["buckets"]) for t in terms])).alias("b")).first()["b"] if terms else []
+    rows = _read(spark, folder, now, "postings").filter(F.col("bucket").isin(numbers) & F.col("term").isin(terms))
     signed = rows.groupBy("term", "ord").agg(F.sum("sign").alias("n"), *[F.sum(F.col("sign") * F.col(c)).alias(c) for c in ("tf", "words", "tokens")])
     return now, signed.filter("n > 0").drop("n")
 

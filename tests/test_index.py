@@ -108,3 +108,22 @@ def test_queries_are_tokenised(spark):
     assert two[1] == pytest.approx(2 * one[1], abs=2e-6)
     assert [o for o, _ in ranked(search.tfidf(docs, F.col("text"), "vendor?"))] == [1]
     assert docs.filter(search.phrase(F.col("text"), "vendor, a (brand)")).count() == 1
+
+
+def test_words_are_counted_in_their_own_task(spark):
+    """No text's words are shuffled to be counted, however long it is, and the counts are right."""
+    docs = texts(spark, [(1, "b a B " + "long " * 300), (2, ""), (3, None), (4, "?!"), (5, "naïve the x_1")])
+    found = text_index._analysed(docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.ord: ({t.term: t.tf for t in r.terms}, r.words, r.tokens) for r in found.collect()}
+    assert got == {1: ({"a": 1, "b": 2, "long": 300}, 302, 303), 2: ({}, 0, 0), 3: ({}, 0, 0), 4: ({}, 0, 0), 5: ({"na": 1, "ve": 1, "the": 1, "x_1": 1}, 3, 4)}
+
+
+def test_an_update_finds_the_texts_before_it_without_sorting_their_words(spark):
+    folder = shared_path(spark, "index")
+    text_index.build(texts(spark, [(i, f"w{i} red") for i in range(20)]), folder, buckets=2)
+    text_index.apply_changes(spark.createDataFrame([(1, "blue", "put", 1), (2, None, "remove", 1)], "ord long, text string, op string, at int"), folder)
+    now = text_index.current_documents(spark, folder, text_index.manifest(spark, folder))
+    assert "SortAggregate" not in now._jdf.queryExecution().executedPlan().toString()
+    got = {r.ord: {t.term for t in r.terms} for r in now.collect()}
+    assert got == {i: {"blue"} if i == 1 else {f"w{i}", "red"} for i in range(20) if i != 2}
