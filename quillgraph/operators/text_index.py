@@ -3,7 +3,7 @@
 An index is a folder that driver and executors share.  It has immutable segments and
 numbered manifests; the last manifest names the live segments and the totals.  A segment
 holds signed postings, ``+1`` for a text that came and ``-1`` for one that went, in
-directories by a bucket of the term, sorted by term: a query reads the buckets of its own
+directories by a bucket of the term, sorted by its hash: a query reads the buckets of its own
 words only, and of those the row groups that can hold them.  It also holds the changed
 texts' own words, so that an update finds what to take back without a scan of postings.
 
@@ -25,7 +25,7 @@ from ..session import remove_path
 
 #: Postings of one file, about; a bucket with more has more files, so no common word is one task.
 _FILE_ROWS = 2_000_000
-_POSTING = "term string, ord {kind}, tf int, words int, tokens int, sign int, bucket int"
+_POSTING = "key bigint, term string, ord {kind}, tf int, words int, tokens int, sign int, bucket int"
 _DOCUMENT = "ord {kind}, terms array<struct<term: string, tf: int>>, words int, tokens int, sign int, distinct int, seq bigint, part int"
 
 
@@ -92,7 +92,14 @@ def _write_segment(spark: SparkSession, folder: str, documents: DataFrame, bucke
     flat = kept.select("ord", "words", "tokens", "sign", F.explode("terms").alias("t")).select("t.term", "ord", F.col("t.tf").alias("tf"), "words", "tokens", "sign", _bucket(F.col("t.term"), buckets).alias("bucket"))
     pieces = max(1, -(-postings // (_FILE_ROWS * buckets)))
     dealt = flat.repartition(buckets * pieces, "bucket", F.pmod(F.xxhash64("ord"), F.lit(pieces)))
-    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(root["postings"])
+    # Sorted by the hash alone, which takes no comparisons of rows: a task's few buckets are written side by side, not one after the other.
+    writers = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers)
+    spark.conf.set(writers, buckets)
+    try:
+        dealt.withColumn("key", F.xxhash64("term")).sortWithinPartitions("key").write.partitionBy("bucket").parquet(root["postings"])
+    finally:
+        spark.conf.set(writers, before)
     return name, int(texts), int(words), int(tokens)
 
 
@@ -182,8 +189,10 @@ def postings_of(spark: SparkSession, folder: str, words: list[str]) -> tuple[dic
     if now is None:
         raise ValueError(f"{folder} has no index")
     terms = list(dict.fromkeys(words))
-    numbers = spark.range(1).select(F.array_distinct(F.array(*[_bucket(F.lit(t), now["buckets"]) for t in terms])).alias("b")).first()["b"] if terms else []
-    rows = _read(spark, folder, now, "postings").filter(F.col("bucket").isin(numbers) & F.col("term").isin(terms))
+    of = [F.struct(F.xxhash64(F.lit(t)).alias("key"), _bucket(F.lit(t), now["buckets"]).alias("bucket")) for t in terms]
+    places = spark.range(1).select(F.array(*of).alias("p")).first()["p"] if terms else []
+    wanted = F.col("bucket").isin(sorted({p["bucket"] for p in places})) & F.col("key").isin([p["key"] for p in places]) & F.col("term").isin(terms)
+    rows = _read(spark, folder, now, "postings").filter(wanted).drop("key")
     signed = rows.groupBy("term", "ord").agg(F.sum("sign").alias("n"), *[F.sum(F.col("sign") * F.col(c)).alias(c) for c in ("tf", "words", "tokens")])
     return now, signed.filter("n > 0").drop("n")
 

@@ -127,3 +127,16 @@ def test_an_update_finds_the_texts_before_it_without_sorting_their_words(spark):
     assert "SortAggregate" not in now._jdf.queryExecution().executedPlan().toString()
     got = {r.ord: {t.term for t in r.terms} for r in now.collect()}
     assert got == {i: {"blue"} if i == 1 else {f"w{i}", "red"} for i in range(20) if i != 2}
+
+
+def test_postings_lie_by_the_hash_of_their_term(spark):
+    folder = shared_path(spark, "index")
+    text_index.build(texts(spark, [(i, " ".join(f"w{i * j % 97}" for j in range(9))) for i in range(300)]), folder, buckets=4)
+    now, rows = text_index.postings_of(spark, folder, ["w7"])
+    found = text_index._read(spark, folder, now, "postings").select(F.input_file_name().alias("file"), "bucket", "term", "key")
+    assert found.filter("key <> xxhash64(term)").isEmpty() and found.select("bucket").distinct().count() == 4
+    for file in {r.file for r in found.select("file").distinct().collect()}:
+        keys = [r.key for r in spark.read.parquet(file).select("key").collect()]
+        assert keys == sorted(keys)
+    assert {r.term for r in rows.collect()} == {"w7"} and "EqualTo(key" in rows._jdf.queryExecution().toString()
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
