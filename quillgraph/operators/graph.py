@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import dealt, forget, written
+from ..session import TASK_BYTES, dealt, forget, written
 
 
 def adjacency(relations: DataFrame, direction: str = "both") -> DataFrame:
@@ -88,26 +88,34 @@ def degree_centrality(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     return met.select("node", d.alias("degree"), F.round(F.when(F.col("n") > 1, d / (F.col("n") - 1)).otherwise(0.0), 6).alias("score"))
 
 
+def _wide(df: DataFrame, size: int, *keys: str) -> DataFrame:
+    """Rows dealt by keys where they take more tasks than Spark would give them; others stay, so that a small table may meet them where they are."""
+    return dealt(df, size, *keys) if size > TASK_BYTES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def pagerank(nodes: DataFrame, relations: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
     """``node, score``; multiple relations weigh, dangling mass is spread evenly.
 
     Relations with unknown ends are dropped first.  Each iteration is one join and one
     aggregation over the relations, written to the shared folder; with ``tolerance``
-    None all iterations run.
+    None all iterations run.  Tasks are as many as the relations take, so that none of
+    them grows with the table.
     """
     nodes = written(nodes.select("node").distinct(), "pagerank-nodes")
     n = nodes.count()
     if not n:
         return nodes.withColumn("score", F.lit(0.0))
     known = nodes.select(F.col("node").alias("src")), nodes.select(F.col("node").alias("dst"))
-    edges = relations.select("src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
-    edges = written(edges.join(known[0], "src", "left_semi").join(known[1], "dst", "left_semi"), "pagerank-edges")
-    out = edges.groupBy("src").agg(F.sum("w").alias("out"))
-    shares = written(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")), "pagerank-shares")
+    edges = written(relations.select("src", "dst"), "pagerank-relations")
+    count = edges.count()
+    into = _wide(edges, 100 * count, "dst").join(known[1], "dst", "left_semi")
+    # Grouped, met and summed up by the source in one place: a row is in a hash table and in two sorts.
+    met = dealt(into, 340 * count, "src").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")).join(known[0], "src", "left_semi")
+    shares = written(met.select("src", "dst", (F.col("w") / F.sum("w").over(Window.partitionBy("src"))).alias("share")), "pagerank-shares")
     forget(edges)
     rank, before = nodes.withColumn("score", F.lit(1.0 / n)), None
     for _ in range(iterations):
-        got = shares.join(rank, shares["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("score")).alias("got"))
+        got = _wide(shares, 200 * count, "src").join(rank, F.col("src") == rank["node"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("score")).alias("got"))
         now = written(rank.join(got, rank["node"] == got["dst"], "left").select("node", F.col("score").alias("old"), F.coalesce("got", F.lit(0.0)).alias("got")), "pagerank")
         # What was not handed on is the dangling mass; ranks sum up to 1.
         base = (1 - damping) / n + damping * max(0.0, 1 - now.agg(F.sum("got")).first()[0]) / n

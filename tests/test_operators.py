@@ -5,9 +5,11 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph import session
 from quillgraph.functions import text as T
 from quillgraph.operators import access, dedup, graph, mutate, search, temporal
 from quillgraph.plans.boolean_query import QueryError, compile_query
+from quillgraph.sources import views
 
 TREE = [("A", "B"), ("B", "C"), ("C", "D"), ("B", "E"), ("C", "F"), ("E", "G")]
 
@@ -43,6 +45,31 @@ def test_degree_centrality(tree):
     assert rows["B"] == pytest.approx(3 / 7, abs=1e-6) and rows["E"] == pytest.approx(2 / 7, abs=1e-6) and rows["H"] == 0
 
 
+def test_pagerank_tasks_are_as_many_as_the_relations_take(spark, monkeypatch):
+    """Double relations weigh, unknown ends are dropped, and tasks come by the number of relations, not by a setting."""
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("x", "a"), ("b", "y")], "src string, dst string")
+    nodes = spark.createDataFrame([(n,) for n in "abcd"], "node string")
+    few = as_dict(graph.pagerank(nodes, edges, iterations=5, tolerance=None))
+    monkeypatch.setattr(session, "TASK_BYTES", 100)
+    monkeypatch.setattr(graph, "TASK_BYTES", 100)
+    asked = []
+    monkeypatch.setattr(graph, "dealt", lambda df, size, *keys: asked.append((size, keys)) or session.dealt(df, size, *keys))
+    assert as_dict(graph.pagerank(nodes, edges, iterations=5, tolerance=None)) == pytest.approx(few)
+    assert asked[:2] == [(700, ("dst",)), (2380, ("src",))] and asked[2:] == [(1400, ("src",))] * 5
+    r = {n: 0.25 for n in "abcd"}
+    for _ in range(5):
+        lost = 0.15 / 4 + 0.85 * r["d"] / 4
+        r = {"a": lost + 0.85 * r["c"], "b": lost + 0.85 * r["a"] * 2 / 3, "c": lost + 0.85 * (r["a"] / 3 + r["b"]), "d": lost}
+    assert few == pytest.approx(r)
+
+
+def test_supply_relations_come_in_tasks_by_their_number(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(session, "TASK_BYTES", 50_000)
+    found = views.supply_relations(spark, sf_dir)
+    assert found.rdd.getNumPartitions() >= 150 * 6000 // 50_000
+    assert found.agg(F.sum("weight")).first()[0] == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+
+
 def test_pagerank_sums_to_one(tree):
     assert sum(r.score for r in graph.pagerank(*tree).collect()) == pytest.approx(1.0)
 
