@@ -211,3 +211,21 @@ def test_pairs_that_share_a_few_rare_words_are_no_candidates(spark):
     rows.append((99, "other", rows[3][2][:28] + ["x", "y"]))
     sets = spark.createDataFrame(rows, "id long, agent string, words array<string>")
     assert [tuple(r) for r in contradictions.similar_pairs(sets, 0.5).collect()] == [(3, 99)]
+
+
+def test_statements_are_read_once_and_as_apart(spark):
+    """Both ends of a statement come from one reading; zero characters, long runs and texts without a statement do no harm."""
+    from quillgraph.functions import facts as f
+
+    texts = ["Ann works at  Acme Corp on Monday. Bob works for Beta", "Ann works at b\0c", "x\0y. Ann uses tea ; Bob", " works at ", "Works at uses it", "a-b IS  A \t big\n dog , cat", "a is part of", "İs uses\u00a0tea. Dr. Who uses a box", None, "",
+             "word " * 3000 + "uses tea", "- -Ann created by Bob", "Price $1 and cost manages it since then", "no\0thing. Ann prefers tea\0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    apart = docs.select("id", F.explode(F.array(*[F.struct(F.lit(r).alias("relation"), *[f.normalise_name(F.regexp_extract("text", f.statement_pattern(p), i)).alias(n) for i, n in ((1, "subject"), (2, "object"))]) for r, p, _ in f.RULES])).alias("s")).select("id", "s.*")
+    wanted = sorted((r.id, r.subject, r.relation, r.object) for r in apart.filter("subject <> '' and object <> ''").collect())
+    found = f.extract(docs, "id", "text")
+    assert sorted((r.id, r.subject, r.relation, r.object) for r in found.collect()) == wanted and len(wanted) > 5
+    arrays = docs.select("id", F.explode(f.facts(F.col("text"))).alias("s")).select("id", "s.*")
+    assert sorted((r.id, r.subject, r.relation, r.object) for r in arrays.collect()) == wanted
+    # One regular expression in compiled code finds both ends, where each had its own within an array.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(text") == len(f.RULES)
