@@ -150,6 +150,31 @@ def test_codes_are_prefix_free_and_their_probabilities_sum_to_one():
     assert 0.9 < sum(total.values()) <= 1 + 1e-3 and max(total, key=total.get) == "w2"
 
 
+def test_codes_are_shortest_and_three_bits_share_a_line():
+    import pyarrow as pa
+
+    words = [b"", *(f"w{i}".encode() for i in range(300))]
+    counts = np.array([900, *(2 + 4000 // (i + 1) for i in range(300))])
+    d = context_mixing.Dictionary.of(context_mixing.token_hashes(words), counts, int(counts.sum()) + 9)
+    assert sum(0.5 ** int(n) for n in d.size) == 1.0  # a code of Huffman leaves no beginning unused
+    weight = np.append(d.counts, 9)
+    entropy = -(weight / weight.sum() * np.log2(weight / weight.sum())).sum()
+    assert entropy <= (weight * d.size).sum() / weight.sum() < entropy + 0.1
+    (piece,) = ta.slices(pa.array([" ".join(w.decode() for w in words[1:])]))
+    t = context_mixing.Tokens(piece, d)
+    model = learnt([16, 16, 16])
+    first, bit, slots = t.bits(d, model, 0, len(t.hash))
+    for i, n in zip(first.tolist(), d.size[t.symbol].tolist(), strict=True):
+        for row in slots:
+            assert len(set((row[i : i + n] // 8).tolist())) <= -(-n // 3) and len(set(row[i : i + n].tolist())) >= min(n, 3)
+    # What the counts of all words tell of a code by itself is each word's share.
+    alone = context_mixing.Mixer([16, 16], d.known)
+    first, bit, slots = t.bits(d, alone, 0, len(t.hash))
+    odds = d.known[slots[0]].astype(np.float64)
+    share = np.exp(np.add.reduceat(np.where(bit == 1, -np.log1p(np.exp(-odds)), -np.log1p(np.exp(odds))), first))
+    assert np.allclose(share, weight[t.symbol] / weight.sum(), rtol=0.35)
+
+
 def test_spellings():
     model = learnt([16, 16, 16, 16, 16])
     s = context_mixing.Spelling([b"abc", b"abd"] * 20)
