@@ -6,11 +6,13 @@ import hashlib
 import random
 import re
 import unicodedata
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph import session
 from quillgraph.llm import components as cc
 from quillgraph.llm import bpe, context_mixing, exact_dedup, packing, pivot_search, surrogates, trie_join
 from tokenizers import Tokenizer
@@ -268,3 +270,33 @@ def test_words_that_are_complements_stay_apart(spark, size):
     assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist()[:-1] for r in pieces} == want
     counts = {bytes(r.word): r.c for r in context_mixing.vocabulary(docs, "text", F.lit(True)).collect()}
     assert counts[a.encode()] == counts[b.encode()] == 2
+
+
+def _shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {p for d in manager.localDirsString() for p in Path(d).rglob("shuffle_*.data")}
+
+
+def test_near_duplicates_in_rounds_leave_little_on_disk(spark, monkeypatch):
+    """N-grams are shuffled in rounds; tables with n-grams and what was shuffled for them are gone afterwards."""
+    monkeypatch.setattr(trie_join, "ROUND", 40, raising=False)
+    rng = random.Random(5)
+    base = [rng.choices([f"w{i}" for i in range(200)], k=40) for _ in range(8)]
+    rows = [(i, " ".join(base[i % 8][: 40 - i % 3])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    shared = Path(session.shared_dir(spark).removeprefix("file://"))
+    tables = set(shared.iterdir())
+    result = trie_join.near_duplicates(docs, 3, 90)
+    left = {p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - tables}
+    assert not left & {"shingle-sets", "pairs", "set-sizes", "hot-hubs", "clusters", "cluster-sets"}
+    schemas = [spark.read.parquet(str(p)).columns for p in set(shared.iterdir()) - tables if p.is_dir() and p.name.rsplit("-", 1)[0] in left and list(p.glob("*.parquet"))]
+    assert schemas and not any({"prefix", "tokens"} & set(s) for s in schemas)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in result.collect()} == brute_components(rows, 3, 90)
+    assert spark.conf.get(session.SHUFFLE_CLEANUP, None) in (None, "false")
+
+
+def test_written_deletes_what_it_shuffled(spark):
+    before = _shuffle_files(spark)
+    counted = session.written(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    assert not _shuffle_files(spark) - before
+    assert counted.count() == 7
