@@ -206,3 +206,13 @@ def test_stages_take_odd_tables(spark, corpus):
     near = corpus_pipeline.drop_near_copies(spark, odd.filter("text is not null"), corpus)
     assert sorted(r.text for r in near.collect()) == ["", "der die das und mit", "the and of to in"]
     assert [r.n_entities for r in corpus_pipeline.replace_personal_data(spark, odd.limit(1), corpus).collect()] == [9]
+
+
+def test_near_copies_are_dropped_without_a_shuffle_of_all_texts(spark):
+    texts = {i: " ".join(f"w{i}x{j}" for j in range(30)) for i in range(40)}
+    texts[41] = texts[7] + " end"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars int")
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    plan = left._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and "Join" not in plan.children().head().toString()
+    assert sorted(r.doc_id for r in left.collect()) == list(range(40))
