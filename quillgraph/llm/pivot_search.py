@@ -18,9 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a candidate block and of a query block; a candidate is sent once for each query block.
-BLOCK, QUERY_BLOCK = 4096, 16384
-PIVOTS, _SAMPLE, _STEP = 32, 512, 256
+#: Rows of a candidate block at least, where there are fewer than ``BLOCKS`` of them; and of any block at most.
+BLOCK, MOST = 4096, 1 << 17
+BLOCKS = 64
+#: Bytes of a block's vectors as long numbers, at most.
+BLOCK_BYTES = 64 << 20
+#: Candidates and queries whose products are taken at once.
+TILE, CHUNK = 4096, 64
+PIVOTS, _SAMPLE = 32, 512
+#: Pivots that all candidates are held against; the others only while they leave out more than half, which is tried again each so many chunks.
+FEW, TRIAL = 4, 16
 
 
 def scaled(vector: Column, factor: int = 1024) -> Column:
@@ -48,19 +55,31 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return out
 
 
-def lower_bounds(cd: np.ndarray, qd: np.ndarray, c_norm: np.ndarray, q_norm: float) -> np.ndarray:
-    """The largest sure difference of distances to one pivot, for each candidate.
+class _Bounds:
+    """Lower bounds of distances by pivots: the largest sure difference of distances to one pivot.
 
     Distances are kept in single precision and come from vectors rounded to doubles; what
-    that can take away (in proportion to the distances themselves, which a far pivot makes
-    long, and to the vectors' norms) is taken off each difference before the largest is
-    chosen.
+    that and single arithmetic can take away (in proportion to the distances themselves,
+    which a far pivot makes long, and to the vectors' norms) is taken off each difference
+    before the largest is chosen.
     """
-    if not cd.shape[1]:
-        return np.zeros(len(cd))
-    cd, qd = cd.astype(np.float64), qd.astype(np.float64)
-    sure = np.abs(cd - qd) - 2.0**-22 * (cd + qd)
-    return np.maximum(sure.max(axis=1) - 2.0**-40 * (c_norm + q_norm), 0)
+
+    def __init__(self, cd: np.ndarray, c_norm: np.ndarray):
+        self.cd = np.ascontiguousarray(cd.T, dtype=np.float32)
+        self.slack = self.cd * np.float32(2.0**-20)
+        self.norm = 2.0**-40 * c_norm
+        self.room = np.empty_like(self.cd)
+
+    def lowest(self, qd: np.ndarray, q_norm: float, pivots: int) -> np.ndarray:
+        """For each candidate the least distance it can have from the query, by the first pivots."""
+        if not len(self.cd):
+            return np.zeros(len(self.norm))
+        x, room = qd[:pivots].astype(np.float32)[:, None], self.room[:pivots]
+        np.subtract(self.cd[:pivots], x, out=room)
+        np.abs(room, out=room)
+        room -= self.slack[:pivots]
+        room -= x * np.float32(2.0**-20)
+        return np.maximum(room.max(axis=0) - self.norm - 2.0**-40 * q_norm, 0)
 
 
 def _narrow(x: np.ndarray) -> bytes:
@@ -80,59 +99,86 @@ def _products(c: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (c.astype(np.float64) @ q.astype(np.float64)).astype(np.int64) if most < 1 << 52 else c @ q
 
 
-def _blocks(vectors: DataFrame, n: int, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """One row for each block: ids, vectors and the pivot table."""
+def _blocks(vectors: DataFrame, n: int) -> DataFrame:
+    """One row for each block: ids and vectors, packed."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        dim = key[0].as_py()
-        x = np.asarray(group.column("v").combine_chunks().flatten(), dtype=np.int64).reshape(group.num_rows, dim)
-        p = pivots.get(dim, np.zeros((0, dim)))
-        d = _distances(x.astype(np.float64), p)
-        return pa.table(
-            {
-                "dim": pa.array([dim], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()),
-                "ids": pa.array([np.asarray(group.column("vec_id"), dtype=np.int64).tobytes()], pa.binary()),
-                "x": pa.array([_narrow(x)], pa.binary()), "d": pa.array([d.astype(np.float32).tobytes()], pa.binary()),
-            }
-        )
+        x = np.asarray(group.column("v").combine_chunks().flatten(), dtype=np.int64).reshape(group.num_rows, key[0].as_py())
+        ids = np.asarray(group.column("vec_id"), dtype=np.int64)
+        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "x": pa.array([_narrow(x)], pa.binary())})
 
     dealt = vectors.select(F.size("v").alias("dim"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int").alias("block"), "vec_id", "v")
-    return dealt.groupBy("dim", "block").applyInArrow(run, "dim int, block int, ids binary, x binary, d binary")
+    return dealt.groupBy("dim", "block").applyInArrow(run, "dim int, block int, ids binary, x binary")
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores, ties to smaller ids."""
+    if len(scores) > 4 * k:
+        high = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+        ids, scores = ids[high], scores[high]
+    order = np.lexsort((ids, -scores))[:k]
+    return ids[order], scores[order]
 
 
-def search_block(
-    q_ids: np.ndarray, q: np.ndarray, qd: np.ndarray, c_ids: np.ndarray, c: np.ndarray, cd: np.ndarray, k: int, least: dict[int, int] | None = None
-) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """For each query its k best candidates of a block (ids and scores), its own id left out, and how many were evaluated.
+def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, pivots: np.ndarray, k: int, least: dict[int, int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """For each query its k best candidates of a block (ids and scores), its own id left out, and how many passed their bounds.
 
     ``least`` has scores that k candidates of a query are known to reach; worse ones are left out.
     """
-    c_norm = (c.astype(np.float64) ** 2).sum(axis=1)
-    q_norm = (q.astype(np.float64) ** 2).sum(axis=1)
-    for i in range(len(q)):
-        near = lower_bounds(cd, qd[i], np.sqrt(c_norm), float(np.sqrt(q_norm[i])))
-        bound = (q_norm[i] + c_norm - near**2) / 2
-        bound += 1e-6 * (q_norm[i] + c_norm) + 1e-6  # more than rounding can take away
-        bound[c_ids == q_ids[i]] = -np.inf
-        floor = (least or {}).get(int(q_ids[i]), -np.inf)
-        order = np.flatnonzero((bound >= floor) & (bound > -np.inf))
-        order = order[np.argsort(-bound[order], kind="stable")]
-        ids, scores, evaluated = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-        for low in range(0, len(order), _STEP):
-            part = order[low : low + _STEP]
-            if len(ids) >= k and bound[part[0]] < scores[-1]:
-                break
-            evaluated += len(part)
-            ids, scores = np.concatenate([ids, c_ids[part]]), np.concatenate([scores, _products(c[part], q[i])])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-        if least is not None and len(scores) >= k:
-            least[int(q_ids[i])] = max(int(scores[-1]), least.get(int(q_ids[i]), int(scores[-1])))
-        yield int(q_ids[i]), ids, scores, evaluated
+    least = {} if least is None else least
+    none = np.zeros(0, np.int64)
+    found, evaluated = [(none, none)] * len(q), [0] * len(q)
+    floors = [least.get(i) for i in q_ids.tolist()]
+    qf, held, turn = q.astype(np.float64), len(pivots), 0
+    qd, q_norm, q_most = _distances(qf, pivots), (qf**2).sum(axis=1), np.abs(q).max(axis=1, initial=0)
+    for low in range(0, len(c), TILE):
+        tile, ids = c[low : low + TILE], c_ids[low : low + TILE]
+        cf = tile.astype(np.float64)
+        c_norm, c_most = (cf**2).sum(axis=1), int(np.abs(tile).max(initial=0))
+        near = _Bounds(_distances(cf, pivots), np.sqrt(c_norm))
+        for first in range(0, len(q), CHUNK):
+            chunk = range(first, min(first + CHUNK, len(q)))
+            may = np.empty((len(chunk), len(tile)), dtype=bool)
+            turn += 1
+            trial = turn % TRIAL == 0
+            for n, i in enumerate(chunk):
+                norms = q_norm[i] + c_norm
+                bound = (norms - near.lowest(qd[i], float(np.sqrt(q_norm[i])), len(pivots) if trial else held) ** 2) / 2
+                bound += 1e-6 * norms + 1e-6  # more than rounding can take away
+                np.greater_equal(bound, -np.inf if floors[i] is None else floors[i], out=may[n])
+                may[n] &= ids != q_ids[i]
+            if trial:
+                held = FEW if 2 * np.count_nonzero(may) > may.size else len(pivots)
+            some = np.flatnonzero(may.any(axis=0))
+            # Doubles hold every sum of nearly all; the others are multiplied by themselves.
+            small = (c_most + 1) * (int(q_most[first : first + len(chunk)].max(initial=0)) + 1) * max(q.shape[1], 1) < 1 << 52
+            products = (cf if len(some) == len(cf) else cf[some]) @ qf[first : first + len(chunk)].T if small and len(some) else None
+            for n, i in enumerate(chunk):
+                own = may[n][some]
+                evaluated[i] += int(np.count_nonzero(own))
+                if products is not None:
+                    if floors[i] is not None:
+                        own &= products[:, n] >= floors[i]
+                    at = np.flatnonzero(own)
+                    scores = products[at, n].astype(np.int64)
+                else:
+                    at = np.flatnonzero(own)
+                    scores = _products(tile[some[at]], q[i])
+                if not len(at):
+                    continue
+                got = _best(np.concatenate([found[i][0], ids[some[at]]]), np.concatenate([found[i][1], scores]), k)
+                found[i] = got
+                if len(got[1]) >= k:
+                    floors[i] = int(got[1][-1]) if floors[i] is None else max(floors[i], int(got[1][-1]))
+    for i, own in enumerate(q_ids.tolist()):
+        if floors[i] is not None:
+            least[own] = max(floors[i], least.get(own, floors[i]))
+        yield own, *found[i], evaluated[i]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 1024, counted: bool = False) -> DataFrame:
-    """The k best rows of each query: ``query_id, rank, vec_id, score``; with ``counted`` also the candidates ``evaluated`` for it.
+    """The k best rows of each query: ``query_id, rank, vec_id, score``; with ``counted`` also the candidates ``evaluated`` for it,
+    those whose bounds reached the k-th score at the time.
 
     Components become floor(factor * x); the score is the integer inner product (it must
     fit 64 bits), ties go to the smaller id.  Rows with a query's own id are left out of
@@ -142,39 +188,34 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     repeated query id has one result, that of all its rows together.
     """
     rows = vectors.select(vectors[id_col].cast("bigint").alias("vec_id"), scaled(vectors[vector_col], factor).alias("v"), is_query.alias("is_query")).filter("vec_id is not null and v is not null")
-    total, asked = rows.agg(F.count(F.lit(1)), F.count_if("is_query")).first()
+    total, asked, parts = rows.agg(F.count(F.lit(1)), F.count_if("is_query"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
     sample: dict[int, list[list[int]]] = {}
     for r in rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(_SAMPLE).collect():
         sample.setdefault(len(r["v"]), []).append(r["v"])
     pivots = {dim: _choose_pivots(np.array(x, dtype=np.float64), PIVOTS) for dim, x in sample.items() if dim}
-    n_c, n_q = max(1, -(-total // BLOCK)), max(1, -(-asked // QUERY_BLOCK))
-    candidates = _blocks(rows.select("vec_id", "v"), n_c, pivots).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    queries = _blocks(rows.filter("is_query").select("vec_id", "v"), n_q, pivots).select(
-        F.col("dim").alias("q_dim"), F.col("block").alias("q_number"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.col("d").alias("q_d"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("c_block")
-    )
-    pairs = candidates.join(queries, (F.col("dim") == F.col("q_dim")) & (F.col("q_block") == F.col("q_number")) & (F.col("block") == F.col("c_block")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[int, int] = {}  # a task's later blocks profit from its earlier ones
-        for batch in batches:
-            for r in range(batch.num_rows):
-                dim, block, c_ids, c, cd, q_ids, q, qd = (batch.column(j)[r].as_py() for j in range(8))
-                c_ids, q_ids = np.frombuffer(c_ids, np.int64), np.frombuffer(q_ids, np.int64)
-                far = lambda raw, n: np.frombuffer(raw, np.float32).reshape(n, -1 if len(raw) else 0)
-                if len(least) > 1 << 20:
-                    least = {}
-                found = list(search_block(q_ids, _wide(q, len(q_ids)), far(qd, len(q_ids)), c_ids, _wide(c, len(c_ids)), far(cd, len(c_ids)), k, least))
-                sizes = [len(ids) for _, ids, _, _ in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat([f[0] for f in found], sizes), pa.int64()), pa.array(np.concatenate([f[1] for f in found]), pa.int64()),
-                        pa.array(np.concatenate([f[2] for f in found]), pa.int64()), pa.array(np.full(sum(sizes), block), pa.int32()),
-                        pa.array(np.repeat([f[3] for f in found], sizes), pa.int64()),
-                    ],
-                    ["query_id", "vec_id", "score", "block", "evaluated"],
-                )
-
-    found = pairs.select("dim", "block", "ids", "x", "d", "q_ids", "q_x", "q_d").mapInArrow(run, "query_id long, vec_id long, score long, block int, evaluated long")
+    most = min(MOST, max(BLOCK_BYTES * max(total, 1) // (8 * max(parts, 1)), 1))
+    n_c, n_q = max(-(-total // most), min(-(-total // BLOCK), BLOCKS), 1), max(1, -(-asked // most))
+    candidates = _blocks(rows.select("vec_id", "v"), n_c).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    queries = _blocks(rows.filter("is_query").select("vec_id", "v"), n_q).withColumnRenamed("block", "q_block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
+    names = ["query_id", "vec_id", "score", "block", "evaluated"]
+    least: dict[int, int] = {}  # a task's later blocks profit from its earlier ones
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        if len(least) > 1 << 20:
+            least.clear()
+        found = []
+        if left.num_rows and right.num_rows:  # one row each
+            (c_ids, c), (q_ids, q) = ((np.frombuffer(t.column("ids")[0].as_py(), np.int64), t.column("x")[0].as_py()) for t in (left, right))
+            dim = key[0].as_py()
+            found = list(search_block(q_ids, _wide(q, len(q_ids)), c_ids, _wide(c, len(c_ids)), pivots.get(dim, np.zeros((0, dim))), k, least))
+        sizes = [len(f[1]) for f in found]
+        joined = [np.concatenate([np.zeros(0, np.int64), *(f[j] for f in found)]) for j in (1, 2)]
+        repeated = lambda j: np.repeat(np.array([f[j] for f in found], dtype=np.int64), sizes)
+        return pa.table([repeated(0), *joined, np.full(sum(sizes), key[1].as_py(), np.int32), repeated(3)], names=names)
+
+    on = ["dim", "block", "q_block"]
+    pairs = candidates.select(*on, "ids", "x").groupBy(*on).cogroup(queries.select(*on, "ids", "x").groupBy(*on))
+    found = pairs.applyInArrow(run, "query_id long, vec_id long, score long, block int, evaluated long")
     if counted:
         spent = found.select("query_id", "block", "evaluated").distinct().groupBy("query_id").agg(F.sum("evaluated").alias("evaluated"))
     order = [F.desc("score"), F.asc("vec_id")]

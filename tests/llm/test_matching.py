@@ -300,3 +300,25 @@ def test_written_deletes_what_it_shuffled(spark):
     counted = session.written(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
     assert not _shuffle_files(spark) - before
     assert counted.count() == 7
+
+
+def test_pivot_search_sends_few_copies_of_blocks(spark, monkeypatch):
+    """Blocks have a bound in bytes; however many rows there are, a query is sent to few blocks, and no batch has more than one of them."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.integers(-9, 9, size=(600, 8)), rng.integers(-9, 9, size=(300, 8)) + 400]) / 1024
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5000, []), (5001, [])], "vec_id long, embedding array<double>")
+    for name, value in {"BLOCK": 10, "BLOCKS": 6, "MOST": 200, "TILE": 32, "CHUNK": 3, "TRIAL": 2}.items():
+        monkeypatch.setattr(pivot_search, name, value)
+    made = pivot_search.top_k(df, F.col("vec_id") % 10 == 0, k=4, counted=True)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow" not in plan.replace("FlatMapGroupsInArrow", "").replace("FlatMapCoGroupsInArrow", "")
+    got = {}
+    for r in made.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        assert r.evaluated <= 899
+    whole = (x * 1024).astype(int)
+    assert sorted(got.pop(5000)) == [(1, 5001, 0)]
+    for q in range(0, 900, 10):
+        scores = sorted((-int(whole[q] @ c), i) for i, c in enumerate(whole) if i != q)[:4]
+        assert sorted(got.pop(q)) == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    assert not got
