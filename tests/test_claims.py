@@ -229,3 +229,28 @@ def test_statements_are_read_once_and_as_apart(spark):
     # One regular expression in compiled code finds both ends, where each had its own within an array.
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(text") == len(f.RULES)
+
+
+def test_words_of_near_copies_are_sent_a_bounded_number_of_times(spark, monkeypatch):
+    """In a group of near copies every two are a pair; words go to groups of pairs, not along with each pair."""
+    monkeypatch.setattr(contradictions, "PARTS", (2, 2))
+    rows = [(i, f"m{i}", f"agent{i}", "kind", [" ".join(f"word{j}" for j in range(40)) + f" own{i}"], None, None) for i in range(30)]
+    sets = spark.createDataFrame([(r[0], [hash(w) for w in sorted(_words(r[4][0]))]) for r in rows], "id long, words array<long>")
+    pairs = spark.createDataFrame([(a, b, True) for a, b in itertools.combinations(range(30), 2)], "a long, b long, may boolean")
+    alike = contradictions.with_similarity(pairs, sets, 0.9)
+    joined = alike._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in joined
+    got = alike.collect()
+    assert len(got) == 30 * 29 // 2 and {round(r.similarity, 9) for r in got} == {round(40 / 42, 9)} and got[0].may
+    assert contradictions.with_similarity(pairs, sets, 0.96).count() == 0
+    found = contradictions.conflicts(spark.createDataFrame(rows, MEMORY), 0.7)
+    assert {tuple(r) for r in found.select("a", "b", "method").collect()} == _brute(rows, 0.7)
+
+
+def test_words_of_one_memory_are_not_dealt(spark, tmp_path, monkeypatch):
+    seen = []
+    keep = contradictions.written
+    monkeypatch.setattr(contradictions, "written", lambda df, name: seen.append((name, keep(df, name))) or seen[-1][1])
+    sets = spark.createDataFrame([(i, f"agent{i}", [f"own{i}-{j}" for j in range(9)] + ["both"]) for i in range(6)], "id long, agent string, words array<string>")
+    assert contradictions.similar_pairs(sets, 0.5).collect() == []
+    assert dict(seen)["set-keys"].count() == 0
